@@ -325,6 +325,7 @@ def confirmed_links(reps: DataFrame, docs: DataFrame) -> DataFrame | None:
     best = best.withColumn("r", F.row_number().over(by_cluster)).where(F.col("r") <= HUBS)
     hubs = best.select("cluster", "id", F.explode(F.sequence(F.lit(0), F.ceil(F.col("size") / BLOCK).cast("int") - 1)).alias("to"))
     hubs = hubs.join(large.select("cluster", "id", "degree", "sig", "text"), ["cluster", "id"]).withColumnRenamed("to", "block").select(*columns)
+    hubs = written(hubs, "hubs")
     first = written(links_to_hubs(large.select(*columns), hubs), "hublinks")
     labels = components(first) if first.limit(1).count() else None
     if labels is None:
@@ -340,7 +341,7 @@ def confirmed_links(reps: DataFrame, docs: DataFrame) -> DataFrame | None:
     odd = parts.drop("block").withColumn("block", F.explode(F.sequence(F.lit(0), F.ceil(F.col("size") / BLOCK).cast("int") - 1))).select(*columns)
     everyone = labelled.join(main.where("all > most").select("cluster", F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("int").alias("parts")), "cluster")
     everyone = everyone.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(*columns)
-    second = written(links_of_rest(everyone, odd), "restlinks")
+    second = written(links_of_rest(everyone, written(odd, "rest")), "restlinks")
     return links.union(first).union(second)
 
 

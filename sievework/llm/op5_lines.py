@@ -73,11 +73,11 @@ def normal_line(line: Column) -> Column:
 
 
 def line_rows(docs: DataFrame) -> DataFrame:
-    """host, doc_id, fp (the text's hash), h (a normalised line's hash), n (words in all such lines of the text): one row a distinct line."""
+    """host, doc_id, fp (the text's hash), n_words (the text's), pos, h (the normalised line's hash), n (the line's words): one row a line."""
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     hashed = F.transform(lines, lambda x: F.struct(F.xxhash64(normal_line(x)).alias("h"), F.size(words_of(x)).alias("n")))
-    rows = docs.select("host", "doc_id", "fp", F.explode(hashed).alias("x")).select("host", "doc_id", "fp", "x.h", "x.n")
-    return rows
+    with_all = docs.select("host", "doc_id", "fp", bind(hashed, lambda x: F.struct(F.aggregate(x, F.lit(0), lambda s, y: s + y["n"]).alias("n_words"), x.alias("x"))).alias("y"))
+    return with_all.select("host", "doc_id", "fp", "y.n_words", F.posexplode("y.x").alias("pos", "x")).select("host", "doc_id", "fp", "n_words", "pos", "x.h", "x.n")
 
 
 def frequent_lines(lines: DataFrame, docs: DataFrame, share: float = SHARE, least: int = LEAST) -> DataFrame:
@@ -88,27 +88,85 @@ def frequent_lines(lines: DataFrame, docs: DataFrame, share: float = SHARE, leas
     return above.join(hosts.withColumnRenamed("host", "of"), F.col("host").eqNullSafe(F.col("of"))).where(F.col("n_docs") > share * F.col("host_docs")).select("host", "h")
 
 
-def judged(docs: DataFrame, share: float = SHARE, least: int = LEAST, remains: float = REMAINS) -> DataFrame:
-    """One row a document: the base measures, base_failed, n_line_words (words in frequent lines), kept, and fp and host."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("")).alias("host"))
-    docs = docs.withColumn("fp", F.xxhash64("text", F.length("text")))
+def prepared(docs: DataFrame) -> DataFrame:
+    """docs with host and fp: the source (null is a host of its own) and the text's hash."""
+    host = F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit(""))
+    return docs.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("host", host).withColumn("fp", F.xxhash64("text", F.length("text")))
+
+
+def removed_words(docs: DataFrame, share: float = SHARE, least: int = LEAST) -> DataFrame:
+    """doc_id, fp, host, n_words, n_line_words (words in frequent lines) of prepared documents that have a frequent line."""
     lines = written(line_rows(docs), "lines")
     frequent = frequent_lines(lines, docs.select("host", "fp"), share, least)
-    hit = salted_join(lines, frequent, ["host", "h"], "inner", F.col("fp"))
-    removed = hit.groupBy("doc_id", "fp", "host").agg(F.sum("n").alias("removed"))
+    hit = salted_join(lines, frequent, ["host", "h"], "inner", F.struct("fp", "pos"))
+    one = hit.groupBy("doc_id", "fp", "host", "n_words", "pos").agg(F.max("n").alias("n"))  # repeated rows count once
+    return one.groupBy("doc_id", "fp", "host", "n_words").agg(F.sum("n").alias("n_line_words"))
+
+
+def depleted(n_words: Column, gone: Column, remains: float = REMAINS) -> Column:
+    return n_words - gone < remains * n_words
+
+
+def same_document(a: DataFrame, b: DataFrame) -> Column:
+    return a["doc_id"].eqNullSafe(b["_d"]) & (a["fp"] == b["_f"]) & (a["host"] == b["_h"])
+
+
+def failed_base(n_words: Column, n_repeat_words: Column) -> Column:
+    return (n_words < 50) | (100 * n_repeat_words > 50 * n_words)
+
+
+def judged(docs: DataFrame, share: float = SHARE, least: int = LEAST, remains: float = REMAINS) -> DataFrame:
+    """One row a document: the base measures, base_failed, n_line_words (words in frequent lines), kept."""
+    docs = prepared(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "source"))
+    removed = removed_words(docs, share, least).select(F.col("doc_id").alias("_d"), F.col("fp").alias("_f"), F.col("host").alias("_h"), "n_line_words")
     base = docs.select("doc_id", "fp", "host", base_measures(F.col("text")).alias("m")).select("doc_id", "fp", "host", "m.*")
-    same = base.groupBy("doc_id", "fp", "host", *MEASURES).agg(F.count("*").alias("times"))
-    joined = same.join(removed.withColumnsRenamed({"doc_id": "_d", "fp": "_f", "host": "_h"}), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("fp") == F.col("_f")) & (F.col("host") == F.col("_h")), "left")
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    gone = F.coalesce(F.col("removed") / F.col("times"), F.lit(0)).cast("long")
-    out = joined.select("doc_id", "fp", "host", *MEASURES, failed.alias("base_failed"), gone.alias("n_line_words"), "times")
-    kept = ~F.col("base_failed") & (F.col("n_words") - F.col("n_line_words") >= remains * F.col("n_words"))
-    out = out.withColumn("kept", kept)
-    return out.withColumn("times", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).drop("times")
+    out = base.join(removed, same_document(base, removed), "left")
+    out = out.select("doc_id", *MEASURES, failed_base(F.col("n_words"), F.col("n_repeat_words")).alias("base_failed"), F.coalesce("n_line_words", F.lit(0)).cast("long").alias("n_line_words"))
+    return out.withColumn("kept", ~F.col("base_failed") & ~depleted(F.col("n_words"), F.col("n_line_words"), remains))
+
+
+def kept_documents(docs: DataFrame, share: float = SHARE, least: int = LEAST, remains: float = REMAINS) -> DataFrame:
+    """The rows of docs that pass, unchanged. Base rules act beside the text; only depleted documents' keys meet it."""
+    ready = prepared(docs.withColumn("_text", F.col("text")))
+    removed = removed_words(ready, share, least)
+    gone = written(removed.where(depleted(F.col("n_words"), F.col("n_line_words"), remains)).select(F.col("doc_id").alias("_d"), F.col("fp").alias("_f"), F.col("host").alias("_h")), "depleted")
+    words = words_of(F.col("text"))
+    passed = ready.where(bind(words, lambda w: ~failed_base(F.size(w), repeated_words(w))))
+    return passed.join(gone, same_document(passed, gone), "left_anti").withColumn("text", F.col("_text")).select(*docs.columns)
 
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judged(table(spark, sf_dir, "documents")).drop("fp", "host")
+    return judged(table(spark, sf_dir, "documents"))
+
+
+ORACLE = r"""
+WITH d AS (
+    SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, coalesce('s' || source, '') AS host FROM documents
+), w AS (
+    SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d
+), g AS (
+    SELECT r, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT r, w, unnest(range(1, greatest(1, len(w) - 1))) AS i FROM w)
+), m AS (
+    SELECT r, unnest([i, i + 1, i + 2]) AS p FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS c FROM g) WHERE c > 1
+), t AS (
+    SELECT r, count(DISTINCT p) AS n_repeat_words FROM m GROUP BY r
+), x AS (
+    SELECT r, doc_id, host, text, trim(regexp_replace(regexp_replace(lower(u), '[0-9]+', '0', 'g'), '\s+', ' ', 'g')) AS h, len(regexp_extract_all(u, '[^\x20\x09-\x0D]+')) AS n
+    FROM (SELECT r, doc_id, host, text, unnest(l) AS u FROM w)
+), f AS (
+    SELECT host, h FROM (SELECT host, h, count(DISTINCT text) AS n FROM x GROUP BY host, h) JOIN (SELECT host, count(DISTINCT text) AS of FROM d GROUP BY host) USING (host) WHERE n > 10 AND n > 0.2 * of
+), e AS (
+    SELECT r, sum(n) AS gone FROM x JOIN f USING (host, h) GROUP BY r
+), a AS (
+    SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+        CAST(length(text) - length(translate(text, '#*$%&|<>', '')) AS BIGINT) AS n_symbols, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines,
+        CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(gone, 0) AS BIGINT) AS n_line_words
+    FROM w LEFT JOIN t USING (r) LEFT JOIN e USING (r)
+)
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+    NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND NOT n_words - n_line_words < 0.3 * n_words AS kept
+FROM a
+"""

@@ -119,7 +119,8 @@ def title_of(path: Column) -> Column:
 
 def days_since(iso: Column, as_of: Column) -> Column:
     """Days from an ISO date to as_of, not below 0; 9999 if there is none or it can't be read."""
-    return F.coalesce(F.greatest(F.datediff(as_of, F.try_to_timestamp(iso).cast("date")), F.lit(0)), F.lit(9999))
+    days = F.datediff(as_of, F.try_to_timestamp(iso).cast("date"))
+    return F.when(days.isNull(), F.lit(9999)).otherwise(F.greatest(days, F.lit(0)))
 
 
 def render_document(title: Column, sections: Column, most: int = 12_000) -> Column:

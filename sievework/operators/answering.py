@@ -92,8 +92,12 @@ def grounding(claims: DataFrame, evidence: DataFrame, least: float = GROUNDING_L
 
 def pii_spans(text: Column) -> Column:
     """Array of (entity, match) in the patterns' order; word characters as Unicode has them."""
-    found = [F.transform(F.regexp_extract_all(text, F.lit("(?U)" + p), F.lit(0)), lambda x, e=e: F.struct(F.lit(e).alias("entity"), x.alias("match"))) for e, p in PII.items()]
-    return F.concat(*found)
+
+
+    def found(entity: str, pattern: str) -> Column:
+        return F.transform(F.regexp_extract_all(text, F.lit("(?U)" + pattern), F.lit(0)), lambda x: F.struct(F.lit(entity).alias("entity"), x.alias("match")))
+
+    return F.concat(*(found(e, p) for e, p in PII.items()))
 
 
 def redact_pii(text: Column) -> Column:
@@ -158,13 +162,15 @@ def needs_retrieval(intent: Column) -> Column:
     return F.coalesce(intent != "chitchat", F.lit(True))
 
 
-def cache_lookup(queries: DataFrame, entries: DataFrame, least: float = CACHE_SIMILARITY, newest: int = CACHE_ENTRIES) -> DataFrame:
+def cache_lookup(queries: DataFrame, entries: DataFrame, least: float = CACHE_SIMILARITY, newest: int = CACHE_ENTRIES, own: bool = False) -> DataFrame:
     """query_id, seq, similarity: the best entry at cosine >= least within the same scope; the earliest of equals.
 
-    entries(seq, scope, vector) is a ring: only the newest count, found without a global sort of all of them.
+    entries(seq, scope, vector) is a ring: only the newest count, found without a global sort of all of them. With `own`
+    the queries are entries themselves and don't find theirs.
     """
     recent = entries.orderBy(F.desc("seq")).limit(newest)
     met = queries.join(recent.withColumnRenamed("vector", "entry_vector"), "scope")
+    met = met.where("query_id <> seq") if own else met
     met = met.withColumn("similarity", F.round(cosine(F.col("vector"), F.col("entry_vector")), 6)).where(F.col("similarity") >= least)
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "seq")
     return met.withColumn("r", F.row_number().over(w)).where("r = 1").select("query_id", "seq", "similarity")

@@ -21,6 +21,7 @@ without good labels all weights are 0 and every row is kept; a null doc_id draws
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import delete, table, work_dir
+from .common import table, written
 from .op9_toxicity import training_rows
 from .word_bpe import Memo
 
@@ -54,28 +55,34 @@ def form(chunk: str) -> str:
     return "".join(dict.fromkeys(out)) if len(out) > 6 else "".join(out)
 
 
-def _crc(text: str) -> int:
-    import zlib
+def quick_form(chunk: str) -> str:
+    """form() without a pattern for the most common tokens: a lower-case word, with one sign after it or not."""
+    n = len(chunk)
+    if n <= 64 and chunk.islower():
+        if chunk.isalpha():
+            return "a" + _LENGTH[n]
+        last = chunk[-1]
+        if last in ",.;:!?" and n > 1 and chunk[:-1].isalpha():
+            return "a" + _LENGTH[n - 1] + last
+    return form(chunk)
 
-    return zlib.crc32(text.encode("utf-8", "replace"))
 
-
-_forms = Memo(lambda chunk: (_crc(form(chunk)), _crc(chunk.lower())))
+_LENGTH = [str(sum(n > k for k in _CLASS)) for n in range(65)]
+_form_hash = Memo(lambda f: zlib.crc32(f.encode("utf-8", "replace")) << 32, 50_000)
+#: A token's form hash in the high 32 bits, its own hash (only ever compared within a text) in the low ones.
+_tokens = Memo(lambda chunk: _form_hash[quick_form(chunk)] | hash(chunk) & 0xFFFFFFFF)
 
 
 def buckets(text: str | None) -> np.ndarray:
     """Hash buckets of a text's n-grams: single forms and pairs, with the repeat mark in the form."""
-    found = list(map(_forms.__getitem__, (text or "").split()))
-    if not found:
+    both = np.array(list(map(_tokens.__getitem__, (text or "").split())), np.uint64)
+    if not len(both):
         return np.zeros(0, np.int64)
-    both = np.array(found, np.uint64)
-    shape, whole = both[:, 0], both[:, 1]
-    again = np.zeros(len(whole), bool)
+    again = np.zeros(len(both), bool)
     for back in (1, 2, 3):
-        again[back:] |= whole[back:] == whole[:-back]
-    shape = (shape << np.uint64(1)) | again
-    mixed = [shape * np.uint64(0x9E3779B97F4A7C15), (shape[:-1] * np.uint64(0xC2B2AE3D27D4EB4F)) ^ (shape[1:] * np.uint64(0x165667B19E3779F9))]
-    grams = np.concatenate(mixed)
+        again[back:] |= both[back:] == both[:-back]
+    shape = (both >> np.uint64(31)) & np.uint64(0x1FFFFFFFE) | again
+    grams = np.concatenate((shape * np.uint64(0x9E3779B97F4A7C15), (shape[:-1] * np.uint64(0xC2B2AE3D27D4EB4F)) ^ (shape[1:] * np.uint64(0x165667B19E3779F9))))
     grams ^= grams >> np.uint64(29)
     grams *= np.uint64(0xBF58476D1CE4E5B9)
     return (grams >> np.uint64(64 - 15)).astype(np.int64)
@@ -163,32 +170,43 @@ def keyed(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
     return weights(docs, ratio).withColumn("sample_key", F.col("log_weight") + gumbel(F.col("doc_id")))
 
 
-def fit(docs: DataFrame, labels: DataFrame, share: float | None = None) -> tuple[np.ndarray, float | None]:
-    """The log ratios by bucket and the least key that stays (None: all stay)."""
-    spark = docs.sparkSession
-    docs = docs.selectExpr("cast(doc_id as long) doc_id", "text")
-    good = training_rows(docs, labels, "quality", TRAIN_DOCS).where("y = 1")
+def learn_ratio(docs: DataFrame, good: DataFrame) -> np.ndarray:
+    """Log ratios by bucket; zeros if there are no good documents."""
     target = bucket_counts(good)
-    ratio = log_ratio(target, bucket_counts(docs)) if target.sum() else np.zeros(BUCKETS)
-    path = work_dir(spark, "quality")
-    keyed(docs, ratio).drop("text").write.parquet(path)
-    keys = spark.read.schema("doc_id long, log_weight double, sample_key double").parquet(path)
+    return log_ratio(target, bucket_counts(docs)) if target.sum() else np.zeros(BUCKETS)
+
+
+def least_key(keys: DataFrame, good: DataFrame, ratio: np.ndarray, share: float | None) -> float | None:
+    """The least key that stays (None: all stay)."""
+    if not ratio.any():
+        return None
     if share is None:
         least = weights(good.select("text"), ratio).agg(F.percentile_approx("log_weight", 1 - RECALL, 100_000)).first()[0]
         k = keys.where(F.col("log_weight") >= F.lit(float("-inf") if least is None else least)).count()
     else:
         k = round(share * keys.count())
-    cut = kth_key(keys, k, "sample_key") if target.sum() else None
-    delete(spark, path)
+    return kth_key(keys, k, "sample_key")
+
+
+def decided(docs: DataFrame, labels: DataFrame, share: float | None) -> tuple[np.ndarray, DataFrame, float | None]:
+    """(log ratios, written keys of all documents without their texts, the least key that stays)."""
+    good = training_rows(docs.selectExpr("cast(doc_id as long) doc_id", "text"), labels, "quality", TRAIN_DOCS).where("y = 1")
+    ratio = learn_ratio(docs, good)
+    keys = written(keyed(docs.selectExpr("cast(doc_id as long) doc_id", "text"), ratio).drop("text"), "quality")
+    return ratio, keys, least_key(keys, good, ratio, share)
+
+
+def fit(docs: DataFrame, labels: DataFrame, share: float | None = None) -> tuple[np.ndarray, float | None]:
+    """The log ratios by bucket and the least key that stays (None: all stay)."""
+    ratio, _, cut = decided(docs, labels, share)
     return ratio, cut
 
 
 def resample(docs: DataFrame, labels: DataFrame, share: float | None = None) -> DataFrame:
-    """docs with log_weight, sample_key and kept: whether the row is among the sampled ones."""
-    ratio, cut = fit(docs, labels, share)
-    return keyed(docs, ratio).withColumn("kept", F.lit(True) if cut is None else F.col("sample_key") >= F.lit(cut))
+    """doc_id, log_weight, sample_key and kept (whether the row is among the sampled ones) of every row of docs."""
+    _, keys, cut = decided(docs, labels, share)
+    return keys.withColumn("kept", F.lit(True) if cut is None else F.col("sample_key") >= F.lit(cut))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").selectExpr("cast(doc_id as long) doc_id", "text")
-    return resample(docs, table(spark, sf_dir, "labels")).drop("text")
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -101,7 +101,7 @@ class Search:
         for q, own in enumerate(self.ids.tolist()):
             query = [int(x) for x in self.vectors[q]]
             best = self.wide.get(q) or [(int(s), int(i)) for s, i in zip(self.scores[q], self.found[q], strict=True) if s > -np.inf]
-            best += [(sum(a * b for a, b in zip(query, v, strict=True)), i) for i, v in zip(ids.tolist(), data, strict=True) if i != own]
+            best += [(max(-(1 << 63), min((1 << 63) - 1, sum(a * b for a, b in zip(query, v, strict=True)))), i) for i, v in zip(ids.tolist(), data, strict=True) if i != own]
             self.wide[q] = sorted(best, key=lambda x: (-x[0], x[1]))[: self.k]
 
     def search(self, queries: Node, data: Node, ids: np.ndarray, vectors: np.ndarray) -> None:
@@ -143,7 +143,7 @@ class Search:
         """(place of the query, vec_id, score)."""
         for q in range(len(self.ids)):
             if q in self.wide:
-                yield from ((q, i, max(-(1 << 63), min((1 << 63) - 1, s))) for s, i in self.wide[q])
+                yield from ((q, i, s) for s, i in self.wide[q])
             else:
                 yield from ((q, int(i), int(s)) for s, i in zip(self.scores[q], self.found[q], strict=True) if s > -np.inf)
 

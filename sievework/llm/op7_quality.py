@@ -51,7 +51,12 @@ def form(chunk: str) -> str:
     for r in _RUNS.findall(chunk[:64]):
         c = r[0]
         kind = "9" if c.isdigit() else ("A" if c.isupper() else "a") if c.isalpha() else c
-        out.append(f"{kind}{sum(len(r) > k for k in _CLASS)}" if kind in "9Aa" else kind if not out or out[-1][0] != kind else kind + "+")
+        if kind in "9Aa":
+            out.append(f"{kind}{sum(len(r) > k for k in _CLASS)}")
+        elif out and out[-1][0] == kind:
+            out[-1] = kind + "+"
+        else:
+            out.append(kind)
     return "".join(dict.fromkeys(out)) if len(out) > 6 else "".join(out)
 
 

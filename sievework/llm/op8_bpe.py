@@ -20,6 +20,8 @@ from .word_bpe import Memo, Merges, StreamingDecoder, chunks
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 #: The public tokenizer's file, by its name in the installed package.
 TOKENIZER = "word_bpe_49k.json"
+#: Entries of one generation of the memo of chunks.
+KEPT_CHUNKS = 400_000
 
 _machines: dict[str, tuple[Merges, Memo]] = {}
 
@@ -39,9 +41,9 @@ def machine(path: str) -> tuple[Merges, Memo]:
         def run(chunk: str) -> tuple[int, str, str]:
             ids = merges.encode_chunk(chunk)
             decoder = StreamingDecoder(merges)
-            return len(ids), " ".join(map(str, ids)), "".join(map(decoder.feed, ids)) + decoder.finish()
+            return len(ids), repr(ids)[1:-1].replace(",", ""), "".join([decoder.feed(i) for i in ids]) + decoder.finish()
 
-        _machines[path] = merges, Memo(run)
+        _machines[path] = merges, Memo(run, KEPT_CHUNKS)
     return _machines[path]
 
 

@@ -22,7 +22,7 @@ import regex
 
 #: Code points with White_Space, as the normalizer's \s has them (str.split also splits at U+001C to U+001F).
 SPACE = regex.compile(r"\p{White_Space}+")
-ODD = regex.compile("[\x1c-\x1f]")
+ODD = "\x1c\x1d\x1e\x1f"
 #: Entries of one generation of a memo.
 MEMO = 250_000
 #: Longest chunk that is kept in a memo, in characters.
@@ -66,7 +66,7 @@ class Memo(dict):
 
 def chunks(text: str) -> list[str]:
     """The parts of a text between white space."""
-    if ODD.search(text):
+    if any(c in text for c in ODD):
         return [x for x in SPACE.split(text) if x]
     return text.split()
 
@@ -99,6 +99,11 @@ class Merges:
         self.max_len = max(map(len, [*self.inner, *self.final]))
         self.sound: dict[int, bool] = {}
         self.apart: dict[int, bool] = {}
+        self.short = Memo(self.encode_short, MEMO // 2)
+        # Longest token that begins with each pair of symbols: no longer part is looked up.
+        self.reach: dict[str, int] = {}
+        for symbols in (*self.inner, *self.final):
+            self.reach[symbols[:2]] = max(self.reach.get(symbols[:2], 0), len(symbols))
 
     @property
     def lookahead(self) -> int:
@@ -172,36 +177,41 @@ class Merges:
         return len(s) - len(self.end) if self.end and s.endswith(self.end) and s != self.end else len(s)
 
     def encode_short(self, symbols: str) -> list[int]:
-        """The tokens of a piece of few symbols: the same scan, all of it held."""
+        """The tokens of a piece of few symbols, all of it in sight: the only sequence of tokens that all keep apart.
+
+        Longest token first; a token goes when nothing that keeps apart from it can follow.
+        """
         n = len(symbols)
         whole = self.final.get(symbols)
         if whole is not None and self.is_sound(whole):
             return [whole]
-        find, apart, sound = self.inner.get, self.apart, self.sound
-        last, back = [-1], [0]
-        for stop in range(1, n + 1):
-            if stop == n:
-                find = self.final.get
-            for at in range(max(0, stop - self.max_len), stop):
-                t = find(symbols[at:stop])
-                if t is None:
-                    continue
-                if at:
-                    key = last[at] << 20 | t
-                    ok = apart[key] if key in apart else self.fits(key)
-                else:
-                    ok = sound[t] if t in sound else self.is_sound(t)
-                if ok:
-                    last.append(t)
-                    back.append(at)
-                    break
-            else:
-                raise ValueError("a symbol isn't in the vocabulary")
-        out, k = [], n
-        while k:
-            out.append(last[k])
-            k = back[k]
-        out.reverse()
+        inner, final, apart, sound, reach = self.inner.get, self.final.get, self.apart, self.sound, self.reach.get
+        out, stops, dead = [], [], set()
+        at, stop, before = 0, min(n, reach(symbols[:2], 1)), -1
+        while at < n:
+            while stop > at:
+                t = inner(symbols[at:stop]) if stop < n else final(symbols[at:])
+                if t is not None:
+                    if before >= 0:
+                        key = before << 20 | t
+                        ok = apart[key] if key in apart else self.fits(key)
+                    else:
+                        ok = sound[t] if t in sound else self.is_sound(t)
+                    if ok and (not dead or (stop, t) not in dead):
+                        break
+                stop -= 1
+            else:  # nothing fits after the last token: another one there
+                if not out:
+                    raise ValueError("a symbol isn't in the vocabulary")
+                dead.add((at, before))
+                out.pop()
+                stop = stops.pop() - 1
+                before, at = (out[-1], stops[-1]) if out else (-1, 0)
+                continue
+            out.append(t)
+            stops.append(stop)
+            before, at = t, stop
+            stop = min(n, at + reach(symbols[at : at + 2], 1))
         return out
 
     def fits(self, key: int) -> bool:
@@ -252,14 +262,14 @@ class Merges:
         low = text.replace("Σ", "σ").lower()  # by code point: no final sigma
         plain = low.isascii()
         if plain and low.isalpha():
-            return self.encode_short(low) if len(low) <= STRIDE else list(self.encode_piece(low))
+            return self.short[low] if len(low) <= STRIDE else list(self.encode_piece(low))
         out = []
         for piece in self.pieces(low):
             if not plain:
                 piece = piece.encode("utf-8", "replace").decode("latin-1").translate(self.alphabet)
             elif not piece.isprintable():
                 piece = piece.translate(self.alphabet)
-            out += self.encode_short(piece) if len(piece) <= STRIDE else self.encode_piece(piece)
+            out += self.short[piece] if len(piece) <= STRIDE else self.encode_piece(piece)
         return out
 
     def encode_chunk(self, chunk: str) -> list[int]:

@@ -13,9 +13,16 @@ from pyspark.sql import functions as F
 SALTS = 16
 
 
+def settled(spark: SparkSession) -> SparkSession:
+    """The session with union partitioning off: a union that claims its children's partitioning, while runtime re-planning
+    changes theirs, makes later joins and aggregations miss rows (seen in 4.1.2)."""
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+    return spark
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables, by a path that any file system Spark knows can serve."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return settled(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,7 +45,7 @@ def work_dir(spark: SparkSession, what: str) -> str:
 
 def written(df: DataFrame, what: str) -> DataFrame:
     """Cut the lineage: write df to the shared folder as Parquet and read it again."""
-    path = work_dir(df.sparkSession, what)
+    path = work_dir(settled(df.sparkSession), what)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -56,13 +56,9 @@ def clean_text(text: Column, nfkc: bool = False) -> Column:
 def _nfkc(text: Column) -> Column:
     import unicodedata
 
-    import pandas as pd
-    from pyspark.sql.functions import pandas_udf
+    from pyspark.sql.functions import PandasUDFType, pandas_udf
 
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
-
-    return pandas_udf(run, "string")(text)
+    return pandas_udf(lambda s: s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x)), "string", PandasUDFType.SCALAR)(text)
 
 
 def shingles(text: Column, k: int = 3) -> Column:

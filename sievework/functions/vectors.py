@@ -126,4 +126,4 @@ def dense_topk(queries: DataFrame, rows: DataFrame, k: int, unit: bool = True, d
     if found is None:
         return spark.createDataFrame([], "query_id long, id long, score double, rank int")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return found.withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") < k)
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).withColumn("rank", F.col("rank") - 1)

@@ -25,7 +25,7 @@ DIGITS = 6
 def top(rows: DataFrame, k: int, score: str = "score", by: str = "query_id", tie: str = "chunk_id") -> DataFrame:
     """The k best rows a query with their rank from 0; Spark limits groups before the shuffle (WindowGroupLimit)."""
     w = Window.partitionBy(by).orderBy(F.desc(score), tie)
-    return rows.withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") < k)
+    return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).withColumn("rank", F.col("rank") - 1)
 
 
 def query_terms(queries: DataFrame) -> DataFrame:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import UNION
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
@@ -24,6 +27,7 @@ def query(sql: str | None = None) -> Callable:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    spark.conf.set(*UNION)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -38,13 +42,22 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the cluster's checkpoint folder (spark.checkpoint.dir; a temporary one only where none is set)."""
+    """Cut the lineage: written as Parquet below the cluster's checkpoint folder and read again.
+
+    The folder is spark.checkpoint.dir; a temporary one only where none is set (tests). A table that is read again, unlike
+    a checkpointed one, claims no partitioning that runtime re-planning may have changed.
+    """
     sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
+    folder = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if folder is None:
         import tempfile
 
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="sievework-checkpoint-"))
-    return df.checkpoint()
+        folder = "file://" + tempfile.mkdtemp(prefix="sievework-checkpoint-")
+        sc.setCheckpointDir(folder)
+    df.sparkSession.conf.set(*UNION)
+    path = f"{folder.rstrip('/')}/sievework-{uuid.uuid4().hex[:16]}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def tok(c: str) -> str:

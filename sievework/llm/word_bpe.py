@@ -13,6 +13,7 @@ a stream of chunks between white space. Chunks repeat, hence the two-generation
 from __future__ import annotations
 
 import codecs
+import ctypes
 import functools
 import json
 import unicodedata
@@ -63,6 +64,35 @@ class Memo(dict):
         self[key] = value
         return value
 
+    def release(self) -> None:
+        """Forget everything, so that a worker process that lives on holds no memory of a task that is over."""
+        self.old = {}
+        self.clear()
+        trim()
+
+
+def trim() -> None:
+    """Give freed memory back to the system, where the C library can."""
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
+_owner, _others = "", {}
+
+
+def enter(operator: str, release: Callable[[], None]) -> None:
+    """Called at the start of an operator's task: what another operator remembers in this worker process is dropped."""
+    global _owner
+    _others[operator] = release
+    if _owner != operator:
+        for name, drop in _others.items():
+            if name != operator:
+                drop()
+        trim()
+        _owner = operator
+
 
 def chunks(text: str) -> list[str]:
     """The parts of a text between white space."""

@@ -19,8 +19,10 @@ other than doc_id and text are neither read nor passed on; doc_id may be null.
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
-from collections import deque
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .op8_bpe import TOKENIZER, tokenizer_path
-from .word_bpe import MEMO, MEMO_CHARS, chunks
+from .word_bpe import MEMO_CHARS, chunks, enter
 
 WINDOW = 4096
 #: The id after each document.
@@ -38,94 +40,155 @@ END_ID = 2
 #: Penalties of a cut inside a document, in padding tokens: after a sentence, elsewhere.
 SENTENCE, FORCED = 6, 24
 #: Without a sentence end for so many tokens, a cut may come after each of them.
-GAP = 64
+GAP = 96
 SEGMENT = 1 << 19
+#: Chunks of texts that are encoded together.
+GROUP = 50_000
+#: Entries of one generation of the memo of chunks.
+KEPT_CHUNKS = 500_000
+#: Chunks that are one piece, or two with the sign at their end, and normalised by lower case alone.
+PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]?)").fullmatch
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
 class Tokenizer:
-    """The library's ids of a text as little-endian unsigned 32-bit numbers; chunks between white space are memoised."""
+    """The library's ids of a text as little-endian unsigned 32-bit numbers; chunks between white space are memoised.
+
+    White space ends pieces and no id stands for it, so a text's ids are its chunks' ids in order. Unknown chunks go to
+    the library many at once: plain words in lower case (one piece; a sign after them is another) with blanks between, cut after the
+    ids that close a piece, others with an added token's string between them, whose id marks where one ends.
+    """
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the parallelism
         from tokenizers import Tokenizer as Library
+        from tokenizers import normalizers, pre_tokenizers
 
         self.library = Library.from_file(path)
+        # For plain words in lower case with blanks between: nothing to normalise, each is a piece.
+        self.bare = Library.from_file(path)
+        self.bare.normalizer = normalizers.Sequence([])
+        self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         ends = [i for s, i in self.library.get_vocab(True).items() if s.removesuffix("</w>")[-1:] in set(".!?…。！？") and s.removesuffix("</w>")]
         self.ends = np.zeros(self.library.get_vocab_size(True) + 1, bool)
         self.ends[ends] = True
-
-    def learn(self, texts: list[list[str]]) -> None:
-        """Encode the chunks that no memo has yet, in one call."""
-        young, old, new = self.young, self.old, set()
-        for t in texts:
-            new.update(t)
-        new.difference_update(young)
-        if len(young) + len(new) > MEMO:
-            self.old = old = {k: v for k, v in young.items() if len(k) <= MEMO_CHARS}
-            self.young = young = {}
-            new = {c for t in texts for c in t}
-        for c in [c for c in new if c in old]:
-            young[c] = old[c]
-            new.discard(c)
-        todo = list(new)
-        for k in range(0, len(todo), 4096):
-            part = todo[k : k + 4096]
-            for c, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                young[c] = np.array(e.ids, "<u4").tobytes()
+        self.closes = np.zeros(len(self.ends), bool)
+        self.closes[[i for s, i in self.library.get_vocab(True).items() if s.endswith("</w>")]] = True
+        self.signs = {sign: self.ids(sign).tobytes() for sign in ["", *".,;:!?"]}
+        self.mark, self.mark_id = next((t.content, i) for i, t in sorted(self.library.get_added_tokens_decoder().items()))
+
+    def ids(self, text: str, library=None) -> np.ndarray:
+        return np.array((library or self.library).encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def learn(self, new: set[str]) -> None:
+        """Put the chunks into the young memo, from the old one or the library."""
+        if len(self.young) + len(new) > KEPT_CHUNKS:
+            self.old = {k: v for k, v in self.young.items() if len(k) <= MEMO_CHARS}
+            self.young = {}
+        young, old = self.young, self.old
+        signs, waiting, bases, todo = self.signs, [], set(), []
+        for c in new:
+            known = old.get(c)
+            if known is not None:
+                young[c] = known
+                continue
+            if c.isascii() and c.isalpha():
+                base, sign = c, ""
+            elif m := PLAIN(c):
+                base, sign = m.groups()
+            else:
+                if len(c) > MEMO_CHARS or self.mark in c:
+                    young[c] = self.ids(c).tobytes()
+                else:
+                    todo.append(c)
+                continue
+            base = base.lower()
+            known = young.get(base) or old.get(base)
+            if known is not None:
+                young[c] = known + signs[sign] if sign else known
+            else:
+                bases.add(base)
+                waiting.append((c, base, sign))
+        plain = list(bases)
+        for k in range(0, len(plain), 256):
+            part, ids = plain[k : k + 256], self.ids(" ".join(plain[k : k + 256]), self.bare)
+            stops = np.flatnonzero(self.closes[ids]) + 1
+            if len(stops) != len(part):
+                raise ValueError("a plain word isn't one piece")
+            self.keep(part, ids, stops.tolist(), 0)
+        for c, base, sign in waiting:
+            young[c] = young[base] + signs[sign] if sign else young[base]
+        for k in range(0, len(todo), 256):
+            part = todo[k : k + 256]
+            ids = self.ids(self.mark.join(part))
+            self.keep(part, ids, [*np.flatnonzero(ids == self.mark_id).tolist(), len(ids)], 1)
+
+    def keep(self, part: list[str], ids: np.ndarray, stops: list[int], gap: int) -> None:
+        raw, at, young = ids.tobytes(), 0, self.young
+        for c, stop in zip(part, stops, strict=True):
+            young[c] = raw[4 * at : 4 * stop]
+            at = stop + gap
 
     def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
-        """Ids of each text, the end id last."""
+        """Ids of each text, the end id last; a few texts are split at a time, so that the parts of a batch don't pile up."""
         end = np.array([END_ID], "<u4").tobytes()
-        split = [chunks(t or "") for t in texts]
-        at = 0
-        while at < len(split):
-            stop, n = at, 0
-            while stop < len(split) and (stop == at or n + len(split[stop]) <= MEMO // 2):
-                n += len(split[stop])
-                stop += 1
-            self.learn(split[at:stop])
-            get = self.young.__getitem__
-            for s in split[at:stop]:
-                yield np.frombuffer(b"".join([*map(get, s), end]), "<u4")
-            at = stop
+        group: list[tuple[list[str], list[bytes | None], list[int]]] = []
+        n = 0
+        for k, t in enumerate(texts):
+            words = chunks(t or "")
+            found = list(map(self.young.get, words))
+            group.append((words, found, [i for i, x in enumerate(found) if x is None]))
+            n += len(words)
+            if n < GROUP and k < len(texts) - 1:
+                continue
+            self.learn({words[i] for words, _, holes in group for i in holes})
+            for words, found, holes in group:
+                for i in holes:
+                    found[i] = self.young[words[i]]
+                found.append(end)
+                yield np.frombuffer(b"".join(found), "<u4")
+            group, n = [], 0
 
 
 def cut_points(docs: list[np.ndarray], ends: np.ndarray, gap: int = GAP) -> tuple[list[int], list[int]]:
     """Positions in the stream of docs where a window may end, and what each costs."""
-    at, where, cost = 0, [], []
-    for ids in docs:
-        inner = np.flatnonzero(ends[np.minimum(ids[:-1], len(ends) - 1)]) + 1
-        marks = np.concatenate(([0], inner, [len(ids)]))
-        marks = marks[np.concatenate(([True], marks[1:] > marks[:-1]))]
-        wide = np.flatnonzero(np.diff(marks) > gap)
-        extra = np.concatenate([np.arange(marks[w] + gap, marks[w + 1], gap) for w in wide]) if len(wide) else np.zeros(0, np.int64)
-        points = np.concatenate((marks[1:-1], extra, [len(ids)]))
-        price = np.concatenate((np.full(len(marks) - 2, SENTENCE), np.full(len(extra), FORCED), [0]))
-        order = np.argsort(points, kind="stable")
-        where += (points[order] + at).tolist()
-        cost += price[order].astype(int).tolist()
-        at += len(ids)
-    return where, cost
+    stream, stops = np.concatenate(docs), np.cumsum([len(ids) for ids in docs])
+    marks = np.union1d(np.flatnonzero(ends[np.minimum(stream, len(ends) - 1)]) + 1, stops)
+    price = np.full(len(marks), SENTENCE)
+    price[np.searchsorted(marks, stops)] = 0
+    starts = np.concatenate(([0], marks[:-1]))
+    extra = (marks - starts - 1) // gap  # forced cuts between two marks
+    if extra.any():
+        many = extra.sum()
+        nth = np.arange(many) - np.repeat(np.cumsum(extra) - extra, extra) + 1
+        marks = np.concatenate((marks, np.repeat(starts, extra) + gap * nth))
+        price = np.concatenate((price, np.full(many, FORCED)))
+        order = np.argsort(marks, kind="stable")
+        marks, price = marks[order], price[order]
+    return marks.tolist(), price.tolist()
 
 
 def best_cuts(where: list[int], cost: list[int], window: int = WINDOW) -> list[int]:
     """Window ends of least total cost; where ends with the stream's end, whose window's padding is free."""
-    b, total, back = [0, *where], [0] * (len(where) + 1), [0] * (len(where) + 1)
-    queue: deque[int] = deque([0])
-    for j in range(1, len(b)):
-        while b[j] - b[queue[0]] > window:
-            queue.popleft()
-        i = queue[0]
+    b, n = [0, *where], len(where)
+    total, keys, back = [0] * (n + 1), [0] * (n + 1), [0] * (n + 1)
+    queue, head = [0], 0  # queue[head:] is the monotone queue: places of rising keys, total + position
+    for j in range(1, n):
+        at = b[j]
+        while at - b[queue[head]] > window:
+            head += 1
+        i = queue[head]
         back[j] = i
-        pad = window - (b[j] - b[i]) if j < len(b) - 1 else 0
-        total[j] = total[i] + pad + cost[j - 1]
-        key = total[j] + b[j]
-        while queue and total[queue[-1]] + b[queue[-1]] >= key:
+        total[j] = keys[i] + window - at + cost[j - 1]
+        keys[j] = key = total[j] + at
+        while len(queue) > head and keys[queue[-1]] >= key:
             queue.pop()
         queue.append(j)
-    out, j = [], len(b) - 1
+    # Without padding, the least total before the end counts.
+    back[n] = min((k for k in range(bisect_left(b, b[n] - window), n)), key=lambda k: (total[k], -k)) if n else 0
+    out, j = [], n
     while j:
         out.append(b[j])
         j = back[j]
@@ -148,7 +211,7 @@ class Packer:
     def pack(self, all_of_it: bool) -> list[tuple]:
         if not self.held:
             return []
-        cuts = best_cuts(*cut_points([h[1] for h in self.held], self.ends), self.window)
+        cuts = best_cuts(*cut_points([h[1] for h in self.held], self.ends, min(GAP, max(1, self.window // 32))), self.window)
         if not all_of_it:
             cuts = cuts[:-2]
         rows, k, at, begin = [], 0, 0, 0  # at: where document k begins
@@ -179,6 +242,7 @@ def pack(docs: DataFrame, tokenizer: str = TOKENIZER, window: int = WINDOW, segm
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         path = tokenizer_path(tokenizer)
+        enter("packing", _tokenizers.clear)
         tok = _tokenizers.get(path) or _tokenizers.setdefault(path, Tokenizer(path))
         context = TaskContext.get()
         packer = Packer(tok.ends, (context.partitionId() if context else 0) << 33, window, segment)

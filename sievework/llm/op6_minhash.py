@@ -4,7 +4,7 @@
    word sequence. Texts of equal word sequences become one representative, so exact copies cost nothing later.
 2. Representatives that share a band with another one are candidates. Their clusters (connected through band
    buckets, not yet verified) hold every pair that may be linked; a pair at similarity 0.85 shares no band with a
-   probability of 2e-8.
+   probability of 2e-8, one at 0.8 of 3e-6.
 3. A cluster of up to `SMALL` texts is verified in one task. A larger one is verified in blocks: first all members
    against the `HUBS` members that share most buckets with others, then, where that left more than one component,
    the members outside the largest component against all blocks. Work on a large group of near copies is so linear
@@ -41,6 +41,8 @@ BANDS, ROWS = 24, 4
 HASHES = BANDS * ROWS
 #: A link: PER_CENT * union <= 100 * intersection.
 PER_CENT = 85
+#: The pipeline's stage links from here.
+STAGE_PER_CENT = 80
 SHINGLE = 5
 SMALL, BLOCK, HUBS = 512, 512, 32
 BATCH, MISS = 16, 1e-9
@@ -110,25 +112,25 @@ def least_matches(n: int, per_cent: int = PER_CENT, miss: float = MISS) -> int:
     return n
 
 
-def survivors(sig: np.ndarray, others: np.ndarray) -> np.ndarray:
+def survivors(sig: np.ndarray, others: np.ndarray, per_cent: int = PER_CENT) -> np.ndarray:
     """Places of the rows of others that no batch of hashes prunes against sig."""
     at, matches = np.arange(len(others)), np.zeros(len(others), np.int32)
     for lo in range(0, HASHES, BATCH):
         matches = matches + (others[at, lo : lo + BATCH] == sig[lo : lo + BATCH]).sum(axis=1)
-        keep = matches >= least_matches(lo + BATCH)
+        keep = matches >= least_matches(lo + BATCH, per_cent)
         at, matches = at[keep], matches[keep]
         if not len(at):
             break
     return at[np.argsort(-matches, kind="stable")]
 
 
-def linked(a: np.ndarray, b: np.ndarray) -> bool:
+def linked(a: np.ndarray, b: np.ndarray, per_cent: int = PER_CENT) -> bool:
     """The exact rule on full sets."""
     na, nb = len(a), len(b)
-    if not na or not nb or 100 * min(na, nb) < PER_CENT * max(na, nb):
+    if not na or not nb or 100 * min(na, nb) < per_cent * max(na, nb):
         return False
     both = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * both >= PER_CENT * (na + nb - both)
+    return 100 * both >= per_cent * (na + nb - both)
 
 
 class Groups:
@@ -151,15 +153,15 @@ class Groups:
         return True
 
 
-def verify(sigs: np.ndarray, sets: list[np.ndarray], left: list[int], right: list[int], groups: Groups) -> list[tuple[int, int]]:
+def verify(sigs: np.ndarray, sets: list[np.ndarray], left: list[int], right: list[int], groups: Groups, per_cent: int) -> list[tuple[int, int]]:
     """Confirmed links between members left and right that connect what isn't connected yet."""
     links = []
     right_at = np.array(right, np.int64)
     others = sigs[right_at] if len(right) else sigs[:0]
     for i in left:
         root = groups.find(i)
-        for j in right_at[survivors(sigs[i], others)].tolist():
-            if i != j and groups.find(j) != root and linked(sets[i], sets[j]):
+        for j in right_at[survivors(sigs[i], others, per_cent)].tolist():
+            if i != j and groups.find(j) != root and linked(sets[i], sets[j], per_cent):
                 groups.join(i, j)
                 root = groups.find(i)
                 links.append((i, j))
@@ -242,18 +244,18 @@ def _link_table(ids: list[int], links: list[tuple[int, int]]) -> pa.Table:
     return pa.table({"id": pa.array([max(ids[i], ids[j]) for i, j in links], pa.int64()), "hub": pa.array([min(ids[i], ids[j]) for i, j in links], pa.int64())})
 
 
-def links_of_small(members: DataFrame) -> DataFrame:
+def links_of_small(members: DataFrame, per_cent: int) -> DataFrame:
     """Spanning links of clusters of bounded size."""
 
     def run(group: pa.Table) -> pa.Table:
         ids, sigs, sets = _members(group)
         everyone = list(range(len(ids)))
-        return _link_table(ids, verify(sigs, sets, everyone, everyone, Groups(len(ids))))
+        return _link_table(ids, verify(sigs, sets, everyone, everyone, Groups(len(ids)), per_cent))
 
     return members.groupBy("cluster").applyInArrow(run, LINK)
 
 
-def links_to_hubs(members: DataFrame, hubs: DataFrame) -> DataFrame:
+def links_to_hubs(members: DataFrame, hubs: DataFrame, per_cent: int) -> DataFrame:
     """Links of a large cluster's blocks, each held against the cluster's hubs."""
 
     def run(key: tuple, group: pa.Table, centre: pa.Table) -> pa.Table:
@@ -269,12 +271,12 @@ def links_to_hubs(members: DataFrame, hubs: DataFrame) -> DataFrame:
             groups.join(first[i], k)
         left = [first[i] for i in own]
         left.sort()
-        return _link_table(ids, verify(sigs, sets, left, sorted(set(first.values())), groups))
+        return _link_table(ids, verify(sigs, sets, left, sorted(set(first.values())), groups, per_cent))
 
     return members.groupBy("cluster", "block").cogroup(hubs.groupBy("cluster", "block")).applyInArrow(run, LINK)
 
 
-def links_of_rest(members: DataFrame, rest: DataFrame) -> DataFrame:
+def links_of_rest(members: DataFrame, rest: DataFrame, per_cent: int) -> DataFrame:
     """Links between blocks of all members and blocks of those outside the largest component.
 
     members: (cluster, block, part, label, ...) repeated for every part of the rest; rest: the same for every block.
@@ -292,12 +294,12 @@ def links_of_rest(members: DataFrame, rest: DataFrame) -> DataFrame:
             place.setdefault(i, k)
         left = sorted({place[i] for i in odd.column("id").to_pylist()})
         right = sorted({place[i] for i in group.column("id").to_pylist()})
-        return _link_table(ids, verify(sigs, sets, left, right, groups))
+        return _link_table(ids, verify(sigs, sets, left, right, groups, per_cent))
 
     return members.groupBy("cluster", "block", "part").cogroup(rest.groupBy("cluster", "block", "part")).applyInArrow(run, LINK)
 
 
-def confirmed_links(reps: DataFrame, docs: DataFrame) -> DataFrame | None:
+def confirmed_links(reps: DataFrame, docs: DataFrame, per_cent: int) -> DataFrame | None:
     """Spanning links between representatives; None if no two share a band."""
     near, degree = bucket_links(written(band_rows(reps.where("sig is not null")), "bands"))
     near = written(near.distinct(), "near")
@@ -311,7 +313,7 @@ def confirmed_links(reps: DataFrame, docs: DataFrame) -> DataFrame | None:
     # A repeated doc_id has several texts only if the input contradicts itself; the representative's hash decides.
     members = written(placed.join(texts, "id").groupBy("cluster", "size", "id", "degree", "sig").agg(F.min("text").alias("text")), "members")
     small = members.where(F.col("size") <= SMALL).select("cluster", "id", "degree", "sig", "text")
-    links = written(links_of_small(small), "small")
+    links = written(links_of_small(small, per_cent), "small")
     large = members.where(F.col("size") > SMALL).withColumn("block", F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / BLOCK)).cast("int"))
     if large.limit(1).count() == 0:
         return links
@@ -326,7 +328,7 @@ def confirmed_links(reps: DataFrame, docs: DataFrame) -> DataFrame | None:
     hubs = best.select("cluster", "id", F.explode(F.sequence(F.lit(0), F.ceil(F.col("size") / BLOCK).cast("int") - 1)).alias("to"))
     hubs = hubs.join(large.select("cluster", "id", "degree", "sig", "text"), ["cluster", "id"]).withColumnRenamed("to", "block").select(*columns)
     hubs = written(hubs, "hubs")
-    first = written(links_to_hubs(large.select(*columns), hubs), "hublinks")
+    first = written(links_to_hubs(large.select(*columns), hubs, per_cent), "hublinks")
     labels = components(first) if first.limit(1).count() else None
     if labels is None:
         labelled = large.withColumn("label", F.col("id"))
@@ -341,16 +343,16 @@ def confirmed_links(reps: DataFrame, docs: DataFrame) -> DataFrame | None:
     odd = parts.drop("block").withColumn("block", F.explode(F.sequence(F.lit(0), F.ceil(F.col("size") / BLOCK).cast("int") - 1))).select(*columns)
     everyone = labelled.join(main.where("all > most").select("cluster", F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("int").alias("parts")), "cluster")
     everyone = everyone.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(*columns)
-    second = written(links_of_rest(everyone, written(odd, "rest")), "restlinks")
+    second = written(links_of_rest(everyone, written(odd, "rest"), per_cent), "restlinks")
     return links.union(first).union(second)
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, per_cent: int = PER_CENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of docs(doc_id, text)."""
     rows = written(prepare(docs), "prepared")
     known = rows.where("doc_id is not null and n_shingles > 0")
     reps = written(known.groupBy("fp").agg(F.min("doc_id").alias("id"), F.min("sig").alias("sig")), "reps")
-    links = confirmed_links(reps, docs)
+    links = confirmed_links(reps, docs, per_cent)
     if links is None or links.limit(1).count() == 0:
         final = reps.select("fp", F.col("id").alias("component_id"))
     else:
@@ -361,9 +363,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def kept_documents(docs: DataFrame) -> DataFrame:
+def kept_documents(docs: DataFrame, per_cent: int = STAGE_PER_CENT) -> DataFrame:
     """One document of each component: the rows of docs but those whose doc_id isn't its component's least."""
-    gone = written(near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("_d")).distinct(), "dropped")
+    gone = written(near_duplicates(docs, per_cent).where("not kept").select(F.col("doc_id").alias("_d")).distinct(), "dropped")
     return docs.join(gone, docs["doc_id"] == gone["_d"], "left_anti")
 
 

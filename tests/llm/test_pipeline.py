@@ -16,7 +16,7 @@ def test_stages_take_effect(spark, sf_small):
     assert second.columns == columns
     assert {r["doc_id"] for r in second.collect()} == {r["doc_id"] for r in op5_lines.judged(first).collect() if r["kept"]}
     third = written(corpus_pipeline.near_dedup(spark, second, sf_small), "t3")
-    assert {r["doc_id"] for r in third.collect()} == {r["doc_id"] for r in op6_minhash.near_duplicates(second).collect() if r["kept"]}
+    assert {r["doc_id"] for r in third.collect()} == {r["doc_id"] for r in op6_minhash.near_duplicates(second, op6_minhash.STAGE_PER_CENT).collect() if r["kept"]}
     fourth = written(corpus_pipeline.secret_scan(spark, third, sf_small), "t4")
     assert fourth.columns == columns and fourth.count() == third.count()
     assert all(not op2_secrets.scan(r["text"])[0] and r["n_chars"] == len(r["text"]) for r in fourth.collect())

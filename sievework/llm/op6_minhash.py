@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import salted_join, table, written
-from .word_bpe import Memo
+from .word_bpe import Memo, enter
 
 BANDS, ROWS = 24, 4
 HASHES = BANDS * ROWS
@@ -65,7 +65,7 @@ def _word_hash(w: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little")
 
 
-_words = Memo(_word_hash)
+_words = Memo(_word_hash, 60_000)
 
 
 def shingle_set(text: bytes | None) -> np.ndarray:
@@ -179,6 +179,7 @@ def prepare(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
 
+        enter("minhash", _words.release)
         for b in batches:
             n, fp, sig = [], [], []
             for t in b.column(1).to_pylist():
@@ -187,6 +188,7 @@ def prepare(docs: DataFrame) -> DataFrame:
                 fp.append(hashlib.blake2b(b" ".join((t or b"").lower().split()), digest_size=16).digest())
                 sig.append(signature(s).tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(sig, pa.binary())], names=["doc_id", "n_shingles", "fp", "sig"])
+        _words.release()
 
     return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as binary) text").mapInArrow(run, PREPARED)
 
@@ -234,6 +236,7 @@ LINK = "id long, hub long"
 
 def _members(table: pa.Table) -> tuple[list[int], np.ndarray, list[np.ndarray]]:
     """ids, signatures and shingle sets of a group, those of the highest degree first."""
+    enter("minhash", _words.release)
     table = table.sort_by([("degree", "descending"), ("id", "ascending")])
     ids = table.column("id").to_pylist()
     sigs = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint32).reshape(len(ids), HASHES)

@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 
 from .common import table, written
 from .op9_toxicity import training_rows
-from .word_bpe import Memo
+from .word_bpe import Memo, enter
 
 BUCKETS = 1 << 15
 TRAIN_DOCS = 20_000
@@ -75,7 +75,7 @@ def quick_form(chunk: str) -> str:
 _LENGTH = [str(sum(n > k for k in _CLASS)) for n in range(65)]
 _form_hash = Memo(lambda f: zlib.crc32(f.encode("utf-8", "replace")) << 32, 50_000)
 #: A token's form hash in the high 32 bits, its own hash (only ever compared within a text) in the low ones.
-_tokens = Memo(lambda chunk: _form_hash[quick_form(chunk)] | hash(chunk) & 0xFFFFFFFF)
+_tokens = Memo(lambda chunk: _form_hash[quick_form(chunk)] | hash(chunk) & 0xFFFFFFFF, 120_000)
 
 
 def buckets(text: str | None) -> np.ndarray:
@@ -97,10 +97,12 @@ def bucket_counts(rows: DataFrame) -> np.ndarray:
     """n-grams by bucket over the text column of rows; each task sends one row a bucket it has met."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("quality", _tokens.release)
         total = np.zeros(BUCKETS, np.int64)
         for b in batches:
             for t in b.column(0).to_pylist():
                 total += np.bincount(buckets(t), minlength=BUCKETS)
+        _tokens.release()
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32), pa.int32()), pa.array(total[at], pa.int64())], names=["bucket", "n"])
 
@@ -123,9 +125,11 @@ def weights(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
     names = [*docs.columns, "log_weight"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("quality", _tokens.release)
         for b in batches:
             w = [float(ratio[buckets(t)].sum()) for t in b.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(w, pa.float64())], names=names)
+        _tokens.release()
 
     return docs.mapInArrow(run, schema)
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
-from .word_bpe import Memo, Merges, StreamingDecoder, chunks
+from .word_bpe import Memo, Merges, StreamingDecoder, chunks, enter
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 #: The public tokenizer's file, by its name in the installed package.
@@ -58,6 +58,7 @@ def encode_digests(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row of docs(doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("bpe", _machines.clear)
         _, memo = machine(tokenizer_path(tokenizer))
         for b in batches:
             rows = [digest_text(memo, t) for t in b.column(1).to_pylist()]

@@ -44,7 +44,7 @@ def test_feedback(spark, tmp_path):
 
 def test_windows_drop_late_rows(spark, tmp_path):
     row = lambda m, v: (1, T0 + dt.timedelta(minutes=m), v)
-    rows = [[row(1, 1.0), row(2, 2.0)], [row(200, 5.0)], [row(3, 100.0), row(400, 1.0)]]
+    rows = [[row(1, 1.0), row(2, 2.0)], [row(200, 5.0)], [row(201, 5.0)], [row(3, 100.0), row(400, 1.0)]]
     stream = source(spark, tmp_path, "w", rows, "user_id long, ts timestamp, value double")
     got = {r["start"]: (r["n"], r["total"]) for r in drained(spark, stateful.tumbling(stream, "1 hour", "10 minutes"), "tumbling")}
     assert got[T0] == (2, 3.0)

@@ -39,6 +39,8 @@ PRIOR, Z, LEAST = 100.0, 4.5, 4
 #: Lengths of the beginnings that are tokens.
 BEGINNINGS = range(3, 9)
 E_VALUE = 0.05
+#: Pairs of words that a task counts before it sends them on.
+PAIRS = 100_000
 CUT = 0.7
 STRIP = string.punctuation + "“”‘’«»¡¿…–—"
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int, n_segments long, spans string"
@@ -186,14 +188,22 @@ def word_counts(rows: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: tuple[set, set] = (set(), set())
+
+        def batch() -> pa.RecordBatch:
+            pairs = [(w, before, y) for y, s in enumerate(seen) for w, before in s if w]
+            columns = list(zip(*pairs, strict=True)) or [(), (), ()]
+            for s in seen:
+                s.clear()
+            return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.int32())], names=["word", "before", "y"])
+
         for b in batches:
-            seen: tuple[set, set] = (set(), set())
             for text, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 words = list(map(word, (text or "").split()))
                 seen[0 if y == 1 else 1].update(zip(words, ["", *words], strict=False))
-            pairs = [(w, before, y) for y, s in enumerate(seen) for w, before in s if w]
-            columns = list(zip(*pairs, strict=True)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.int32())], names=["word", "before", "y"])
+                if len(seen[0]) + len(seen[1]) > PAIRS:
+                    yield batch()
+        yield batch()
 
     pairs = rows.mapInArrow(run, "word string, before string, y int").distinct()
     words = pairs.groupBy("word").agg(F.count_if(F.col("y") == 0).alias("a"), F.count_if(F.col("y") == 1).alias("b"))

@@ -3,8 +3,10 @@
 Base rules come from each text alone. The cross-document part hashes every normalised line (lower case, digits as
 one sign, single blanks) and counts, for each host (the source column), the distinct documents that have it; copies of
 a whole text count as one document, so that a text isn't its own boilerplate. A line in more than `SHARE` of a host's
-distinct documents, and in more than `LEAST` of them, is removed; a document is rejected when fewer than
-`REMAINS` of its words are left.
+distinct documents, and in more than `LEAST` of them, is frequent; a document is rejected when fewer than
+`REMAINS` of its words are left without such lines. The query (judged) is held to its SQL; with
+`most` given, a line in more than that many of a host's distinct documents is frequent whatever its share, since a
+share grows with the host.
 
 Scale: texts are never shuffled. The shuffles are of (host, line hash, text hash) rows, deduplicated and counted with
 map-side aggregation, of the frequent lines' occurrences, and of one narrow row a document. The join with frequent lines
@@ -26,6 +28,8 @@ SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 #: A line is frequent in more than this share, and more than this number, of a host's distinct documents.
 SHARE, LEAST = 0.2, 10
+#: Where the share isn't the only limit, a line in more than this number of a host's distinct documents is frequent too.
+MOST = 40
 #: Share of a document's words that must be left.
 REMAINS = 0.3
 
@@ -73,19 +77,22 @@ def normal_line(line: Column) -> Column:
 
 
 def line_rows(docs: DataFrame) -> DataFrame:
-    """host, doc_id, fp (the text's hash), n_words (the text's), pos, h (the normalised line's hash), n (the line's words): one row a line."""
-    lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    hashed = F.transform(lines, lambda x: F.struct(F.xxhash64(normal_line(x)).alias("h"), F.size(words_of(x)).alias("n")))
+    """host, doc_id, fp (the text's hash), n_words (the text's), pos (the line's place in the text), h (the normalised line's hash), n (the line's words): one row a line."""
+    line = lambda x, i: F.when(x.rlike(r"[^\x20\x09-\x0D]"), F.struct(i.alias("pos"), F.xxhash64(normal_line(x)).alias("h"), F.size(words_of(x)).alias("n")))
+    hashed = F.array_compact(F.transform(F.split("text", "\n"), line))
     with_all = docs.select("host", "doc_id", "fp", bind(hashed, lambda x: F.struct(F.aggregate(x, F.lit(0), lambda s, y: s + y["n"]).alias("n_words"), x.alias("x"))).alias("y"))
-    return with_all.select("host", "doc_id", "fp", "y.n_words", F.posexplode("y.x").alias("pos", "x")).select("host", "doc_id", "fp", "n_words", "pos", "x.h", "x.n")
+    return with_all.select("host", "doc_id", "fp", "y.n_words", F.explode("y.x").alias("x")).select("host", "doc_id", "fp", "n_words", "x.pos", "x.h", "x.n")
 
 
-def frequent_lines(lines: DataFrame, docs: DataFrame, share: float = SHARE, least: int = LEAST) -> DataFrame:
+def frequent_lines(lines: DataFrame, docs: DataFrame, share: float = SHARE, least: int = LEAST, most: int | None = None) -> DataFrame:
     """host and h of the lines above the limits."""
     counts = lines.select("host", "h", "fp").distinct().groupBy("host", "h").agg(F.count("*").alias("n_docs"))
     hosts = docs.select("host", "fp").distinct().groupBy("host").agg(F.count("*").alias("host_docs"))
     above = counts.where(F.col("n_docs") > least)
-    return above.join(hosts.withColumnRenamed("host", "of"), F.col("host").eqNullSafe(F.col("of"))).where(F.col("n_docs") > share * F.col("host_docs")).select("host", "h")
+    high = F.col("n_docs") > share * F.col("host_docs")
+    if most is not None:
+        high |= F.col("n_docs") > most
+    return above.join(hosts.withColumnRenamed("host", "of"), F.col("host").eqNullSafe(F.col("of"))).where(high).select("host", "h")
 
 
 def prepared(docs: DataFrame) -> DataFrame:
@@ -94,13 +101,17 @@ def prepared(docs: DataFrame) -> DataFrame:
     return docs.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("host", host).withColumn("fp", F.xxhash64("text", F.length("text")))
 
 
-def removed_words(docs: DataFrame, share: float = SHARE, least: int = LEAST) -> DataFrame:
-    """doc_id, fp, host, n_words, n_line_words (words in frequent lines) of prepared documents that have a frequent line."""
+def hit_lines(docs: DataFrame, share: float = SHARE, least: int = LEAST, most: int | None = None) -> DataFrame:
+    """doc_id, fp, host, n_words, pos, n of the frequent lines of prepared documents; repeated rows count once."""
     lines = written(line_rows(docs), "lines")
-    frequent = frequent_lines(lines, docs.select("host", "fp"), share, least)
+    frequent = frequent_lines(lines, docs.select("host", "fp"), share, least, most)
     hit = salted_join(lines, frequent, ["host", "h"], "inner", F.struct("fp", "pos"))
-    one = hit.groupBy("doc_id", "fp", "host", "n_words", "pos").agg(F.max("n").alias("n"))  # repeated rows count once
-    return one.groupBy("doc_id", "fp", "host", "n_words").agg(F.sum("n").alias("n_line_words"))
+    return hit.groupBy("doc_id", "fp", "host", "n_words", "pos").agg(F.max("n").alias("n"))
+
+
+def removed_words(docs: DataFrame, share: float = SHARE, least: int = LEAST) -> DataFrame:
+    """doc_id, fp, host, n_words, n_line_words (words in frequent lines) of prepared documents that have a frequent line."""
+    return hit_lines(docs, share, least).groupBy("doc_id", "fp", "host", "n_words").agg(F.sum("n").alias("n_line_words"))
 
 
 def depleted(n_words: Column, gone: Column, remains: float = REMAINS) -> Column:

@@ -231,6 +231,27 @@ def test_line_rules_equal_brute_force(spark):
     assert op5_lines.judged(df.limit(0)).count() == 0
 
 
+def licensed(spark):
+    """500 texts of one source, a licence line in a tenth of them, and some of little else; (DataFrame, texts by id without that line)."""
+    rng = random.Random(21)
+    plain = lambda n: " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(n))
+    licence = "Licensed under the  Example License 2.0 " + plain(45)
+    rows, want = [], {}
+    for i in range(500):
+        head, tail = plain(40), plain(5 if i == 7 else 60)
+        rows.append((i, "\n".join([head, "", licence.replace("2.0", str(i)), "é " + tail] if i % 10 == 0 else [head, tail, ""]), "s", -1))
+        want[i] = "\n".join([head, "", "é " + tail]) if i % 10 == 0 else rows[-1][1]
+    rows.append((500, licence.replace("2.0", "2") + "\n" + plain(10), "s", -1))
+    return spark.createDataFrame(rows + rows[:1], "doc_id long, text string, source string, n_chars int").repartition(3), {i: t for i, t in want.items() if i != 7}
+
+
+def test_lines_in_a_tenth_of_a_large_source_are_frequent(spark):
+    docs, want = licensed(spark)
+    assert {r["n_line_words"] for r in op5_lines.judged(docs).collect()} == {0}  # the query's limits are those of its SQL
+    hits = op5_lines.hit_lines(op5_lines.prepared(docs), most=op5_lines.MOST).collect()
+    assert {r["doc_id"] for r in hits} == {*range(0, 500, 10), 500}
+
+
 def test_line_rules_run_no_python(spark, sf_small):
     plan = op5_lines.query(spark, sf_small)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)

@@ -21,8 +21,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that pass the base rules and aren't depleted by lines frequent on their host."""
-    return op5_lines.kept_documents(docs)
+    """The documents that pass the base rules and aren't depleted by lines frequent on their host, without these lines."""
+    return op5_lines.cleaned_documents(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

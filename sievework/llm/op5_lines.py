@@ -4,17 +4,18 @@ Base rules come from each text alone. The cross-document part hashes every norma
 one sign, single blanks) and counts, for each host (the source column), the distinct documents that have it; copies of
 a whole text count as one document, so that a text isn't its own boilerplate. A line in more than `SHARE` of a host's
 distinct documents, and in more than `LEAST` of them, is frequent; a document is rejected when fewer than
-`REMAINS` of its words are left without such lines. The query (judged) is held to its SQL; with
-`most` given, a line in more than that many of a host's distinct documents is frequent whatever its share, since a
-share grows with the host.
+`REMAINS` of its words are left without such lines. The query (judged, held to its SQL) counts their words;
+cleaned_documents, the pipeline's stage, takes them out of the texts, and there a line in more than `MOST` of a host's
+distinct documents is frequent whatever its share, since a share grows with the host.
 
-Scale: texts are never shuffled. The shuffles are of (host, line hash, text hash) rows, deduplicated and counted with
+Scale: judging never shuffles texts. The shuffles are of (host, line hash, text hash) rows, deduplicated and counted with
 map-side aggregation, of the frequent lines' occurrences, and of one narrow row a document. The join with frequent lines
-deals the rows of a line over `SALTS` parts, since one line may be in a third of all rows.
+deals the rows of a line over `SALTS` parts, since one line may be in a third of all rows. Only cleaned_documents
+shuffles texts, by document, to meet the places of their frequent lines.
 
 Defined results: a null text counts as empty, has no words and fails the base rules; a null source is a host of its
 own; repeated rows get equal results each and count as one document; an empty table gives no rows; extra columns are
-neither read nor passed on (kept_documents passes the columns of documents on); doc_id may be null.
+neither read nor passed on (kept_documents and cleaned_documents pass the columns of documents on); doc_id may be null.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 #: A line is frequent in more than this share, and more than this number, of a host's distinct documents.
 SHARE, LEAST = 0.2, 10
-#: Where the share isn't the only limit, a line in more than this number of a host's distinct documents is frequent too.
+#: In cleaned_documents a line in more than this number of a host's distinct documents is frequent too.
 MOST = 40
 #: Share of a document's words that must be left.
 REMAINS = 0.3
@@ -146,6 +147,22 @@ def kept_documents(docs: DataFrame, share: float = SHARE, least: int = LEAST, re
     return passed.join(gone, same_document(passed, gone), "left_anti").withColumn("text", F.col("_text")).select(*docs.columns)
 
 
+def cleaned_documents(docs: DataFrame, share: float = SHARE, least: int = LEAST, remains: float = REMAINS, most: int | None = MOST) -> DataFrame:
+    """The rows of docs that pass, without their frequent lines; n_chars, if there, made to fit where lines went."""
+    ready = prepared(docs.withColumn("_text", F.col("text")))
+    hits = hit_lines(ready, share, least, most).groupBy("doc_id", "fp", "host", "n_words").agg(F.sum("n").alias("gone"), F.collect_list("pos").alias("pos"))
+    bad = depleted(F.col("n_words"), F.col("gone"), remains)
+    hits = written(hits.select(F.col("doc_id").alias("_d"), F.col("fp").alias("_f"), F.col("host").alias("_h"), bad.alias("_bad"), F.when(~bad, F.col("pos")).alias("_pos")), "hits")
+    words = words_of(F.col("text"))
+    passed = ready.where(bind(words, lambda w: ~failed_base(F.size(w), repeated_words(w))))
+    out = passed.join(hits, same_document(passed, hits), "left").where(~F.coalesce("_bad", F.lit(False)))
+    rest = bind(F.split("_text", "\n"), lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("_pos")), lambda i: F.get(x, i)), "\n"))
+    out = out.withColumn("text", F.when(F.col("_pos").isNull(), F.col("_text")).otherwise(rest))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("_pos").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+    return out.select(*docs.columns)
+
+
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 

@@ -250,6 +250,18 @@ def test_lines_in_a_tenth_of_a_large_source_are_frequent(spark):
     assert {r["n_line_words"] for r in op5_lines.judged(docs).collect()} == {0}  # the query's limits are those of its SQL
     hits = op5_lines.hit_lines(op5_lines.prepared(docs), most=op5_lines.MOST).collect()
     assert {r["doc_id"] for r in hits} == {*range(0, 500, 10), 500}
+    assert 500 not in {r["doc_id"] for r in op5_lines.cleaned_documents(docs).collect()}
+    assert 500 in {r["doc_id"] for r in op5_lines.cleaned_documents(docs, most=None).collect()}
+
+
+def test_frequent_lines_leave_the_texts(spark):
+    docs, want = licensed(spark)
+    for most, share in ((op5_lines.MOST, op5_lines.SHARE), (None, 0.05)):
+        got = op5_lines.cleaned_documents(docs, share=share, most=most)
+        assert got.schema == docs.schema
+        rows = got.collect()
+        assert sorted((r["doc_id"], r["text"]) for r in rows) == sorted([*want.items(), (0, want[0])])
+        assert all(r["n_chars"] == (len(r["text"]) if r["doc_id"] % 10 == 0 else -1) for r in rows)
 
 
 def test_line_rules_run_no_python(spark, sf_small):

@@ -4,7 +4,8 @@ Training (labelled rows outside the held-out fold, at most `TRAIN_DOCS` of them
 tokens are words and their beginnings (insults are inflected), counted once for each different word before them, so
 that copies of a text or passage count once, in toxic and clean texts; log-odds come from a Dirichlet prior of half a count plus the token's overall frequency.
 Tokens whose signed root of the likelihood ratio reaches `Z` form the lexicon (at most `LEXICON`, by z). A word
-scores its best token's log-odds; any other word the log-ratio of all of them together, a small negative drift.
+scores its best token's log-odds, once in a passage (a spelling that comes again while the passage's running score lives
+is drift, after that it scores anew); any other word the log-ratio of all of them together, a small negative drift.
 
 Scoring (every row, whole text): a linear-time scan finds all maximal scoring segments of the text's word scores.
 Their scores follow an extreme-value law in clean text: lambda solves sum p_i exp(lambda s_i) = 1 over clean words,
@@ -42,6 +43,8 @@ E_VALUE = 0.05
 #: Pairs of words that a task counts before it sends them on.
 PAIRS = 100_000
 CUT = 0.7
+#: A passage ends when its running score has dropped from its peak by so many times the lexicon's greatest score.
+DROP = 1.0
 STRIP = string.punctuation + "“”‘’«»¡¿…–—"
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int, n_segments long, spans string"
 
@@ -95,17 +98,35 @@ class Model:
         return {**self.__dict__, "_memo": None}
 
     def hits(self, text: str) -> tuple[int, list[tuple[int, float]]]:
-        """Number of words, and (place, score) of those in the lexicon; a word that comes again counts the first time."""
+        """Number of words, and (place, score) of those in the lexicon; each counts once in a passage.
+
+        A passage ends where the drift has used up its score, or `DROP` times the lexicon's greatest one since its peak.
+        """
         if self._memo is None:
             get = self.lexicon.get
             self._memo = Memo(lambda c: max([get(t, 0.0) for t in tokens(word(c))]) if c else 0.0)
         found = list(map(self._memo.__getitem__, text.split()))
         if not any(found):
             return len(found), []
-        words = text.split()
-        hits = [(k, s) for k, s in enumerate(found) if s]
-        first = {words[k]: k for k, _ in reversed(hits)}
-        return len(found), [(k, s) for k, s in hits if first[words[k]] == k]
+        words, out = text.split(), []
+        most = DROP * max(self.lexicon.values())
+        seen: set[str] = set()
+        at, total, peak = 0, 0.0, 0.0
+        for k, s in enumerate(found):
+            if not s:
+                continue
+            total += (k - at) * self.drift
+            at = k
+            if total <= 0 or peak - total > most:
+                seen.clear()
+                total = peak = 0.0
+            if words[k] not in seen:
+                seen.add(words[k])
+                out.append((k, s))
+                total += s
+                peak = max(peak, total)
+                at = k + 1
+        return len(found), out
 
     def found(self, text: str) -> tuple[int, list[tuple[int, int, float]]]:
         """Number of words, maximal segments; stretches of other words count as one score of their summed drift."""

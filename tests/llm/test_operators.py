@@ -425,6 +425,17 @@ def test_toxicity_learns_outside_the_held_out_fold(spark):
     assert op9_toxicity.score(docs.limit(0), tags).count() == 0
 
 
+def test_words_that_came_before_form_segments():
+    model = op9_toxicity.Model({"mean ": 6.0, "bad ": 5.0, "vile ": 4.0}, -0.05, 1.0)
+    plain = ["word"] * 200
+    early = [*plain, "mean", *plain, "bad", *plain, "vile", *plain]
+    n, segs = model.found(" ".join([*early, "mean", "bad", "vile", "mean", *plain]))
+    at = len(early)
+    assert model.significant(n, segs) == [(at, at + 3, 15.0)] and len(segs) == 4
+    # Within a passage a spelling counts once; a later passage of it alone is found again.
+    assert model.found(" ".join([*plain, *["mean"] * 5, *plain, *["mean"] * 5, *plain]))[1] == [(200, 201, 6.0), (405, 406, 6.0)]
+
+
 # --- 10 -----------------------------------------------------------------------------------------------------------------
 
 ARTICLE = "<h1>A title</h1><p>First paragraph with some <a href=x>link</a> &amp; more text in   it, quite long.<p>Second &eacute; one,<br>with a break and enough words to be dense.</p><ul><li>point one of it<li>point two of it</ul>"

@@ -7,7 +7,8 @@ document, and taking the k greatest keys samples k documents without replacement
 
 n-grams are those of token forms: a token between white space becomes its outline (letters by case and length class,
 digits, the punctuation itself) with a mark if it repeats one of the three before it, then single forms and pairs are
-hashed; so they generalise to words never seen. k is `share` of all documents; None takes the share of all
+hashed; so they generalise to words never seen. A token longer than `PART` (text without white space, base64) counts as
+its consecutive parts of that length, so all of it has its weight. k is `share` of all documents; None takes the share of all
 documents whose weight is not below the `1 - RECALL` quantile of the weights of labelled good documents.
 
 Two passes of map-only work: bucket counts (summed before the shuffle; their number is fixed) and weights. The k-th
@@ -41,6 +42,8 @@ RECALL = 0.9998
 SEED = 20
 #: Pseudo-count of a bucket.
 SMOOTH = 0.5
+#: Characters of the parts that longer tokens are split into.
+PART = 64
 _RUNS = re.compile(r"[A-ZÀ-ÖØ-Þ]+|[^\W\d_A-ZÀ-ÖØ-Þ]+|\d+|_|(?:(?!\w).)", re.S)
 _CLASS = (1, 3, 7, 15)
 
@@ -48,7 +51,7 @@ _CLASS = (1, 3, 7, 15)
 def form(chunk: str) -> str:
     """Outline of a token between white space."""
     out = []
-    for r in _RUNS.findall(chunk[:64]):
+    for r in _RUNS.findall(chunk):
         c = r[0]
         kind = "9" if c.isdigit() else ("A" if c.isupper() else "a") if c.isalpha() else c
         if kind in "9Aa":
@@ -63,7 +66,7 @@ def form(chunk: str) -> str:
 def quick_form(chunk: str) -> str:
     """form() without a pattern for the most common tokens: a lower-case word, with one sign after it or not."""
     n = len(chunk)
-    if n <= 64 and chunk.islower():
+    if n <= PART and chunk.islower():
         if chunk.isalpha():
             return "a" + _LENGTH[n]
         last = chunk[-1]
@@ -72,15 +75,23 @@ def quick_form(chunk: str) -> str:
     return form(chunk)
 
 
-_LENGTH = [str(sum(n > k for k in _CLASS)) for n in range(65)]
+_LENGTH = [str(sum(n > k for k in _CLASS)) for n in range(PART + 1)]
 _form_hash = Memo(lambda f: zlib.crc32(f.encode("utf-8", "replace")) << 32, 50_000)
 #: A token's form hash in the high 32 bits, its own hash (only ever compared within a text) in the low ones.
 _tokens = Memo(lambda chunk: _form_hash[quick_form(chunk)] | hash(chunk) & 0xFFFFFFFF, 120_000)
 
 
+def parts(text: str) -> list[str]:
+    """The tokens between white space, those longer than `PART` in consecutive parts."""
+    chunks = text.split()
+    if max(map(len, chunks), default=0) <= PART:
+        return chunks
+    return [c[i : i + PART] for c in chunks for i in range(0, len(c), PART)]
+
+
 def buckets(text: str | None) -> np.ndarray:
     """Hash buckets of a text's n-grams: single forms and pairs, with the repeat mark in the form."""
-    both = np.array(list(map(_tokens.__getitem__, (text or "").split())), np.uint64)
+    both = np.array(list(map(_tokens.__getitem__, parts(text or ""))), np.uint64)
     if not len(both):
         return np.zeros(0, np.int64)
     again = np.zeros(len(both), bool)

@@ -368,6 +368,16 @@ def test_kth_key_with_ties(spark):
         assert op7_quality.kth_key(df, k) == sorted(values, reverse=True)[k - 1]
 
 
+def test_tokens_without_white_space_count_whole():
+    rng = random.Random(22)
+    for alphabet in ("你好世界天地人", "abcXYZ019+/"):
+        text = "".join(rng.choices(alphabet, k=6400))
+        assert "".join(op7_quality.parts(text)) == text and len(op7_quality.buckets(text)) == 199
+        assert not np.array_equal(op7_quality.buckets(text[:64] + "!?#" * 2112), op7_quality.buckets(text))
+    assert op7_quality.parts("a " + "b" * 64 + "\nc") == ["a", "b" * 64, "c"] and op7_quality.parts("b" * 65) == ["b" * 64, "b"]
+    assert op7_quality.form("a" * 70 + "!") == "a4!"
+
+
 def test_forms():
     assert op7_quality.form("word,") == op7_quality.quick_form("word,") == "a2,"
     assert op7_quality.form("the***") == "a1*+" and op7_quality.form("HEAR!!") == "A2!+"

@@ -12,7 +12,7 @@ children's densities is the article. The least density on the path from there to
 sibling along that path that reaches it belongs to the article too. An enclosing <article> or <main> is taken whole.
 
 Map-only. Defined results: a null or empty page has an empty text; without markup the whole text is one block;
-pages of any length are parsed whole; ties of density go to the node further up; repeated rows are extracted each
+pages of any length are parsed whole; only script, style, iframe, textarea and title without an end take the rest of the page; ties of density go to the node further up; repeated rows are extracted each
 for itself; an empty table gives no rows; other columns are neither read nor passed on; page_id and url may be null.
 """
 
@@ -30,11 +30,13 @@ from .common import table
 
 # Element names of the HTML standard by their role in parsing and layout.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe svg math canvas object select textarea button title".split())
+RAW = frozenset("script style iframe textarea title".split())
+#: Left out with what they hold, if they end by their own tag or hold no blocks: without that tag they would take the page with them.
+INSET = frozenset("noscript template svg canvas object select button annotation annotation-xml".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 DROPPED = frozenset("nav aside footer form menu dialog head fieldset".split()) | RAW
 IMPLIED_END = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-FENCE = frozenset("ul ol dl table body html article section div main td".split())
+FENCE = frozenset("ul ol dl table body html article section div main td".split()) | INSET
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog".split())
 #: Words in a class or an id that mark a part as no article.
 HINTS = frozenset(
@@ -42,6 +44,12 @@ HINTS = frozenset(
     " sidebar side rail menu menus nav navbar navigation breadcrumb breadcrumbs header masthead topbar footer foot bottombar comment comments commentlist respond reply replies disqus discussion share sharing social"
     " related recommended recommendations widget widgets login signup search toolbar pagination pager".split()
 )
+#: Those of them that headings and sections inside an article have too.
+COMMON = frozenset(
+    "header discussion related recommended recommendations search notice notices side alert banner navigation menu menus promotion advertising advertisement sponsor sponsored subscription consent reply replies"
+    " cookie cookies login signup share sharing social widget widgets comment".split()
+)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 MARKS = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -49,27 +57,34 @@ SCHEMA = "page_id long, url string, text string, n_chars long"
 
 
 class Node:
-    __slots__ = ("tag", "parent", "kids", "chars", "tags", "link_chars", "link_tags", "dropped", "density")
+    __slots__ = ("tag", "parent", "kids", "chars", "tags", "link_chars", "link_tags", "dropped", "named", "blocks", "density")
 
     def __init__(self, tag: str, parent: Node | None, dropped: bool):
-        self.tag, self.parent, self.dropped = tag, parent, dropped
+        self.tag, self.parent = tag, parent
+        self.dropped, self.named = dropped or tag in INSET, dropped
+        self.blocks = False  # whether a block element lies below
         self.kids: list = []  # nodes and strings in page order
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = 0.0
         if parent is not None:
             parent.kids.append(self)
+            while tag in BLOCK and parent is not None and not parent.blocks:
+                parent.blocks, parent = True, parent.parent
+
+
+def within(at: Node | None) -> bool:
+    """Whether the place below a node is inside an article."""
+    while at is not None and at.tag not in ("article", "main"):
+        at = at.parent
+    return at is not None
 
 
 def no_article(tag: str, attributes: str, parent: Node) -> bool:
     """Whether an element names itself as a part beside the article."""
     if tag in DROPPED:
         return True
-    if tag == "header":
-        at: Node | None = parent
-        while at is not None and at.tag not in ("article", "main"):
-            at = at.parent
-        if at is None:
-            return True
+    if tag == "header" and not within(parent):
+        return True
     if not attributes or tag in ("html", "body", "article", "main"):
         return False
     for m in MARKS.finditer(attributes):
@@ -78,25 +93,34 @@ def no_article(tag: str, attributes: str, parent: Node) -> bool:
             return True
         if name == "role" and value.lower() in ROLES or name == "style" and "display:none" in value.replace(" ", "").lower():
             return True
-        if name in ("class", "id") and not HINTS.isdisjoint(w.lower() for w in WORDS.findall(value)):
-            return True
+        if name in ("class", "id") and (hints := HINTS.intersection(w.lower() for w in WORDS.findall(value))):
+            if not (hints <= COMMON or tag in HEADINGS) or not within(parent):
+                return True
     return False
 
 
+def leave(at: Node | None, to: Node | None) -> None:
+    """Nodes from at up to `to` end without their own tags: an inset one that holds blocks never was one."""
+    while at is not None and at is not to:
+        if at.tag in INSET and at.blocks:
+            at.dropped = at.named
+        at = at.parent
+
+
 def parse(page: str) -> Node:
-    """The page's tree; text of dropped parts is not kept."""
+    """The page's tree."""
     root = Node("html", None, False)
     at, pos, n = root, 0, len(page)
     while pos < n:
         m = TOKEN.search(page, pos)
         stop = m.start() if m else n
-        if stop > pos and not at.dropped:
+        if stop > pos:
             at.kids.append(entities.unescape(page[pos:stop]))
         if m is None:
             break
         pos = m.end()
         if m[2] is None:
-            if m[0].startswith("<![CDATA[") and not at.dropped:
+            if m[0].startswith("<![CDATA["):
                 at.kids.append(m[0][9:].removesuffix("]]>"))
             continue
         tag = m[2].lower()
@@ -105,9 +129,11 @@ def parse(page: str) -> Node:
             while up is not None and up.tag != tag:
                 up = None if up.tag in ("td", "th") and tag not in BLOCK else up.parent
             if up is not None and up.parent is not None:
+                leave(at, up)
                 at = up.parent
             continue
         if tag in ("html", "body") and at.tag in ("html", "body", "head"):
+            leave(at, root)
             at = root
             if tag == "body":
                 at = Node("body", root, False)
@@ -118,8 +144,9 @@ def parse(page: str) -> Node:
             while up is not None and up.tag not in FENCE and up.tag != "p" and not (ends and up.tag in ends):
                 up = up.parent
             if up is not None and (up.tag == "p" or ends and up.tag in ends) and up.parent is not None:
+                leave(at, up)
                 at = up.parent
-        node = Node(tag, at, at.dropped or no_article(tag, m[3], at))
+        node = Node(tag, at, no_article(tag, m[3], at))
         if tag in VOID or m[3].endswith("/") and tag not in BLOCK:
             continue
         if tag in RAW:
@@ -127,6 +154,7 @@ def parse(page: str) -> Node:
             pos = end.end() if end else n
             continue
         at = node
+    leave(at, None)
     return root
 
 

@@ -462,6 +462,21 @@ def test_main_text(frame):
     assert op10_html.extract(frame.format(ARTICLE)) == WANT
 
 
+@pytest.mark.parametrize("tag", ["button", "object", "canvas", "svg", "select", "template", "noscript"])
+def test_a_missing_end_takes_nothing_with_it(tag):
+    for page in ("<body><article>{}" + ARTICLE + "</article><p>end</p>", "<body><div>{}</div><main>" + ARTICLE + "</main>", "<body>{}<article>" + ARTICLE + "</article><button>ok</button>", "<body><p>{}<article>" + ARTICLE + "</article>"):
+        assert op10_html.extract(page.format(f"<{tag} class=x>")) == WANT
+        assert op10_html.extract(page.format(f"<{tag} class=x><b>left</b> <p>out</p></{tag}>")) == WANT
+        assert op10_html.extract(page.format(f"<{tag} class=x><script>x</script></{tag}>")) == WANT
+    assert "left" not in op10_html.extract(f"<body><article><div><{tag}>left</div>{ARTICLE}</article>")
+
+
+def test_formulas_and_named_sections_stay():
+    page = "<body><article><header class='entry-header'><h1>Head</h1></header><p>By <math><mi>x</mi><mo>=</mo><mn>1</mn></math> here.</p><h2 id='discussion'>Talk</h2><section id='related-work'><p>Others.</p></section><div class='notice'><p>Note.</p></div><h3 id=comments>On comments</h3><section id=comments><p>first!</p></section></article>"
+    assert op10_html.extract(page) == "Head\nBy x=1 here.\nTalk\nOthers.\nNote.\nOn comments"
+    assert op10_html.extract("<body><div class='related'><p>others and others</p></div><div><p>Text of the page.</p></div>") == "Text of the page."
+
+
 def test_html_edge_cases(spark):
     assert op10_html.extract(None) == op10_html.extract("") == op10_html.extract("<p></p><script>x") == ""
     assert op10_html.extract("plain  text\n here &lt;b&gt;") == "plain text here <b>"

@@ -1,6 +1,7 @@
 """Operator 2, secret scan: fixed patterns and a randomness test battery with false-discovery control.
 
-Base spans come from three patterns. The battery looks at every other run of 20 or more token characters: it infers
+Base spans come from three patterns. The battery looks at every run of 20 or more token characters outside them, of a
+longer run that a base span touches at the parts beside it: it infers
 the encoding (the smallest alphabet that holds the run), and tests the run's symbols as draws from that alphabet by
 
 * chi-squared uniformity of the alphabet (in equal bins of at least four expected symbols),
@@ -10,7 +11,7 @@ the encoding (the smallest alphabet that holds the run), and tests the run's sym
 A secret passes all three (each at `KEEP` / 3, Bonferroni). That alone would pass short words too, so the discovery
 p-value is the chance that ordinary text of the same length over the same alphabet is as even as the run: the lower
 tail of the non-central chi-squared whose non-centrality grows with the length (`TEXT_BIAS` a symbol). Candidates
-of a document are then taken by a Benjamini-Hochberg step at level `FDR`, weighted by length.
+of a document are then taken by a Benjamini-Hochberg step at level `FDR`, weighted by length; equal runs are one test.
 
 Map-only. Defined results: a null or empty text has no spans (base_sha256 is that of the empty string); texts of any
 length are scanned whole; repeated rows are scanned each for itself; an empty table gives no rows; other columns are
@@ -22,6 +23,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -38,11 +40,14 @@ KINDS = ("assign", "access", "hex", "random")
 
 #: Runs that the battery looks at.
 RUN = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
+SHORTEST = 20
 #: Alphabets from small to large; the first that holds a run is its encoding.
 ALPHABETS = {
     "decimal": "0123456789",
     "hex": "0123456789abcdef",
     "hex upper": "0123456789ABCDEF",
+    "lower": "abcdefghijklmnopqrstuvwxyz",
+    "upper": "ABCDEFGHIJKLMNOPQRSTUVWXYZ",
     "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
     "base36": "0123456789abcdefghijklmnopqrstuvwxyz",
     "base36 upper": "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ",
@@ -117,27 +122,34 @@ def battery(run: str) -> tuple[float, float] | None:
     return min(1.0, 3 * min(p_even, p_runs, p_serial)), p_text
 
 
-def candidate(run: str) -> bool:
-    """Runs that are worth testing: digits and letters, or letters of both cases mixed as words don't mix them."""
-    digits = sum(c.isdigit() for c in run)
-    if digits == len(run):
-        return False
-    inner = sum(a.islower() and b.isupper() for a, b in zip(run, run[1:], strict=False))
-    return digits >= 2 or inner >= 3
+def parts(start: int, end: int, taken: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """The stretches of `SHORTEST` characters and more from start to end outside the taken spans, which are sorted."""
+    for s, e in taken:
+        if s >= end:
+            break
+        if s - start >= SHORTEST:
+            yield start, s
+        start = max(start, e)
+    if end - start >= SHORTEST:
+        yield start, end
 
 
 def battery_spans(text: str, taken: list[tuple[int, int]], fdr: float = FDR, keep: float = KEEP) -> list[tuple[int, int]]:
-    """Runs outside the taken spans that the battery finds random, under false-discovery control over the text."""
-    found = []
+    """Runs outside the taken spans that the battery finds random, under false-discovery control over the text's different runs."""
+    places: dict[str, list[tuple[int, int]]] = {}
+    taken, at = sorted(taken), 0
     for m in RUN.finditer(text):
-        if candidate(m[0]) and not any(s < m.end() and m.start() < e for s, e in taken) and (p := battery(m[0])):
-            found.append((p[1], p[0], m.start(), m.end()))
+        while at < len(taken) and taken[at][1] <= m.start():
+            at += 1
+        for s, e in parts(*m.span(), taken[at : bisect_left(taken, (m.end(),), at)]):
+            places.setdefault(text[s:e], []).append((s, e))
+    found = [(p[1], p[0], run) for run in places if (p := battery(run))]
     if not found:
         return []
-    mean = sum(f[3] - f[2] for f in found) / len(found)
-    weighted = sorted((p * mean / (e - s), r, s, e) for p, r, s, e in found)
+    mean = sum(len(f[2]) for f in found) / len(found)
+    weighted = sorted((p * mean / len(run), r, run) for p, r, run in found)
     cut = max((k for k, w in enumerate(weighted, 1) if w[0] <= fdr * k / len(weighted)), default=0)
-    return sorted((s, e) for _, r, s, e in weighted[:cut] if r >= keep)
+    return sorted(place for _, r, run in weighted[:cut] if r >= keep for place in places[run])
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:

@@ -83,6 +83,22 @@ def test_battery_tells_random_from_words():
     assert not any(op2_secrets.battery_spans(p, []) for p in plain)
 
 
+def test_battery_judges_every_run():
+    rng = random.Random(23)
+    for alphabet in ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"):
+        hits = sum(bool(op2_secrets.battery_spans("x " + "".join(rng.choices(alphabet, k=64)), [])) for _ in range(100))
+        assert hits >= 80
+    assert not op2_secrets.battery_spans("-" * 30 + " internationalizationsupport " + "=_" * 20 + " abcdefghijklmnopqrstuvwxyz", [])
+    # The rest of a run around a pattern's span, and equal runs as one test.
+    keys = ["".join(rng.choices(op2_secrets.ALPHABETS["base62"], k=64)) for _ in range(20)]
+    whole = sum([k for k, s, e in op2_secrets.scan(f"{k}Z0123456789abcdef_{k}")[1]].count("random") == 2 for k in keys)
+    assert whole >= 16
+    key = next(k for k in keys if op2_secrets.battery_spans(k, []))
+    text = f"{key} " + ("-" * 40 + " ") * 200 + key
+    assert op2_secrets.battery_spans(text, []) == [(0, 64), (len(text) - 64, len(text))]
+    assert list(op2_secrets.parts(0, 100, [(0, 5), (10, 30), (25, 40), (60, 61), (90, 120)])) == [(40, 60), (61, 90)]
+
+
 def test_secret_query(spark):
     rows = [(1, "token=abcdefghijklmnop", 5), (1, "token=abcdefghijklmnop", 5), (None, None, 1), (3, "x" * 200_000, 2)]
     df = spark.createDataFrame(rows, "doc_id long, text string, n_hex long")

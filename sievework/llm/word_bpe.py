@@ -1,10 +1,11 @@
 """Byte-level BPE with word ends as a bounded-lookahead streaming transducer.
 
-The merge list defines, for every prefix of a piece (a maximal match of the pre-tokenizer's pattern), exactly one
-last token: the token t that ends there, is its own encoding, and stays apart from the last token before it. So a
-left-to-right scan needs one last token for each of the latest `max_len` positions, and a token can be emitted as
-soon as the back-pointers of all those positions run through it: no later symbol can change it. How far that may
-be is bounded by the merge list (`Merges.lookahead`); it is usually a few symbols.
+A piece (a maximal match of the pre-tokenizer's pattern) has exactly one sequence of tokens of which each is its own
+encoding and no merge ever crosses a boundary. The transducer reads a piece in windows, finds that sequence for the
+window, and emits the tokens that are stable: those that end `Merges.lookahead` symbols before the window's end, which no
+later symbol can change, and all of them where the piece ends. The next window begins after the last emitted token. So
+memory is constant, however long a piece is. The sufficient lookahead is computed from the merge list (for the file
+used here it is 196 symbols), not guessed.
 
 White space separates pieces, and the normalizer (NFC, lower case by code point) never acts across it, so a text is
 a stream of chunks between white space. Chunks repeat, hence the two-generation memo of bounded size.
@@ -15,10 +16,12 @@ from __future__ import annotations
 import codecs
 import ctypes
 import functools
+import gc
 import json
 import unicodedata
 from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 import regex
 
 #: Code points with White_Space, as the normalizer's \s has them (str.split also splits at U+001C to U+001F).
@@ -28,8 +31,8 @@ ODD = "\x1c\x1d\x1e\x1f"
 MEMO = 250_000
 #: Longest chunk that is kept in a memo, in characters.
 MEMO_CHARS = 64
-#: Positions of a long piece between two attempts to emit.
-STRIDE = 256
+#: Symbols of a window beside the lookahead.
+STRIDE = 1024
 
 
 @functools.cache
@@ -73,6 +76,8 @@ class Memo(dict):
 
 def trim() -> None:
     """Give freed memory back to the system, where the C library can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
     except (OSError, AttributeError):
@@ -94,6 +99,19 @@ def enter(operator: str, release: Callable[[], None]) -> None:
         _owner = operator
 
 
+def folded(text: str) -> str:
+    """The text in lower case, where that alone gives the same ids; else as it is.
+
+    In Latin-1, characters are normal by themselves and turn to lower case one by one. An added token's string may not change.
+    """
+    if not text.isascii():
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return text
+    return text if "<|" in text else text.lower()
+
+
 def chunks(text: str) -> list[str]:
     """The parts of a text between white space."""
     if any(c in text for c in ODD):
@@ -101,6 +119,18 @@ def chunks(text: str) -> list[str]:
     return text.split()
 
 
+def slices(text: str, size: int = 1 << 16) -> Iterator[str]:
+    """A text in parts of about `size` characters, cut at white space alone."""
+    at, n = 0, len(text)
+    while n - at > size:
+        m = SPACE.search(text, at + size)
+        if m is None:
+            break
+        yield text[at : m.start()]
+        at = m.end()
+    yield text[at:]
+
+
 class Merges:
     """The vocabulary and merge list of a tokenizer file, with what the transducer asks of them."""
 
@@ -121,7 +151,7 @@ class Merges:
             self.rank[v[a], v[b]] = r
             self.parts.setdefault(made, (v[a], v[b], r))
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        self.pieces = regex.compile(pattern).findall
+        self.pieces = regex.compile(pattern).finditer
         self.added = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.alphabet = str.maketrans({chr(b): c for b, c in enumerate(byte_alphabet())})
         self.inner = {s: i for s, i in v.items() if not s.endswith(self.end)} if self.end else v
@@ -129,16 +159,29 @@ class Merges:
         self.max_len = max(map(len, [*self.inner, *self.final]))
         self.sound: dict[int, bool] = {}
         self.apart: dict[int, bool] = {}
-        self.short = Memo(self.encode_short, MEMO // 2)
         # Longest token that begins with each pair of symbols: no longer part is looked up.
         self.reach: dict[str, int] = {}
         for symbols in (*self.inner, *self.final):
             self.reach[symbols[:2]] = max(self.reach.get(symbols[:2], 0), len(symbols))
 
-    @property
+    @functools.cached_property
     def lookahead(self) -> int:
-        """Symbols after a token that are enough to know it: each of the merges moves a boundary by a token's length at most."""
-        return len(self.rank) * self.max_len
+        """Symbols after a token that are enough to know it.
+
+        Take two texts that go on differently after a common prefix. far[t] bounds how many symbols before the prefix's
+        end a token t may begin that only one of them has. Merges act in the order of their ranks, so one pass over them
+        in that order follows every chain of effects: if a right part differs, its left neighbour is merged in one text
+        only; if a left part differs, the merged token does, and the right part may be left over.
+        """
+        far = {t: int(t not in self.parts) for t in self.strings}  # the prefix's last symbol may end the word or not
+        size = {t: self.length(t) for t in self.strings}
+        for (a, b), _ in sorted(self.rank.items(), key=lambda m: m[1]):
+            made = self.vocab[self.strings[a] + self.strings[b]]
+            begins = max(far[a], far[b] + size[a])
+            far[b] = max(far[b], far[a] - size[a])
+            far[a] = begins
+            far[made] = max(far[made], begins)
+        return max(far.values())
 
     def keeps_apart(self, left: int, right: int) -> bool:
         """Whether no merge ever crosses the boundary when left's and right's symbols stand side by side.
@@ -185,39 +228,24 @@ class Merges:
             ids[k : k + 2] = [self.vocab[self.strings[ids[k]] + self.strings[ids[k + 1]]]]
         return ids == [token]
 
-    def last_token(self, symbols: str, start: int, stop: int, last: list[int], table: dict[str, int]) -> int:
-        """The one token that ends at stop; last[k] is the token that ends after k symbols of symbols[start:]."""
-        apart = self.apart
-        for at in range(max(start, stop - self.max_len), stop):
-            t = table.get(symbols[at:stop])
-            if t is None:
-                continue
-            p = last[at - start]
-            if p >= 0:
-                key = p << 20 | t
-                if not (apart[key] if key in apart else self.fits(key)):
-                    continue
-            elif not self.is_sound(t):
-                continue
-            return t
-        raise ValueError("a symbol isn't in the vocabulary")
-
     def length(self, token: int) -> int:
         s = self.strings[token]
         return len(s) - len(self.end) if self.end and s.endswith(self.end) and s != self.end else len(s)
 
-    def encode_short(self, symbols: str) -> list[int]:
-        """The tokens of a piece of few symbols, all of it in sight: the only sequence of tokens that all keep apart.
+    def window(self, symbols: str, before: int = -1, ends: bool = True) -> list[int]:
+        """The tokens of a window that follows the token before (-1: the piece's begin); ends: whether the piece ends with it.
 
         Longest token first; a token goes when nothing that keeps apart from it can follow.
         """
         n = len(symbols)
-        whole = self.final.get(symbols)
-        if whole is not None and self.is_sound(whole):
-            return [whole]
-        inner, final, apart, sound, reach = self.inner.get, self.final.get, self.apart, self.sound, self.reach.get
-        out, stops, dead = [], [], set()
-        at, stop, before = 0, min(n, reach(symbols[:2], 1)), -1
+        inner, apart, sound, reach = self.inner.get, self.apart, self.sound, self.reach.get
+        final = self.final.get if ends else inner
+        if before < 0:
+            whole = final(symbols)
+            if whole is not None and (sound[whole] if whole in sound else self.is_sound(whole)):
+                return [whole]
+        out, stops, dead, first = [], [], set(), before
+        at, stop = 0, min(n, reach(symbols[:2], 1))
         while at < n:
             while stop > at:
                 t = inner(symbols[at:stop]) if stop < n else final(symbols[at:])
@@ -236,7 +264,7 @@ class Merges:
                 dead.add((at, before))
                 out.pop()
                 stop = stops.pop() - 1
-                before, at = (out[-1], stops[-1]) if out else (-1, 0)
+                before, at = (out[-1], stops[-1]) if out else (first, 0)
                 continue
             out.append(t)
             stops.append(stop)
@@ -254,66 +282,48 @@ class Merges:
 
     def encode_piece(self, symbols: str) -> Iterator[int]:
         """The tokens of one piece in the byte alphabet, each as soon as it is stable."""
-        n = len(symbols)
-        start, last = 0, [-1]  # last[k]: the token ending at start + k, last[0] the latest emitted one (-1: none)
-        for stop in range(1, n):
-            last.append(self.last_token(symbols, start, stop, last, self.inner))
-            if stop - start >= STRIDE + self.max_len and (stop - start) % STRIDE == 0:
-                done = self.stable(last)
-                if done:
-                    yield from done
-                    start += sum(map(self.length, done))
-                    last = [done[-1], *last[1 + sum(map(self.length, done)) :]]
-        last.append(self.last_token(symbols, start, n, last, self.final))
-        out, k = [], n - start
-        while k:
-            out.append(last[k])
-            k -= self.length(last[k])
-        yield from reversed(out)
-
-    def stable(self, last: list[int]) -> list[int]:
-        """The tokens that the back-pointers of all positions a later token can start from share."""
-        paths = []
-        for k in range(max(1, len(last) - self.max_len), len(last)):
-            path = []
-            while k:
-                path.append(k)
-                k -= self.length(last[k])
-            paths.append(path[::-1])
-        out = []
-        for ends in zip(*paths, strict=False):
-            if any(e != ends[0] for e in ends):
-                break
-            out.append(last[ends[0]])
-        return out
-
-    def encode_plain(self, chunk: str) -> list[int]:
+        if len(symbols) <= STRIDE:  # the first window ends the piece
+            yield from self.window(symbols)
+            return
+        at, before, reach = 0, -1, STRIDE + self.lookahead + self.max_len
+        while at + reach < len(symbols):
+            stable = at + reach - self.lookahead
+            for t in self.window(symbols[at : at + reach], before, False):
+                stop = at + self.length(t)
+                if stop > stable:
+                    break
+                yield t
+                at, before = stop, t
+        yield from self.window(symbols[at:], before)
+
+    def encode_plain(self, chunk: str) -> Iterator[int]:
         text = chunk if chunk.isascii() or unicodedata.is_normalized("NFC", chunk) else unicodedata.normalize("NFC", chunk)
         low = text.replace("Σ", "σ").lower()  # by code point: no final sigma
         plain = low.isascii()
         if plain and low.isalpha():
-            return self.short[low] if len(low) <= STRIDE else list(self.encode_piece(low))
-        out = []
-        for piece in self.pieces(low):
+            yield from self.encode_piece(low)
+            return
+        for m in self.pieces(low):
+            piece = m[0]
             if not plain:
                 piece = piece.encode("utf-8", "replace").decode("latin-1").translate(self.alphabet)
             elif not piece.isprintable():
                 piece = piece.translate(self.alphabet)
-            out += self.short[piece] if len(piece) <= STRIDE else self.encode_piece(piece)
-        return out
+            yield from self.encode_piece(piece)
 
-    def encode_chunk(self, chunk: str) -> list[int]:
+    def encode_chunk(self, chunk: str) -> Iterator[int]:
         """The ids of a part between white space; the strings of added tokens stand for their ids."""
-        if "<" not in chunk or self.added is None:
-            return self.encode_plain(chunk)
-        out, at = [], 0
-        for m in self.added.finditer(chunk):
-            out += [*self.encode_plain(chunk[at : m.start()]), self.special[m[0]]]
-            at = m.end()
-        return out + self.encode_plain(chunk[at:])
-
-    def encode(self, text: str) -> list[int]:
-        return [i for c in chunks(text) for i in self.encode_chunk(c)]
+        at = 0
+        if "<" in chunk and self.added is not None:
+            for m in self.added.finditer(chunk):
+                yield from self.encode_plain(chunk[at : m.start()])
+                yield self.special[m[0]]
+                at = m.end()
+        yield from self.encode_plain(chunk[at:] if at else chunk)
+
+    def encode(self, text: str) -> Iterator[int]:
+        for c in chunks(text):
+            yield from self.encode_chunk(c)
 
 
 class StreamingEncoder:

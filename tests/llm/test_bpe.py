@@ -5,6 +5,7 @@ import random
 import pytest
 from tokenizers import Tokenizer
 
+from sievework.llm import word_bpe
 from sievework.llm.op8_bpe import digest_text, machine, tokenizer_path
 from sievework.llm.word_bpe import Merges, StreamingDecoder, StreamingEncoder
 
@@ -31,7 +32,7 @@ def texts(n):
 def test_encodes_and_decodes_as_the_library(library, merges):
     for s in texts(1500):
         ids = library.encode(s, add_special_tokens=False).ids
-        assert merges.encode(s) == ids, s
+        assert list(merges.encode(s)) == ids, s
         decoder = StreamingDecoder(merges)
         assert "".join(map(decoder.feed, ids)) + decoder.finish() == library.decode(ids, skip_special_tokens=False)
 
@@ -39,12 +40,51 @@ def test_encodes_and_decodes_as_the_library(library, merges):
 def test_long_pieces_are_emitted_before_they_end(library, merges):
     rng = random.Random(5)
     for s in ("a" * 3000, "ab" * 2000, "nessnessofhttp" * 300, "".join(rng.choice("etaoinshr") for _ in range(5000)), "!?" * 2500, "é" * 2000):
-        assert merges.encode(s) == library.encode(s, add_special_tokens=False).ids
+        assert list(merges.encode(s)) == library.encode(s, add_special_tokens=False).ids
     first = next(merges.encode_piece("etaoinshrdlu" * 400))
     assert first == library.encode("etaoinshrdlu" * 400, add_special_tokens=False).ids[0]
     assert merges.lookahead >= merges.max_len
 
 
+def test_lookahead_comes_from_the_merge_list_and_is_enough(library, merges, monkeypatch):
+    """No token that ends the lookahead before the text's end depends on what follows; windows of the least size give the library's ids."""
+    assert merges.lookahead < 1000
+    rng = random.Random(11)
+    syllables = [s for s in merges.inner if 2 <= len(s) <= 9 and s.isascii() and s.isalpha()]
+    for _ in range(60):
+        piece = "".join(rng.choice(syllables) for _ in range(120))
+        ids = list(merges.encode_piece(piece))
+        assert ids == library.encode(piece, add_special_tokens=False).ids
+        cut = rng.randrange(merges.lookahead + merges.max_len, len(piece))
+        at = 0
+        for t, u in zip(merges.window(piece[:cut], -1, False), ids, strict=False):
+            at += merges.length(t)
+            if at > cut - merges.lookahead:
+                break
+            assert t == u
+    monkeypatch.setattr(word_bpe, "STRIDE", 1)
+    for s in ("ab" * 700, "".join(rng.choice(syllables) for _ in range(300)), "a" * 1500, "é" * 900):
+        assert list(merges.encode(s)) == library.encode(s, add_special_tokens=False).ids
+
+
+def test_every_piece_goes_through_the_transducer(merges, monkeypatch):
+    seen, real = [], Merges.encode_piece
+    monkeypatch.setattr(Merges, "encode_piece", lambda self, piece: seen.append(piece) or real(self, piece))
+    memo = word_bpe.Memo(lambda c: (" ".join(map(str, merges.encode_chunk(c))), ""))
+    digest_text(merges, memo, "one two, three " + "x" * 9000)
+    assert sorted(map(len, seen)) == [1, 3, 3, 5, 9000]
+
+
+def test_long_texts_stream_in_parts(library):
+    import hashlib
+
+    for s in ("word and other words. " * 9000, "x1é" * 9000 + " y " + "ab" * 4000, "Ǆ Abc " * 20000):
+        ids = library.encode(s, add_special_tokens=False).ids
+        n, a, b = digest_text(*machine(PATH), s)
+        assert (n, a) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
+        assert b == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
 def test_any_split_into_parts_gives_the_same_ids(merges):
     rng = random.Random(7)
     for s in texts(300):
@@ -53,7 +93,7 @@ def test_any_split_into_parts_gives_the_same_ids(merges):
             step = rng.randint(1, 9)
             out += encoder.feed(s[at : at + step])
             at += step
-        assert out + list(encoder.finish()) == merges.encode(s)
+        assert out + list(encoder.finish()) == list(merges.encode(s))
 
 
 def test_byte_machine_gives_back_lower_case_words(merges):
@@ -76,4 +116,4 @@ def test_digests(spark):
         want.append((i, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()))
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
     assert encode_digests(spark.createDataFrame([], "doc_id long, text string")).count() == 0
-    assert digest_text(machine(PATH)[1], "\x1c a")[0] == len(library.encode("\x1c a", add_special_tokens=False).ids)
+    assert digest_text(*machine(PATH), "\x1c a")[0] == len(library.encode("\x1c a", add_special_tokens=False).ids)

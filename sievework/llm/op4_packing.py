@@ -20,7 +20,6 @@ other than doc_id and text are neither read nor passed on; doc_id may be null.
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
@@ -32,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .op8_bpe import TOKENIZER, tokenizer_path
-from .word_bpe import MEMO_CHARS, chunks, enter
+from .word_bpe import MEMO_CHARS, byte_alphabet, chunks, enter, folded
 
 WINDOW = 4096
 #: The id after each document.
@@ -46,8 +45,8 @@ SEGMENT = 1 << 19
 GROUP = 50_000
 #: Entries of one generation of the memo of chunks.
 KEPT_CHUNKS = 500_000
-#: Chunks that are one piece, or two with the sign at their end, and normalised by lower case alone.
-PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]?)").fullmatch
+#: Signs that are a piece of their own after a word.
+SIGNS = frozenset(".,;:!?")
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -55,8 +54,8 @@ class Tokenizer:
     """The library's ids of a text as little-endian unsigned 32-bit numbers; chunks between white space are memoised.
 
     White space ends pieces and no id stands for it, so a text's ids are its chunks' ids in order. Unknown chunks go to
-    the library many at once: plain words in lower case (one piece; a sign after them is another) with blanks between, cut after the
-    ids that close a piece, others with an added token's string between them, whose id marks where one ends.
+    the library many at once: plain words of folded texts (one piece; a sign after them is another) with blanks between,
+    cut after the ids that close a piece, others with an added token's string between them, whose id marks where one ends.
     """
 
     def __init__(self, path: str):
@@ -65,65 +64,59 @@ class Tokenizer:
         from tokenizers import normalizers, pre_tokenizers
 
         self.library = Library.from_file(path)
-        # For plain words in lower case with blanks between: nothing to normalise, each is a piece.
+        # For plain words in lower case with blanks between: nothing to normalise, each is a piece, its bytes are put in here.
         self.bare = Library.from_file(path)
         self.bare.normalizer = normalizers.Sequence([])
-        self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        letters = byte_alphabet()
+        self.as_bytes = {k: "".join(letters[b] for b in chr(k).encode()) for k in range(0x80, 0x100)}
         self.young: dict[str, bytes] = {}
+        self.long: list[str] = []  # chunks too long to be remembered
         self.old: dict[str, bytes] = {}
         ends = [i for s, i in self.library.get_vocab(True).items() if s.removesuffix("</w>")[-1:] in set(".!?…。！？") and s.removesuffix("</w>")]
         self.ends = np.zeros(self.library.get_vocab_size(True) + 1, bool)
         self.ends[ends] = True
         self.closes = np.zeros(len(self.ends), bool)
         self.closes[[i for s, i in self.library.get_vocab(True).items() if s.endswith("</w>")]] = True
-        self.signs = {sign: self.ids(sign).tobytes() for sign in ["", *".,;:!?"]}
+        self.signs = {sign: self.ids(sign).tobytes() for sign in SIGNS}
         self.mark, self.mark_id = next((t.content, i) for i, t in sorted(self.library.get_added_tokens_decoder().items()))
 
     def ids(self, text: str, library=None) -> np.ndarray:
         return np.array((library or self.library).encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
-    def learn(self, new: set[str]) -> None:
-        """Put the chunks into the young memo, from the old one or the library."""
-        if len(self.young) + len(new) > KEPT_CHUNKS:
-            self.old = {k: v for k, v in self.young.items() if len(k) <= MEMO_CHARS}
-            self.young = {}
+    def learn(self, plain: set[str], new: set[str]) -> None:
+        """Put chunks into the young memo, from the old one or the library; the plain ones are from folded Latin-1 texts."""
+        if len(self.young) + len(plain) + len(new) > KEPT_CHUNKS:
+            self.old, self.young = self.young, {}
         young, old = self.young, self.old
-        signs, waiting, bases, todo = self.signs, [], set(), []
-        for c in new:
-            known = old.get(c)
-            if known is not None:
-                young[c] = known
-                continue
-            if c.isascii() and c.isalpha():
-                base, sign = c, ""
-            elif m := PLAIN(c):
-                base, sign = m.groups()
-            else:
-                if len(c) > MEMO_CHARS or self.mark in c:
-                    young[c] = self.ids(c).tobytes()
-                else:
-                    todo.append(c)
-                continue
-            base = base.lower()
-            known = young.get(base) or old.get(base)
-            if known is not None:
-                young[c] = known + signs[sign] if sign else known
-            else:
-                bases.add(base)
-                waiting.append((c, base, sign))
-        plain = list(bases)
-        for k in range(0, len(plain), 256):
-            part, ids = plain[k : k + 256], self.ids(" ".join(plain[k : k + 256]), self.bare)
+        for c in (known := [c for c in plain | new if c in old]):
+            young[c] = old[c]
+        plain, new = plain.difference(known), new.difference(known, plain)
+        signed = [c for c in plain if c[-1] in SIGNS and c[:-1].isalpha()]
+        words = {c for c in plain if c.isalpha()}
+        rest = new.union(plain.difference(words, signed))
+        todo = [c for c in rest if len(c) <= MEMO_CHARS and self.mark not in c]
+        odd = rest.difference(todo)
+        bases = words.union([w for c in signed if (w := c[:-1]) not in young])
+        for c in (known := [c for c in bases if c in old]):
+            young[c] = old[c]
+        asked = list(bases.difference(known))
+        for k in range(0, len(asked), 256):
+            part, ids = asked[k : k + 256], self.ids(" ".join(asked[k : k + 256]).translate(self.as_bytes), self.bare)
             stops = np.flatnonzero(self.closes[ids]) + 1
             if len(stops) != len(part):
                 raise ValueError("a plain word isn't one piece")
             self.keep(part, ids, stops.tolist(), 0)
-        for c, base, sign in waiting:
-            young[c] = young[base] + signs[sign] if sign else young[base]
+        signs = self.signs
+        for c in signed:
+            young[c] = young[c[:-1]] + signs[c[-1]]
         for k in range(0, len(todo), 256):
             part = todo[k : k + 256]
             ids = self.ids(self.mark.join(part))
             self.keep(part, ids, [*np.flatnonzero(ids == self.mark_id).tolist(), len(ids)], 1)
+        for c in odd:
+            young[c] = self.ids(c).tobytes()
+        self.long = [c for c in (*odd, *bases, *signed) if len(c) > MEMO_CHARS]
 
     def keep(self, part: list[str], ids: np.ndarray, stops: list[int], gap: int) -> None:
         raw, at, young = ids.tobytes(), 0, self.young
@@ -135,21 +128,28 @@ class Tokenizer:
         """Ids of each text, the end id last; a few texts are split at a time, so that the parts of a batch don't pile up."""
         end = np.array([END_ID], "<u4").tobytes()
         group: list[tuple[list[str], list[bytes | None], list[int]]] = []
+        plain, new = set(), set()
         n = 0
         for k, t in enumerate(texts):
-            words = chunks(t or "")
+            text, simple = folded(t or "")
+            words = chunks(text)
             found = list(map(self.young.get, words))
-            group.append((words, found, [i for i, x in enumerate(found) if x is None]))
+            holes = [i for i, x in enumerate(found) if x is None] if None in found else []
+            (plain if simple else new).update([words[i] for i in holes])
+            group.append((words, found, holes))
             n += len(words)
             if n < GROUP and k < len(texts) - 1:
                 continue
-            self.learn({words[i] for words, _, holes in group for i in holes})
+            self.learn(plain, new)
+            young = self.young
             for words, found, holes in group:
                 for i in holes:
-                    found[i] = self.young[words[i]]
+                    found[i] = young[words[i]]
                 found.append(end)
                 yield np.frombuffer(b"".join(found), "<u4")
-            group, n = [], 0
+            for w in self.long:
+                del young[w]
+            group, n, plain, new, self.long = [], 0, set(), set(), []
 
 
 def cut_points(docs: list[np.ndarray], ends: np.ndarray, gap: int = GAP) -> tuple[list[int], list[int]]:

@@ -67,7 +67,7 @@ def machine(path: str) -> tuple[Merges, Memo]:
 
 def rendered(merges: Merges, memo: Memo, text: str) -> Iterator[tuple[str, str]]:
     """(ids in decimal, decoded text) of consecutive parts of a text; parts without tokens are left out."""
-    for part in slices(folded(text)):
+    for part in slices(folded(text)[0]):
         words = chunks(part)
         if len(part) > LONG and max(map(len, words), default=0) > LONG:
             for w in words:

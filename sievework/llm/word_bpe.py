@@ -99,17 +99,19 @@ def enter(operator: str, release: Callable[[], None]) -> None:
         _owner = operator
 
 
-def folded(text: str) -> str:
-    """The text in lower case, where that alone gives the same ids; else as it is.
+def folded(text: str) -> tuple[str, bool]:
+    """The text in lower case and True, where that alone gives the same ids; else the text as it is and False.
 
     In Latin-1, characters are normal by themselves and turn to lower case one by one. An added token's string may not change.
     """
+    if "<|" in text:
+        return text, False
     if not text.isascii():
         try:
             text.encode("latin-1")
         except UnicodeEncodeError:
-            return text
-    return text if "<|" in text else text.lower()
+            return text, False
+    return text.lower(), True
 
 
 def chunks(text: str) -> list[str]:

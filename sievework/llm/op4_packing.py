@@ -23,15 +23,17 @@ import os
 import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .op8_bpe import TOKENIZER, tokenizer_path
-from .word_bpe import MEMO_CHARS, byte_alphabet, chunks, enter, folded
+from .word_bpe import byte_alphabet, chunks, enter, folded
 
 WINDOW = 4096
 #: The id after each document.
@@ -41,21 +43,20 @@ SENTENCE, FORCED = 6, 24
 #: Without a sentence end for so many tokens, a cut may come after each of them.
 GAP = 96
 SEGMENT = 1 << 19
-#: Chunks of texts that are encoded together.
-GROUP = 50_000
-#: Entries of one generation of the memo of chunks.
-KEPT_CHUNKS = 500_000
+#: Characters of texts that are encoded together.
+GROUP = 1 << 24
 #: Signs that are a piece of their own after a word.
-SIGNS = frozenset(".,;:!?")
+SIGNS = ".,;:!?"
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
 class Tokenizer:
-    """The library's ids of a text as little-endian unsigned 32-bit numbers; chunks between white space are memoised.
+    """The library's ids of a text as little-endian unsigned 32-bit numbers.
 
-    White space ends pieces and no id stands for it, so a text's ids are its chunks' ids in order. Unknown chunks go to
-    the library many at once: plain words of folded texts (one piece; a sign after them is another) with blanks between,
-    cut after the ids that close a piece, others with an added token's string between them, whose id marks where one ends.
+    White space ends pieces and no id stands for it, so a text's ids are its chunks' ids in order. The different chunks of
+    some texts go to the library many at once: plain words of folded texts (one piece; a sign after them is another) with
+    blanks between, cut after the ids that close a piece, others with an added token's string between them, whose id
+    marks where one ends. The texts' ids are then taken from that table. Nothing is kept from one group to the next.
     """
 
     def __init__(self, path: str):
@@ -70,86 +71,107 @@ class Tokenizer:
         self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         letters = byte_alphabet()
         self.as_bytes = {k: "".join(letters[b] for b in chr(k).encode()) for k in range(0x80, 0x100)}
-        self.young: dict[str, bytes] = {}
-        self.long: list[str] = []  # chunks too long to be remembered
-        self.old: dict[str, bytes] = {}
         ends = [i for s, i in self.library.get_vocab(True).items() if s.removesuffix("</w>")[-1:] in set(".!?…。！？") and s.removesuffix("</w>")]
         self.ends = np.zeros(self.library.get_vocab_size(True) + 1, bool)
         self.ends[ends] = True
         self.closes = np.zeros(len(self.ends), bool)
         self.closes[[i for s, i in self.library.get_vocab(True).items() if s.endswith("</w>")]] = True
-        self.signs = {sign: self.ids(sign).tobytes() for sign in SIGNS}
         self.mark, self.mark_id = next((t.content, i) for i, t in sorted(self.library.get_added_tokens_decoder().items()))
+        self.signs = {sign: k for k, sign in enumerate(SIGNS)}
+        self.sign_ids = [self.ids(sign) for sign in SIGNS]
 
     def ids(self, text: str, library=None) -> np.ndarray:
         return np.array((library or self.library).encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
-    def learn(self, plain: set[str], new: set[str]) -> None:
-        """Put chunks into the young memo, from the old one or the library; the plain ones are from folded Latin-1 texts."""
-        if len(self.young) + len(plain) + len(new) > KEPT_CHUNKS:
-            self.old, self.young = self.young, {}
-        young, old = self.young, self.old
-        for c in (known := [c for c in plain | new if c in old]):
-            young[c] = old[c]
-        plain, new = plain.difference(known), new.difference(known, plain)
-        signed = [c for c in plain if c[-1] in SIGNS and c[:-1].isalpha()]
-        words = {c for c in plain if c.isalpha()}
-        rest = new.union(plain.difference(words, signed))
-        todo = [c for c in rest if len(c) <= MEMO_CHARS and self.mark not in c]
-        odd = rest.difference(todo)
-        bases = words.union([w for c in signed if (w := c[:-1]) not in young])
-        for c in (known := [c for c in bases if c in old]):
-            young[c] = old[c]
-        asked = list(bases.difference(known))
+    def words(self, asked: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(ids, their number by word) of plain words, some at a time."""
         for k in range(0, len(asked), 256):
-            part, ids = asked[k : k + 256], self.ids(" ".join(asked[k : k + 256]).translate(self.as_bytes), self.bare)
+            part = asked[k : k + 256]
+            text = " ".join(part)
+            ids = self.ids(text if text.isascii() else text.translate(self.as_bytes), self.bare)
             stops = np.flatnonzero(self.closes[ids]) + 1
             if len(stops) != len(part):
                 raise ValueError("a plain word isn't one piece")
-            self.keep(part, ids, stops.tolist(), 0)
-        signs = self.signs
-        for c in signed:
-            young[c] = young[c[:-1]] + signs[c[-1]]
-        for k in range(0, len(todo), 256):
-            part = todo[k : k + 256]
-            ids = self.ids(self.mark.join(part))
-            self.keep(part, ids, [*np.flatnonzero(ids == self.mark_id).tolist(), len(ids)], 1)
-        for c in odd:
-            young[c] = self.ids(c).tobytes()
-        self.long = [c for c in (*odd, *bases, *signed) if len(c) > MEMO_CHARS]
-
-    def keep(self, part: list[str], ids: np.ndarray, stops: list[int], gap: int) -> None:
-        raw, at, young = ids.tobytes(), 0, self.young
-        for c, stop in zip(part, stops, strict=True):
-            young[c] = raw[4 * at : 4 * stop]
-            at = stop + gap
+            yield ids, np.diff(stops, prepend=0)
+
+    def others(self, asked: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(ids, their number by chunk) of any chunks, some at a time; one that holds the mark goes alone."""
+        group: list[str] = []
+        for c in [*asked, None]:
+            if group and (c is None or len(group) == 256 or self.mark in c):
+                ids = self.ids(self.mark.join(group))
+                at = ids == self.mark_id
+                stops = np.append(np.flatnonzero(at), len(ids))
+                yield ids[~at], np.diff(stops, prepend=-1) - 1
+                group = []
+            if c is not None and self.mark in c:
+                ids = self.ids(c)
+                yield ids, np.array([len(ids)])
+            elif c is not None:
+                group.append(c)
+
+    def table(self, chunks: list[str], simple: bool) -> pa.ListArray:
+        """The ids of each of different chunks; simple: they come from folded texts."""
+        signs, first, second, rest = self.signs, [-1] * len(chunks), [-1] * len(chunks), []
+        asked: list[str] = []
+        if simple:
+            words = [c for c in chunks if c.isalpha()]
+            signed = [(k, c[:-1], signs[c[-1]]) for k, c in enumerate(chunks) if c and c[-1] in signs and c[:-1].isalpha()]
+            asked = sorted({*words, *(w for _, w, _ in signed)}, key=str.isascii)  # those that need their bytes put in together
+            number = dict(zip(asked, range(len(asked)), strict=True))
+            first = [number.get(c, -1) for c in chunks]
+            for k, w, sign in signed:
+                first[k], second[k] = number[w], len(asked) + sign
+            rest = [k for k, (c, a) in enumerate(zip(chunks, first, strict=True)) if a < 0 and c]
+        else:
+            rest = list(range(len(chunks)))
+        for n, k in enumerate(rest, len(asked) + len(signs)):
+            first[k] = n
+        made = [*self.words(asked), *((x, np.array([len(x)])) for x in self.sign_ids), *self.others([chunks[k] for k in rest])]
+        parts = pa.ListArray.from_arrays(offsets([n for _, n in made]), np.concatenate([x for x, _ in made]))
+        # A chunk is one of the parts, or two.
+        both = np.array([first, second], np.int32).T
+        used = both >= 0
+        taken = parts.take(pa.array(np.ascontiguousarray(both)[used]))
+        return pa.ListArray.from_arrays(taken.offsets.to_numpy()[offsets([used.sum(axis=1)])], taken.values)
 
     def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
-        """Ids of each text, the end id last; a few texts are split at a time, so that the parts of a batch don't pile up."""
-        end = np.array([END_ID], "<u4").tobytes()
-        group: list[tuple[list[str], list[bytes | None], list[int]]] = []
-        plain, new = set(), set()
+        """Ids of each text, the end id last; some texts are taken together, `GROUP` characters or one text."""
+        group: list[tuple[str, bool]] = []
         n = 0
-        for k, t in enumerate(texts):
-            text, simple = folded(t or "")
-            words = chunks(text)
-            found = list(map(self.young.get, words))
-            holes = [i for i, x in enumerate(found) if x is None] if None in found else []
-            (plain if simple else new).update([words[i] for i in holes])
-            group.append((words, found, holes))
-            n += len(words)
-            if n < GROUP and k < len(texts) - 1:
-                continue
-            self.learn(plain, new)
-            young = self.young
-            for words, found, holes in group:
-                for i in holes:
-                    found[i] = young[words[i]]
-                found.append(end)
-                yield np.frombuffer(b"".join(found), "<u4")
-            for w in self.long:
-                del young[w]
-            group, n, plain, new, self.long = [], 0, set(), set(), []
+        for t in texts:
+            group.append(folded(t or ""))
+            n += len(group[-1][0])
+            if n >= GROUP:
+                yield from self.encode_group(group)
+                group, n = [], 0
+        yield from self.encode_group(group)
+
+    def encode_group(self, group: list[tuple[str, bool]]) -> Iterator[np.ndarray]:
+        found = {}
+        for simple in {s for _, s in group}:
+            if simple:
+                lists = pc.ascii_split_whitespace(pa.array([ascii_space(t) for t, s in group if s], pa.large_string()))
+            else:
+                lists = pa.array([chunks(t) for t, s in group if not s], pa.large_list(pa.large_string()))
+            coded = lists.values.dictionary_encode()
+            ids = self.table(coded.dictionary.to_numpy(zero_copy_only=False).tolist(), simple).take(coded.indices)
+            stops = ids.offsets.to_numpy()[lists.offsets.to_numpy()]
+            found[simple] = zip(stops[:-1].tolist(), stops[1:].tolist(), repeat(ids.values.to_numpy()), strict=False)
+        for _, simple in group:
+            start, stop, ids = next(found[simple])
+            yield np.append(ids[start:stop], np.uint32(END_ID))
+
+
+def offsets(counts: list[np.ndarray]) -> np.ndarray:
+    return np.cumsum(np.concatenate([[0], *counts])).astype(np.int32)
+
+
+def ascii_space(text: str) -> str:
+    """White space of Latin-1 beyond ASCII as blanks, and none of the controls that the library keeps."""
+    if not text.isascii():
+        text = text.replace("\x85", " ").replace("\xa0", " ")
+    return text
 
 
 def cut_points(docs: list[np.ndarray], ends: np.ndarray, gap: int = GAP) -> tuple[list[int], list[int]]:

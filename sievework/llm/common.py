@@ -13,10 +13,15 @@ from pyspark.sql import functions as F
 SALTS = 16
 
 
+#: Rows of an Arrow batch: the JVM, the stream between and the Python worker each hold one at a time.
+ARROW_ROWS = "1000"
+
+
 def settled(spark: SparkSession) -> SparkSession:
-    """The session with union partitioning off: a union that claims its children's partitioning, while runtime re-planning
-    changes theirs, makes later joins and aggregations miss rows (seen in 4.1.2)."""
+    """The session with small Arrow batches, and union partitioning off: a union that claims its children's partitioning,
+    while runtime re-planning changes theirs, makes later joins and aggregations miss rows (seen in 4.1.2)."""
     spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
     return spark
 
 

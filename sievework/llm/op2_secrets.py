@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .word_bpe import enter
 
 # The base patterns and their least lengths.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -189,6 +190,7 @@ def find_secrets(docs: DataFrame) -> DataFrame:
     """One row a document: counts by kind, the hash of the base spans, all spans."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("secrets")
         for b in batches:
             columns: list[list] = [[] for _ in range(6)]
             for text in b.column(1).to_pylist():
@@ -208,6 +210,7 @@ def redacted(docs: DataFrame) -> DataFrame:
     at = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("secrets")
         for b in batches:
             texts = [redact(t) for t in b.column(at).to_pylist()]
             arrays = [*b.columns]

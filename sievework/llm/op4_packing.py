@@ -22,7 +22,8 @@ from __future__ import annotations
 import os
 import zlib
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections import deque
+from collections.abc import Iterable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .op8_bpe import TOKENIZER, tokenizer_path
-from .word_bpe import byte_alphabet, chunks, enter, folded
+from .word_bpe import byte_alphabet, chunks, enter, folded, trim
 
 WINDOW = 4096
 #: The id after each document.
@@ -45,6 +46,8 @@ GAP = 96
 SEGMENT = 1 << 19
 #: Characters of texts that are encoded together.
 GROUP = 1 << 24
+#: Rows of a batch that goes out.
+ROWS_OUT = 4096
 #: Signs that are a piece of their own after a word.
 SIGNS = ".,;:!?"
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -66,7 +69,7 @@ class Tokenizer:
 
         self.library = Library.from_file(path)
         # For plain words in lower case with blanks between: nothing to normalise, each is a piece, its bytes are put in here.
-        self.bare = Library.from_file(path)
+        self.bare = Library(self.library.model)  # the same vocabulary, held once
         self.bare.normalizer = normalizers.Sequence([])
         self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         letters = byte_alphabet()
@@ -128,6 +131,7 @@ class Tokenizer:
         for n, k in enumerate(rest, len(asked) + len(signs)):
             first[k] = n
         made = [*self.words(asked), *((x, np.array([len(x)])) for x in self.sign_ids), *self.others([chunks[k] for k in rest])]
+        chunks.clear()
         parts = pa.ListArray.from_arrays(offsets([n for _, n in made]), np.concatenate([x for x, _ in made]))
         # A chunk is one of the parts, or two.
         both = np.array([first, second], np.int32).T
@@ -135,7 +139,7 @@ class Tokenizer:
         taken = parts.take(pa.array(np.ascontiguousarray(both)[used]))
         return pa.ListArray.from_arrays(taken.offsets.to_numpy()[offsets([used.sum(axis=1)])], taken.values)
 
-    def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
+    def encode(self, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
         """Ids of each text, the end id last; some texts are taken together, `GROUP` characters or one text."""
         group: list[tuple[str, bool]] = []
         n = 0
@@ -144,7 +148,7 @@ class Tokenizer:
             n += len(group[-1][0])
             if n >= GROUP:
                 yield from self.encode_group(group)
-                group, n = [], 0
+                n = 0
         yield from self.encode_group(group)
 
     def encode_group(self, group: list[tuple[str, bool]]) -> Iterator[np.ndarray]:
@@ -154,11 +158,15 @@ class Tokenizer:
                 lists = pc.ascii_split_whitespace(pa.array([ascii_space(t) for t, s in group if s], pa.large_string()))
             else:
                 lists = pa.array([chunks(t) for t, s in group if not s], pa.large_list(pa.large_string()))
-            coded = lists.values.dictionary_encode()
+            ends, coded = lists.offsets.to_numpy().copy(), lists.values.dictionary_encode()
+            del lists  # the chunks themselves aren't needed any more
             ids = self.table(coded.dictionary.to_numpy(zero_copy_only=False).tolist(), simple).take(coded.indices)
-            stops = ids.offsets.to_numpy()[lists.offsets.to_numpy()]
+            stops = ids.offsets.to_numpy()[ends]
+            del coded
             found[simple] = zip(stops[:-1].tolist(), stops[1:].tolist(), repeat(ids.values.to_numpy()), strict=False)
-        for _, simple in group:
+        kinds = [simple for _, simple in group]
+        group.clear()
+        for simple in kinds:
             start, stop, ids = next(found[simple])
             yield np.append(ids[start:stop], np.uint32(END_ID))
 
@@ -274,14 +282,22 @@ def pack(docs: DataFrame, tokenizer: str = TOKENIZER, window: int = WINDOW, segm
         def batch(rows: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
-        for b in batches:
-            rows = []
-            for doc_id, ids in zip(b.column(0).to_pylist(), tok.encode(b.column(1).to_pylist()), strict=True):
-                rows += packer.add(doc_id, ids)
-            if rows:
+        waiting: deque = deque()  # ids of the documents that go in
+
+        def texts() -> Iterator[str | None]:
+            for b in batches:
+                waiting.extend(b.column(0).to_pylist())
+                yield from b.column(1).to_pylist()
+
+        rows: list[tuple] = []
+        for ids in tok.encode(texts()):
+            rows += packer.add(waiting.popleft(), ids)
+            if len(rows) >= ROWS_OUT:
                 yield batch(rows)
-        if rows := packer.pack(True):
+                rows = []
+        if rows := rows + packer.pack(True):
             yield batch(rows)
+        trim()
 
     return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, SCHEMA)
 

@@ -84,12 +84,26 @@ def trim() -> None:
         pass
 
 
+#: The C library's option for the least block that is mapped by itself, and the size set for it.
+M_MMAP_THRESHOLD, OWN_BLOCK = -3, 1 << 16
+
 _owner, _others = "", {}
 
 
-def enter(operator: str, release: Callable[[], None]) -> None:
+def frugal() -> None:
+    """Arrow and numpy blocks of this worker process go back to the system as soon as they are free."""
+    pa.set_memory_pool(pa.system_memory_pool())
+    try:
+        ctypes.CDLL("libc.so.6").mallopt(M_MMAP_THRESHOLD, OWN_BLOCK)
+    except (OSError, AttributeError):
+        pass
+
+
+def enter(operator: str, release: Callable[[], None] = lambda: None) -> None:
     """Called at the start of an operator's task: what another operator remembers in this worker process is dropped."""
     global _owner
+    if not _owner:
+        frugal()
     _others[operator] = release
     if _owner != operator:
         for name, drop in _others.items():

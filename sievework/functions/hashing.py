@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -22,17 +23,25 @@ def md5_bits(text: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
 
 
+#: Two counters of 32 bits each, which add up as one long.
+_LANES = (1 << 32) | 1
+
+
 def simhash(docs: DataFrame, k: int = 3) -> DataFrame:
-    """doc_id, fp: sign votes of all shingles' bits (repeats vote again, ties are 0).
+    """doc_id, fp of each row: sign votes of all shingles' bits (repeats vote again, ties are 0).
 
-    Votes are summed per document with map-side aggregation: 60 conditional counts, no Python.
+    Votes are counted within the row: 32 longs, each with the counts of two bits, so nothing is shuffled.
     """
-    hashed = docs.select("doc_id", F.explode(shingles(F.col("text"), k)).alias("s")).select("doc_id", md5_bits(F.col("s")).alias("h"))
-    votes = hashed.groupBy("doc_id").agg(F.count("*").alias("n"), *(F.sum(F.shiftright("h", i).bitwiseAND(F.lit(1))).alias(f"b{i}") for i in range(BITS)))
+    hashes = F.transform(shingles(F.col("text"), k), md5_bits)
+    shifts = F.array(*(F.lit(i) for i in range(32)))
+    add = lambda votes, h: F.zip_with(votes, shifts, lambda v, i: v + F.call_function("shiftright", h, i).bitwiseAND(F.lit(_LANES)))
+    zero = F.array(*(F.lit(0).cast("long") for _ in range(32)))
+    rows = docs.select("doc_id", hashes.alias("h")).select("doc_id", F.size("h").alias("n"), F.aggregate("h", zero, add).alias("v"))
+    bit = lambda i: F.shiftright(F.get("v", F.lit(i % 32)), 32 * (i // 32)).bitwiseAND(F.lit((1 << 32) - 1))
     fp = F.lit(0).cast("long")
     for i in range(BITS):
-        fp = fp.bitwiseOR(F.when(2 * F.col(f"b{i}") > F.col("n"), F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long")))
-    return votes.select("doc_id", fp.alias("fp"))
+        fp = fp.bitwiseOR(F.when(2 * bit(i) > F.col("n"), F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long")))
+    return rows.select("doc_id", fp.alias("fp"))
 
 
 def simhash_blake(docs: DataFrame, k: int = 3) -> DataFrame:
@@ -55,6 +64,13 @@ def simhash_blake(docs: DataFrame, k: int = 3) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), shingles(F.col("text"), k).alias("s")).mapInArrow(run, "doc_id long, fp long")
 
 
-def bands(fp: Column, n: int = 4, width: int = 16) -> Column:
-    """(band, value) of a fingerprint: two fingerprints at distance below n share one."""
-    return F.array(*(F.struct(F.lit(i).alias("band"), F.shiftrightunsigned(fp, i * width).bitwiseAND(F.lit((1 << width) - 1)).alias("value")) for i in range(n)))
+def block_keys(fp: Column, most: int, kept: int = 3) -> Column:
+    """Keys (combination, bits): a fingerprint's 64 bits in most + kept blocks, each combination of `kept` blocks is one key.
+
+    Two fingerprints at a distance of at most `most` differ in at most as many blocks, so they share one. With 3 of 6
+    blocks a key has 30 bits and more: few fingerprints meet by chance, however many there are.
+    """
+    n = most + kept
+    edges = [64 * i // n for i in range(n + 1)]
+    part = [F.shiftrightunsigned(fp, lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)) for lo, hi in zip(edges, edges[1:], strict=False)]
+    return F.array(*(F.struct(F.lit(c).alias("combination"), F.xxhash64(*(part[i] for i in blocks)).alias("bits")) for c, blocks in enumerate(combinations(range(n), kept))))

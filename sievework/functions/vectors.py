@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from .text import TOKEN
 
 DIM, SPARSE_SPACE = 256, 1 << 20
+_TOKEN = re.compile(TOKEN).findall
 QUERY_BLOCK = 4096
 
 
@@ -48,14 +49,36 @@ def md5_hash(token: str) -> int:
     return int(hashlib.md5(token.encode()).hexdigest()[:15], 16)
 
 
+def hashed_vectors(texts: list[str | None], dim: int = DIM, hashed: Callable[[str], int] = blake_hash) -> tuple[np.ndarray, list[list[tuple[int, float]]]]:
+    """Rows of unit length (signed hashed bags of words, weights 1 + ln tf) and the unsigned weights by hashed token.
+
+    Each different token of the batch is hashed once; the rows are filled by one scatter.
+    """
+    place: dict[str, int] = {}
+    rows, tokens, weights = [], [], []
+    for i, t in enumerate(texts):
+        for token, tf in Counter(_TOKEN((t or "").lower())).items():
+            rows.append(i)
+            tokens.append(place.setdefault(token, len(place)))
+            weights.append(1.0 + math.log(tf))
+    slots = np.array([hashed(t) for t in place], dtype=object)
+    axis = np.array([int(h % dim) for h in slots], np.int64)
+    sign = np.array([1.0 - 2.0 * (hashed(t + "#") % 2) for t in place])
+    dense = np.zeros((len(texts), dim))
+    sparse: list[dict[int, float]] = [{} for _ in texts]
+    if rows:
+        at, w = np.array(tokens), np.array(weights)
+        np.add.at(dense, (np.array(rows), axis[at]), sign[at] * w)
+        for i, k, x in zip(rows, tokens, weights, strict=True):
+            sparse[i][int(slots[k] % SPARSE_SPACE)] = x
+    size = np.sqrt((dense * dense).sum(axis=1))
+    return dense / np.where(size == 0, 1.0, size)[:, None], [list(s.items()) for s in sparse]
+
+
 def embed_text(text: str | None, dim: int = DIM, hashed: Callable[[str], int] = blake_hash) -> tuple[list[float], dict[int, float]]:
-    """Signed hashed bag of words (weights 1 + ln tf, unit length) and the unsigned sparse weights by hashed token."""
-    counts = Counter(re.findall(TOKEN, (text or "").lower()))
-    dense = [0.0] * dim
-    for token, tf in counts.items():
-        dense[hashed(token) % dim] += (1.0 if hashed(token + "#") % 2 == 0 else -1.0) * (1.0 + math.log(tf))
-    size = math.sqrt(sum(x * x for x in dense)) or 1.0
-    return [x / size for x in dense], {hashed(t) % SPARSE_SPACE: 1.0 + math.log(tf) for t, tf in counts.items()}
+    """hashed_vectors of one text."""
+    dense, sparse = hashed_vectors([text], dim, hashed)
+    return dense[0].tolist(), dict(sparse[0])
 
 
 def embed(rows: DataFrame, text: str = "text", dim: int = DIM, hashed: Callable[[str], int] = blake_hash, backend: Callable | None = None) -> DataFrame:
@@ -68,25 +91,40 @@ def embed(rows: DataFrame, text: str = "text", dim: int = DIM, hashed: Callable[
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(at).to_pylist()
-            out = backend(texts) if backend else [embed_text(t, dim, hashed) for t in texts]
-            dense = pa.array([d for d, _ in out], pa.list_(pa.float64()))
-            sparse = pa.array([list(s.items()) for _, s in out], pa.map_(pa.int32(), pa.float64()))
+            if backend:
+                out = backend(texts)
+                dense, weights = pa.array([d for d, _ in out], pa.list_(pa.float64())), [list(s.items()) for _, s in out]
+            else:
+                matrix, weights = hashed_vectors(texts, dim, hashed)
+                dense = pa.ListArray.from_arrays(np.arange(0, matrix.size + 1, dim, dtype=np.int32), matrix.ravel())
+            sparse = pa.array(weights, pa.map_(pa.int32(), pa.float64()))
             yield pa.RecordBatch.from_arrays([*b.columns, dense, sparse], names=[*b.schema.names, "dense", "sparse"])
 
     return rows.mapInArrow(run, schema)
 
 
-def _matrix(column: pa.Array, unit: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Places and (unit-length) rows of the usable vectors, those of the most common length."""
-    lists = column.to_pylist()
-    at = [i for i, v in enumerate(lists) if v and all(x is not None for x in v)]
-    size = Counter(len(lists[i]) for i in at).most_common(1)
-    at = [i for i in at if len(lists[i]) == size[0][0]]
-    x = np.array([lists[i] for i in at], np.float64).reshape(len(at), size[0][0] if size else 0)
-    if unit and len(at):
-        n = np.sqrt((x * x).sum(axis=1))
-        x = x / np.where(n == 0, 1.0, n)[:, None]
-    return np.array(at, np.int64), x
+def _by_length(column: pa.ListArray, unit: bool) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Places and (unit-length) rows of the usable vectors by their length; null, empty and non-finite ones are left out."""
+    starts, sizes = column.offsets.to_numpy()[:-1], np.diff(column.offsets.to_numpy())
+    usable = column.is_valid().to_numpy(zero_copy_only=False)
+    values = column.values.to_numpy(zero_copy_only=False).astype(np.float64)  # a null component is NaN
+    out = {}
+    for n in np.unique(sizes[usable & (sizes > 0)]).tolist():
+        at = np.flatnonzero(usable & (sizes == n))
+        x = values[starts[at][:, None] + np.arange(n)]
+        fine = np.isfinite(x).all(axis=1)
+        at, x = at[fine], x[fine]
+        if unit and len(at):
+            size = np.sqrt((x * x).sum(axis=1))
+            x = x / np.where(size == 0, 1.0, size)[:, None]
+        if len(at):
+            out[n] = at, x
+    return out
+
+
+def _whole(column: pa.ChunkedArray | pa.Array) -> pa.ListArray:
+    one = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return one.chunk(0) if isinstance(one, pa.ChunkedArray) else one
 
 
 def dense_topk(queries: DataFrame, rows: DataFrame, k: int, unit: bool = True, digits: int = 6, query_block: int = QUERY_BLOCK) -> DataFrame:
@@ -94,6 +132,7 @@ def dense_topk(queries: DataFrame, rows: DataFrame, k: int, unit: bool = True, d
 
     Queries come to the tasks in blocks of bounded size; each block is one map-only pass of matrix products that keeps
     k rows a query and batch, ties at the k-th score kept, so the window meets few rows. Filters on rows go before.
+    Vectors of different lengths may be mixed, only those of one length meet; null or non-finite ones take no part.
     """
     spark = rows.sparkSession
     n = queries.count()
@@ -104,22 +143,24 @@ def dense_topk(queries: DataFrame, rows: DataFrame, k: int, unit: bool = True, d
         held = part.select("query_id", "vector").toArrow().combine_chunks()
         if not held.num_rows:
             continue
-        at, q = _matrix(held.column("vector").combine_chunks(), unit)
-        names = np.array(held.column("query_id").to_pylist(), np.int64)[at]
-        shared = spark.sparkContext.broadcast((names, q))
+        ids = np.array(held.column("query_id").to_pylist(), np.int64)
+        asked = {n: (ids[at], q) for n, (at, q) in _by_length(_whole(held.column("vector")), unit).items()}
+        shared = spark.sparkContext.broadcast(asked)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            names, q = shared.value
+            asked = shared.value
             for b in batches:
-                at, x = _matrix(b.column(1), unit)
-                if not len(at) or x.shape[1] != q.shape[1]:
-                    continue
-                ids = np.array(b.column(0).to_pylist(), np.int64)[at]
-                scores = np.round(q @ x.T, digits) + 0.0
-                keep = min(k, scores.shape[1])
-                least = np.partition(scores, scores.shape[1] - keep, axis=1)[:, scores.shape[1] - keep]
-                qi, xi = np.nonzero(scores >= least[:, None])
-                yield pa.RecordBatch.from_arrays([pa.array(names[qi]), pa.array(ids[xi]), pa.array(scores[qi, xi])], names=["query_id", "id", "score"])
+                every = np.array(b.column(0).to_pylist(), np.int64)
+                for n, (at, x) in _by_length(b.column(1), unit).items():
+                    if n not in asked:  # only vectors of one length meet
+                        continue
+                    names, q = asked[n]
+                    ids = every[at]
+                    scores = np.round(q @ x.T, digits) + 0.0
+                    keep = min(k, scores.shape[1])
+                    least = np.partition(scores, scores.shape[1] - keep, axis=1)[:, scores.shape[1] - keep]
+                    qi, xi = np.nonzero(scores >= least[:, None])
+                    yield pa.RecordBatch.from_arrays([pa.array(names[qi]), pa.array(ids[xi]), pa.array(scores[qi, xi])], names=["query_id", "id", "score"])
 
         one = rows.select(F.col("id").cast("long").alias("id"), "vector").mapInArrow(run, "query_id long, id long, score double")
         found = one if found is None else found.union(one)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import answer_relevancy, days_since, token_f1, tokenize
+from ..session import checkpoint
 
 # Feedback smoothing, sampling and drift defaults, gate thresholds, prices in USD per 1000 tokens (in, out).
 KEEP, MOVE = 0.8, 0.2
@@ -40,8 +41,12 @@ def popularity(hits: DataFrame) -> DataFrame:
 
 
 def numbered(rows: DataFrame, *order: str) -> DataFrame:
-    """rows with consecutive seq from 1 in a global order: range partitions are counted, then numbered each for itself."""
-    parts = rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    """rows with consecutive seq from 1 in a global order.
+
+    The range-partitioned rows are written with their partition's number, so that counting and numbering see the same
+    partitions whatever runtime re-planning does; each partition is then numbered for itself.
+    """
+    parts = checkpoint(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
     counts = {r["_part"]: r["n"] for r in parts.groupBy("_part").agg(F.count("*").alias("n")).collect()}  # a row a partition
     offsets, total = [], 0
     for p in range(max(counts, default=-1) + 1):

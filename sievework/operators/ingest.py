@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.hashing import bands, hamming, simhash
+from ..functions.hashing import block_keys, hamming, simhash
 from ..functions.text import clean_text, count_tokens, sentences, table_markdown
 from ..sources.files import BLOCK
 
@@ -56,14 +56,14 @@ def section_text():
 
 
 def near_pairs(prints: DataFrame, most: int = MAX_DISTANCE) -> DataFrame:
-    """a < b with Hamming distance <= most over fingerprints(doc_id, fp): at that distance one of most + 1 bands is equal.
+    """a < b with Hamming distance <= most over fingerprints(doc_id, fp): at that distance they share a key of block_keys.
 
     Equal fingerprints are one representative first, so copies make no pairs among themselves.
     """
     reps = prints.groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
-    keyed = reps.select("doc_id", "fp", F.explode(bands(F.col("fp"), most + 1)).alias("k")).select("doc_id", "fp", "k.band", "k.value")
+    keyed = reps.select("doc_id", "fp", F.explode(block_keys(F.col("fp"), most)).alias("k")).select("doc_id", "fp", "k.combination", "k.bits")
     left, right = keyed.alias("l"), keyed.alias("r")
-    met = left.join(right, (F.col("l.band") == F.col("r.band")) & (F.col("l.value") == F.col("r.value")) & (F.col("l.doc_id") < F.col("r.doc_id")))
+    met = left.join(right, (F.col("l.combination") == F.col("r.combination")) & (F.col("l.bits") == F.col("r.bits")) & (F.col("l.doc_id") < F.col("r.doc_id")))
     distance = hamming(F.col("l.fp"), F.col("r.fp"))
     return met.where(distance <= most).select(F.col("l.doc_id").alias("a"), F.col("r.doc_id").alias("b"), distance.cast("int").alias("distance")).distinct()
 

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import UNION
+from ..session import UNION, checkpoint
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -41,25 +40,6 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage: written as Parquet below the cluster's checkpoint folder and read again.
-
-    The folder is spark.checkpoint.dir; a temporary one only where none is set (tests). A table that is read again, unlike
-    a checkpointed one, claims no partitioning that runtime re-planning may have changed.
-    """
-    sc = df.sparkSession.sparkContext
-    folder = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if folder is None:
-        import tempfile
-
-        folder = "file://" + tempfile.mkdtemp(prefix="sievework-checkpoint-")
-        sc.setCheckpointDir(folder)
-    df.sparkSession.conf.set(*UNION)
-    path = f"{folder.rstrip('/')}/sievework-{uuid.uuid4().hex[:16]}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def tok(c: str) -> str:
     return f"regexp_extract_all(lower({c}), '[a-z0-9]+')"
 
@@ -126,3 +106,6 @@ rs AS (SELECT pool.query_id, pool.chunk_id, d.source AS doc_source, coalesce(rou
     FROM pool JOIN (SELECT doc_id, source, len(list_distinct({tok("text")})) AS p_tokens FROM documents) d ON d.doc_id = pool.chunk_id
     LEFT JOIN qs ON qs.query_id = pool.query_id LEFT JOIN {ls} ON {ls}.query_id = pool.query_id AND {ls}.chunk_id = pool.chunk_id),
 rr AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank DESC, chunk_id) - 1 AS rank FROM rs) WHERE rank < 8 AND (rerank >= 0.15 OR rank = 0))"""
+
+
+__all__ = ["DENSE", "ORACLE_SQL", "QUERIES", "QUESTIONS", "TERMS", "checkpoint", "chunks", "content", "count_tokens", "fused", "query", "questions", "reranked", "sentences", "table", "tok"]

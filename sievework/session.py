@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import os
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: A union that claims its children's partitioning, while runtime re-planning changes theirs, makes later joins and
 #: aggregations miss rows (seen in Spark 4.1.2), so every session of the engine has it off.
@@ -23,6 +24,32 @@ SETTINGS = {
 }
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the driver and all executors see: spark.checkpoint.dir; a temporary one in local mode alone (tests)."""
+    sc = spark.sparkContext
+    folder = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if folder is None:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir isn't set: no folder that all executors see")
+        import tempfile
+
+        folder = "file://" + tempfile.mkdtemp(prefix="sievework-")
+        sc.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut the lineage: written as Parquet below the shared folder and read again.
+
+    A table that is read again, unlike a checkpointed one, claims no partitioning that runtime re-planning may have changed.
+    """
+    spark = df.sparkSession
+    spark.conf.set(*UNION)
+    path = f"{shared_dir(spark)}/sievework-{uuid.uuid4().hex[:16]}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def local_session(name: str = "sievework", cores: int | None = None, shuffle_partitions: int | None = None, memory: str = "6g") -> SparkSession:
     """A local session for tests and benchmarks; on a cluster, set SETTINGS at submission instead."""
     cores = cores or os.cpu_count() or 4

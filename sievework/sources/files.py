@@ -81,15 +81,21 @@ def markdown_blocks(rows: DataFrame, text: str = "text") -> DataFrame:
     return rows.select("doc_id", text).mapInArrow(run, f"doc_id {kind}, blocks array<{BLOCK}>")
 
 
+def is_file(spark: SparkSession, path: str) -> bool:
+    """Whether a path of any file system that Spark reads is a file; patterns and missing paths aren't."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs.exists(p) and fs.getFileStatus(p).isFile()
+
+
 def load_path(spark: SparkSession, path: str, acl_tags: list[str] | None = None) -> DataFrame:
-    """Documents of a file (any suffix) or a folder (known suffixes, recursively), by path order of doc_id."""
+    """Documents of a file (any suffix or none) or a folder (known suffixes, recursively); invalid UTF-8 is replaced, not an error."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     suffix = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
-    single = re.search(r"\.[^./]+$", path.rstrip("/")) is not None
-    if not single:
+    if not is_file(spark, path):
         files = files.where(suffix.isin(*TEXT_SUFFIXES, *HTML_SUFFIXES))
     uri = F.regexp_replace("path", "^file:/+", "file:///")
-    raw = files.select(uri.alias("doc_id"), suffix.alias("suffix"), F.decode("content", "UTF-8").alias("text"))
+    raw = files.select(uri.alias("doc_id"), suffix.alias("suffix"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
     is_html = F.col("suffix").isin(*HTML_SUFFIXES)
     plain = raw.where(~is_html)
     parsed = markdown_blocks(plain)

@@ -8,8 +8,8 @@ takes the points it is nearest to. A pair (query node, data node) holds no score
 
 and goes when that is below the worst k-th score among the node's queries (equal bounds stay, as ties go by id).
 
-Scale: the queries are a stated set. They are searched in blocks of about `QUERY_BLOCK`, so that what is broadcast is
-bounded whatever the table's size; for each block one map-only pass over the data builds trees over `DATA_BLOCK` rows
+Scale: the queries are a stated set. They are searched in blocks of about `QUERY_BLOCK`, one block after another, so that
+what comes to the driver and is broadcast at a time is bounded whatever the table's size; for each block one map-only pass over the data builds trees over `DATA_BLOCK` rows
 at a time and keeps k rows a query and task, which then meet in a window that Spark limits before its shuffle.
 
 Defined results: vectors that are null or hold null or non-finite components take no part, nor does a null vec_id;
@@ -25,14 +25,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, written
 
 K, EVERY, SCALE = 10, 100, 1024.0
 QUERY_BLOCK, DATA_BLOCK = 4096, 1 << 16
-LEAF, FANOUT = 96, 12
+#: Rows of a leaf, queries of a leaf (few, so that a group's bound is tight), children of a node.
+LEAF, QUERY_LEAF, FANOUT = 96, 8, 12
 EXACT = float(1 << 53)
 
 
@@ -44,7 +46,7 @@ class Node:
         self.norm = float(np.sqrt((centre * centre).sum()))
 
 
-def build(points: np.ndarray, rows: np.ndarray | None = None, centre: np.ndarray | None = None, far: np.ndarray | None = None) -> Node:
+def build(points: np.ndarray, rows: np.ndarray | None = None, centre: np.ndarray | None = None, far: np.ndarray | None = None, leaf: int = LEAF) -> Node:
     """Cover tree over points[rows]; far: the rows' distances to the centre."""
     if rows is None:
         rows = np.arange(len(points))
@@ -53,7 +55,7 @@ def build(points: np.ndarray, rows: np.ndarray | None = None, centre: np.ndarray
     if far is None:
         far = np.sqrt(((points[rows] - centre) ** 2).sum(axis=1))
     radius = float(far.max())
-    if len(rows) <= LEAF or radius == 0:
+    if len(rows) <= leaf or radius == 0:
         return Node(centre, radius, rows, [])
     own = points[rows]
     centres, nearest, owner = [centre], far.copy(), np.zeros(len(rows), np.int32)
@@ -73,7 +75,7 @@ def build(points: np.ndarray, rows: np.ndarray | None = None, centre: np.ndarray
     for k, c in enumerate(centres):
         mine = owner == k
         if mine.any():
-            kids.append(build(points, rows[mine], c, nearest[mine]))
+            kids.append(build(points, rows[mine], c, nearest[mine], leaf))
     return Node(centre, radius, rows, kids)
 
 
@@ -82,7 +84,7 @@ class Search:
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int = K):
         self.ids, self.vectors, self.k = ids, vectors, k
-        self.tree = build(vectors) if len(ids) else None
+        self.tree = build(vectors, leaf=QUERY_LEAF) if len(ids) else None
         self.scores = np.full((len(ids), k), -np.inf)
         self.found = np.full((len(ids), k), np.iinfo(np.int64).max, np.int64)
         self.largest = float(np.abs(vectors).max(initial=0.0))
@@ -175,26 +177,31 @@ def top_k(rows: DataFrame, every: int = EVERY, k: int = K, query_block: int = QU
     rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     queries = rows.where(F.col("vec_id") % every == 0).distinct()
     blocks = max(1, -(-queries.count() // query_block))
-    parts = [search_block(rows, queries.where(F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(blocks)) == b), k, data_block, b) for b in range(blocks)]
-    parts = [p for p in parts if p is not None]
-    if not parts:
+    found = None
+    for b in range(blocks):
+        block = queries.where(F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(blocks)) == b)
+        one, shared = search_block(rows, block, k, data_block, b)
+        if one is None:
+            continue
+        if blocks > 1:  # one block after another: its few rows are written, what was broadcast for it goes
+            one = written(one, "topk")
+            shared.destroy()
+        found = one if found is None else found.union(one)
+    if found is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.union(p)
     best = Window.partitionBy("query", "query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def search_block(rows: DataFrame, queries: DataFrame, k: int, data_block: int, block: int) -> DataFrame | None:
-    """query (its number, by block, length and place), query_id, vec_id, score: the best k of each query in each task."""
+def search_block(rows: DataFrame, queries: DataFrame, k: int, data_block: int, block: int) -> tuple[DataFrame | None, Broadcast | None]:
+    """(query (its number, by block, length and place), query_id, vec_id, score: the best k of each query in each task; what it broadcasts)."""
     held = queries.toArrow().combine_chunks()  # about QUERY_BLOCK vectors
     if not held.num_rows:
-        return None
+        return None, None
     column = lambda name: held.column(name).combine_chunks()
     by_length = quantised(column("vec_id"), column("embedding"))
     if not by_length:
-        return None
+        return None, None
     shared = rows.sparkSession.sparkContext.broadcast(by_length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,7 +226,7 @@ def search_block(rows: DataFrame, queries: DataFrame, k: int, data_block: int, b
         columns = list(zip(*out, strict=True)) or [()] * 4
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["query", "query_id", "vec_id", "score"])
 
-    return rows.mapInArrow(run, "query long, query_id long, vec_id long, score long")
+    return rows.mapInArrow(run, "query long, query_id long, vec_id long, score long"), shared
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

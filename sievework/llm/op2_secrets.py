@@ -10,10 +10,12 @@ the encoding (the smallest alphabet that holds the run), and tests the run's sym
 
 A secret passes all three (each at `KEEP` / 3, Bonferroni). That alone would pass short words too, so the discovery
 p-value is the chance that ordinary text of the same length over the same alphabet is as even as the run: the lower
-tail of the non-central chi-squared whose non-centrality grows with the length (`TEXT_BIAS` a symbol). Candidates
-of a document are then taken by a Benjamini-Hochberg step at level `FDR`, weighted by length; equal runs are one test.
+tail of the non-central chi-squared whose non-centrality grows with the length (`TEXT_BIAS` a symbol). All runs of all
+texts are one family: a first pass counts p-values over lengths in a histogram of fixed size, the Benjamini-Hochberg step at
+level `FDR` weighted by length (a run's weight is its length over the mean one) finds the cut there, at a bin's upper edge,
+and the second pass takes the runs below it. Equal runs of a text are one test.
 
-Map-only. Defined results: a null or empty text has no spans (base_sha256 is that of the empty string); texts of any
+Two map-only passes. Defined results: a null or empty text has no spans (base_sha256 is that of the empty string); texts of any
 length are scanned whole; repeated rows are scanned each for itself; an empty table gives no rows; other columns are
 neither read nor passed on; doc_id may be null.
 """
@@ -28,6 +30,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
 from .word_bpe import enter
@@ -58,6 +61,8 @@ ALPHABETS = {
 }
 INDEX = {name: {c: i for i, c in enumerate(a)} for name, a in ALPHABETS.items()}
 KEEP, FDR = 0.003, 0.05
+#: Bins of the histogram a power of ten.
+BINS = 50
 #: Non-centrality a symbol of natural text: its letters' squared deviation from evenness over the evenness.
 TEXT_BIAS = 1.2
 SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, n_random long, base_sha256 string, spans string"
@@ -119,7 +124,7 @@ def battery(run: str) -> tuple[float, float] | None:
     full = sum((c - n / k) ** 2 for c in whole) * k / n
     nc = TEXT_BIAS * n * min(1.0, k / 36)
     df = k - 1
-    p_text = 1 - upper_normal((full - df - nc) / math.sqrt(2 * (df + 2 * nc)))
+    p_text = upper_normal((df + nc - full) / math.sqrt(2 * (df + 2 * nc)))
     return min(1.0, 3 * min(p_even, p_runs, p_serial)), p_text
 
 
@@ -135,8 +140,8 @@ def parts(start: int, end: int, taken: list[tuple[int, int]]) -> Iterator[tuple[
         yield start, end
 
 
-def battery_spans(text: str, taken: list[tuple[int, int]], fdr: float = FDR, keep: float = KEEP) -> list[tuple[int, int]]:
-    """Runs outside the taken spans that the battery finds random, under false-discovery control over the text's different runs."""
+def candidates(text: str, taken: list[tuple[int, int]]) -> list[tuple[float, int, float, list[tuple[int, int]]]]:
+    """(discovery p-value over length, length, p-value of the randomness tests, places) of a text's different runs outside the taken spans."""
     places: dict[str, list[tuple[int, int]]] = {}
     taken, at = sorted(taken), 0
     for m in RUN.finditer(text):
@@ -144,13 +149,64 @@ def battery_spans(text: str, taken: list[tuple[int, int]], fdr: float = FDR, kee
             at += 1
         for s, e in parts(*m.span(), taken[at : bisect_left(taken, (m.end(),), at)]):
             places.setdefault(text[s:e], []).append((s, e))
-    found = [(p[1], p[0], run) for run in places if (p := battery(run))]
-    if not found:
-        return []
-    mean = sum(len(f[2]) for f in found) / len(found)
-    weighted = sorted((p * mean / len(run), r, run) for p, r, run in found)
-    cut = max((k for k, w in enumerate(weighted, 1) if w[0] <= fdr * k / len(weighted)), default=0)
-    return sorted(place for _, r, run in weighted[:cut] if r >= keep for place in places[run])
+    return [(p[1] / len(run), len(run), p[0], at) for run, at in places.items() if (p := battery(run))]
+
+
+def step_up(counts: dict[int, tuple[int, int]], fdr: float = FDR) -> float:
+    """The Benjamini-Hochberg cut on p-value over length, from (runs, their lengths' sum) by bin of `edge`; -1 if nothing passes."""
+    tests, chars = (sum(c) for c in zip(*counts.values(), strict=True)) if counts else (0, 0)
+    cut, below = -1.0, 0
+    for b in sorted(counts, reverse=True):  # from the smallest p-values
+        below += counts[b][0]
+        if edge(b) * chars / tests <= fdr * below / tests:
+            cut = edge(b)
+    return cut
+
+
+def edge(b: int) -> float:
+    """The greatest value of a bin."""
+    return 10 ** (-b / BINS)
+
+
+def bin_of(x: float) -> int:
+    return min(300 * BINS, math.floor(-math.log10(max(x, 1e-300)) * BINS + 1e-9))
+
+
+def battery_spans(text: str, taken: list[tuple[int, int]], cut: float | None = None, fdr: float = FDR, keep: float = KEEP) -> list[tuple[int, int]]:
+    """Runs outside the taken spans that the battery finds random, below the cut of a whole corpus (None: of this text alone)."""
+    found = candidates(text, taken)
+    if cut is None:
+        cut = step_up(binned(found), fdr)
+    return sorted(place for p, _, r, at in found if r >= keep and p <= cut for place in at)
+
+
+def binned(found: list[tuple]) -> dict[int, tuple[int, int]]:
+    out: dict[int, tuple[int, int]] = {}
+    for p, n, *_ in found:
+        b = bin_of(p)
+        tests, chars = out.get(b, (0, 0))
+        out[b] = tests + 1, chars + n
+    return out
+
+
+def corpus_cut(docs: DataFrame, fdr: float = FDR) -> float:
+    """The cut over all texts of docs; at most 300 * BINS rows a task are summed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("secrets")
+        total: dict[int, tuple[int, int]] = {}
+        for b in batches:
+            for text in b.column(0).to_pylist():
+                if text:
+                    for k, (n, c) in binned(candidates(text, [s[1:] for s in base_spans(text)])).items():
+                        old = total.get(k, (0, 0))
+                        total[k] = old[0] + n, old[1] + c
+        rows = [(k, n, c) for k, (n, c) in total.items()]
+        columns = list(zip(*rows, strict=True)) or [()] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64())], names=["bin", "n", "chars"])
+
+    rows = docs.select("text").mapInArrow(run, "bin int, n long, chars long").groupBy("bin").agg(F.sum("n").alias("n"), F.sum("chars").alias("chars")).collect()
+    return step_up({r["bin"]: (r["n"], r["chars"]) for r in rows}, fdr)
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -162,20 +218,20 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
-def scan(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
+def scan(text: str | None, cut: float | None = None) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
     """(base spans, all spans) of a text, each a kind with start and end in code points."""
     text = text or ""
     base = base_spans(text)
-    more = [("random", *s) for s in battery_spans(text, [s[1:] for s in base])]
+    more = [("random", *s) for s in battery_spans(text, [s[1:] for s in base], cut)]
     return base, sorted(base + more, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
-def redact(text: str | None, mark: str = "[secret]") -> str | None:
+def redact(text: str | None, cut: float | None = None, mark: str = "[secret]") -> str | None:
     """The text with every span (overlapping ones as one) replaced by the mark."""
     if text is None:
         return None
     out, at = [], 0
-    for _, s, e in scan(text)[1]:
+    for _, s, e in scan(text, cut)[1]:
         if s >= at:
             out += [text[at:s], mark]
         at = max(at, e)
@@ -188,13 +244,14 @@ def joined(spans: list[tuple[str, int, int]]) -> str:
 
 def find_secrets(docs: DataFrame) -> DataFrame:
     """One row a document: counts by kind, the hash of the base spans, all spans."""
+    cut = corpus_cut(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enter("secrets")
         for b in batches:
             columns: list[list] = [[] for _ in range(6)]
             for text in b.column(1).to_pylist():
-                base, spans = scan(text)
+                base, spans = scan(text, cut)
                 kinds = [s[0] for s in spans]
                 for c, v in zip(columns, (*(kinds.count(k) for k in KINDS), hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans)), strict=True):
                     c.append(v)
@@ -208,11 +265,12 @@ def redacted(docs: DataFrame) -> DataFrame:
     """docs with each secret in text replaced by a mark and n_chars, if there, made to fit."""
     names = docs.columns
     at = names.index("text")
+    cut = corpus_cut(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enter("secrets")
         for b in batches:
-            texts = [redact(t) for t in b.column(at).to_pylist()]
+            texts = [redact(t, cut) for t in b.column(at).to_pylist()]
             arrays = [*b.columns]
             arrays[at] = pa.array(texts, b.schema.field(at).type)
             if "n_chars" in names:

@@ -3,7 +3,8 @@
 Training (labelled rows outside the held-out fold, at most `TRAIN_DOCS` of them by hash order, a documented bound):
 tokens are words and their beginnings (insults are inflected), counted once for each different word before them, so
 that copies of a text or passage count once, in toxic and clean texts; log-odds come from a Dirichlet prior of half a count plus the token's overall frequency.
-Tokens whose signed root of the likelihood ratio reaches `Z` form the lexicon (at most `LEXICON`, by z). A word
+Tokens whose signed root of the likelihood ratio reaches `Z` form the lexicon. The lexicon comes from three parts in four of
+these rows (by the text's hash), the extreme-value law and the calibration from the fourth part, which it hasn't seen. A word
 scores its best token's log-odds, once in a passage (a spelling that comes again while the passage's running score lives
 is drift, after that it scores anew); any other word the log-ratio of all of them together, a small negative drift.
 
@@ -14,7 +15,7 @@ below `E_VALUE`. The score is the logistic calibration, on the training rows, of
 segments' normalised scores. Labels, lang, source and doc_id are never inputs of a score.
 
 Map-only but for the word counts of the bounded training sample. Defined results: a null or empty text scores as a
-text without any toxic word; without usable labels of both kinds every score is 0; a doc_id labelled twice counts
+text without any toxic word; a text of any length is scored whole; without usable labels of both kinds every score is 0; a doc_id labelled twice counts
 as toxic if any row says so; repeated rows are scored each for itself; an empty table gives no rows; other columns
 are neither read nor passed on; a null doc_id is never a training row and not held out.
 """
@@ -31,10 +32,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from .word_bpe import Memo
+from .word_bpe import Memo, enter
 
 TRAIN_DOCS = 20_000
-LEXICON = 50_000
+#: One training text in so many is kept for the calibration.
+APART = 4
 #: Weight of the prior in words, least z-score and least count among toxic texts of a lexicon word.
 PRIOR, Z, LEAST = 100.0, 4.5, 4
 #: Lengths of the beginnings that are tokens.
@@ -143,13 +145,13 @@ class Model:
         return n, [(places[a], places[b - 1] + 1, s) for a, b, s in segments(scores)]
 
     def features(self, n: int, segs: list[tuple[int, int, float]]) -> list[float]:
-        """Best segment's normalised score, the sum over those above chance on a log scale, the best one's plain score."""
+        """Best segment's normalised score, the sum over those above chance, the best one's plain score, all on a log scale."""
         if not segs:
-            return [-2.0, 0.0, 0.0]
+            return [-math.asinh(10.0), 0.0, 0.0]
         base = self.log_k + math.log(max(1, n))
-        best = self.lam * max(s for _, _, s in segs) - base
+        most = max(s for _, _, s in segs)
         rest = sum(max(0.0, self.lam * s - base) for s in (x[2] for x in segs))
-        return [max(-10.0, min(best, 15.0)) / 5, math.log1p(rest), min(15.0, max(s for _, _, s in segs)) / 5]
+        return [math.asinh(self.lam * most - base), math.log1p(rest), math.log1p(most)]
 
     def significant(self, n: int, segs: list[tuple[int, int, float]]) -> list[tuple[int, int, float]]:
         base = self.log_k + math.log(max(1, n))
@@ -235,7 +237,8 @@ def word_counts(rows: DataFrame) -> DataFrame:
 def learn(docs: DataFrame, labels: DataFrame) -> Model:
     """The model from the labelled rows outside the held-out fold."""
     rows = training_rows(docs, labels, "toxic", TRAIN_DOCS, "crc32(cast(doc_id as string)) % 3 <> 1")
-    counts = word_counts(rows)
+    apart = F.coalesce(F.pmod(F.xxhash64("text"), F.lit(APART)) == 0, F.lit(False))
+    counts = word_counts(rows.where(~apart))
     totals = counts.where("word = ''").selectExpr("a ta", "b tb")
     prior = 0.5 + F.lit(PRIOR) * (F.col("a") + F.col("b")) / (F.col("ta") + F.col("tb"))
     odds = lambda y, t: F.log((F.col(y) + prior) / (F.col(t) + PRIOR))
@@ -244,8 +247,8 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     picked = (
         counts.where((F.col("a") >= LEAST) & (F.col("word") != "")).join(F.broadcast(totals), F.lit(True)).where("ta > 0 and tb > 0")
         .select("word", "a", "b", "ta", "tb", prior.alias("prior"), (odds("a", "ta") - odds("b", "tb")).alias("odds"))
-        .select("*", z).where(F.col("z") >= Z).orderBy(F.desc("z"), "word").limit(LEXICON).collect()
-    )
+        .select("*", z).where(F.col("z") >= Z).orderBy(F.desc("z"), "word").collect()
+    )  # words of the bounded sample alone
     if not picked:
         return Model({}, 0.0, 1.0)
     ta, tb = picked[0]["ta"], picked[0]["tb"]
@@ -256,26 +259,37 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     drift = min(-1e-3, math.log(max(1e-9, 1 - in_a) / max(1e-9, 1 - in_b)))
     clean = [(r["odds"], (r["b"] + r["prior"]) / (tb + PRIOR)) for r in top] + [(drift, 1 - in_b)]
     model = Model(lexicon, drift, solve_lambda(clean))
-    return calibrate(model, rows)
+    return calibrate(model, rows.where(apart))
 
 
 def calibrate(model: Model, rows: DataFrame) -> Model:
-    """K from clean training texts' best segments, then the logistic weights; the bounded sample's numbers come to the driver."""
+    """K from clean texts' best segments, then the logistic weights, over rows apart from the lexicon's.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    A number or three a text of the bounded sample come to the driver, however long the texts are.
+    """
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("toxicity")
         for b in batches:
             found = [model.found(t or "") for t in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([[s for _, _, s in f[1]] for f in found], pa.list_(pa.float64())), b.column(1)], names=["n", "s", "y"])
+            top = [model.lam * max(s for _, _, s in segs) - math.log(max(1, n)) if segs else None for n, segs in found]
+            yield pa.RecordBatch.from_arrays([pa.array(top, pa.float64())], names=["best"])
 
-    got = rows.mapInArrow(run, "n long, s array<double>, y int").collect()
-    best = [(model.lam * max(r["s"]) - math.log(max(1, r["n"]))) for r in got if r["y"] != 1 and r["s"]]
-    share = len(best) / max(1, sum(r["y"] != 1 for r in got))
+    clean = [r["best"] for r in rows.where("y <> 1").mapInArrow(best, "best double").collect()]
+    tops = [x for x in clean if x is not None]
     # Clean texts without any lexicon word have no segment; the law's location is taken over those that have one.
-    model.log_k = (float(np.median(best)) - 0.3665 if best else 0.0) + math.log(max(share, 1e-6))
-    x = np.array([model.features(r["n"], [(0, 0, s) for s in r["s"]]) for r in got])
+    model.log_k = (float(np.median(tops)) - 0.3665 if tops else 0.0) + math.log(max(len(tops) / max(1, len(clean)), 1e-6))
+
+    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("toxicity")
+        for b in batches:
+            x = [model.features(*model.found(t or "")) for t in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), b.column(1)], names=["x", "y"])
+
+    got = rows.mapInArrow(measured, "x array<double>, y int").collect()
     y = np.array([float(r["y"] == 1) for r in got])
     if 0 < y.sum() < len(y):
-        model.weights = fit_logistic(x, y)
+        model.weights = fit_logistic(np.array([r["x"] for r in got]), y)
     return model
 
 
@@ -284,6 +298,7 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model = learn(docs, labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("toxicity")
         for b in batches:
             scores, counts, spans = [], [], []
             for t in b.column(2).to_pylist():

@@ -8,8 +8,12 @@ elements below it, and LC and LT of these in links, the composite density is
     C/T * log_b(C/LC * T/LT),  b = ln(C*LC/nLC + C*LCb/Cb + e),
 
 with nLC = C - LC and LCb, Cb the body's, zero counts taken as one. The subtree with the greatest sum of its
-children's densities is the article. The least density on the path from there to the body is the threshold: a
-sibling along that path that reaches it belongs to the article too. An enclosing <article> or <main> is taken whole.
+children's densities is the article's core. The least density on the path from there to the body is the threshold: what
+stands beside that path and reaches it belongs to the article too, and so do headings and blocks without links beside
+the core, in the part of the path that is mostly such text.
+
+A part that names itself as no article by a class or id alone (words that articles use too) is left out unless it holds
+half of the page's text that isn't in links, or is a heading.
 
 Map-only. Defined results: a null or empty page has an empty text; without markup the whole text is one block;
 pages of any length are parsed whole; only script, style, iframe, textarea and title without an end take the rest of the page; ties of density go to the node further up; repeated rows are extracted each
@@ -57,19 +61,25 @@ SCHEMA = "page_id long, url string, text string, n_chars long"
 
 
 class Node:
-    __slots__ = ("tag", "parent", "kids", "chars", "tags", "link_chars", "link_tags", "dropped", "named", "blocks", "density")
+    __slots__ = ("tag", "parent", "kids", "chars", "tags", "link_chars", "link_tags", "dropped", "named", "hinted", "holds", "blocks", "density")
 
-    def __init__(self, tag: str, parent: Node | None, dropped: bool):
+    def __init__(self, tag: str, parent: Node | None, mark: str = ""):
         self.tag, self.parent = tag, parent
-        self.dropped, self.named = dropped or tag in INSET, dropped
+        self.dropped, self.named, self.hinted = mark == "part" or tag in INSET, mark == "part", mark == "hint"
+        self.holds: set[str] = set()  # which of article, main and h1 lie below
         self.blocks = False  # whether a block element lies below
         self.kids: list = []  # nodes and strings in page order
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = 0.0
         if parent is not None:
             parent.kids.append(self)
-            while tag in BLOCK and parent is not None and not parent.blocks:
-                parent.blocks, parent = True, parent.parent
+            up = parent
+            while tag in BLOCK and up is not None and not up.blocks:
+                up.blocks, up = True, up.parent
+            up = parent
+            while tag in ("article", "main", "h1") and up is not None and tag not in up.holds:
+                up.holds.add(tag)
+                up = up.parent
 
 
 def within(at: Node | None) -> bool:
@@ -79,24 +89,23 @@ def within(at: Node | None) -> bool:
     return at is not None
 
 
-def no_article(tag: str, attributes: str, parent: Node) -> bool:
-    """Whether an element names itself as a part beside the article."""
-    if tag in DROPPED:
-        return True
-    if tag == "header" and not within(parent):
-        return True
+def mark_of(tag: str, attributes: str, parent: Node) -> str:
+    """What an element says of itself: "part" beside the article, "hint" (by class or id alone), or nothing."""
+    if tag in DROPPED or tag == "header" and not within(parent):
+        return "part"
     if not attributes or tag in ("html", "body", "article", "main"):
-        return False
+        return ""
+    hint = ""
     for m in MARKS.finditer(attributes):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name == "hidden" and m[2] is None and m[3] is None or name == "aria-hidden" and value == "true":
-            return True
+            return "part"
         if name == "role" and value.lower() in ROLES or name == "style" and "display:none" in value.replace(" ", "").lower():
-            return True
-        if name in ("class", "id") and (hints := HINTS.intersection(w.lower() for w in WORDS.findall(value))):
-            if not (hints <= COMMON or tag in HEADINGS) or not within(parent):
-                return True
-    return False
+            return "part"
+        if name in ("class", "id") and tag not in HEADINGS and (hints := HINTS.intersection(w.lower() for w in WORDS.findall(value))):
+            if not hints <= COMMON or not within(parent):
+                hint = "hint"
+    return hint
 
 
 def leave(at: Node | None, to: Node | None) -> None:
@@ -109,7 +118,7 @@ def leave(at: Node | None, to: Node | None) -> None:
 
 def parse(page: str) -> Node:
     """The page's tree."""
-    root = Node("html", None, False)
+    root = Node("html", None)
     at, pos, n = root, 0, len(page)
     while pos < n:
         m = TOKEN.search(page, pos)
@@ -136,7 +145,7 @@ def parse(page: str) -> Node:
             leave(at, root)
             at = root
             if tag == "body":
-                at = Node("body", root, False)
+                at = Node("body", root)
             continue
         if tag in BLOCK:
             up = at
@@ -146,7 +155,7 @@ def parse(page: str) -> Node:
             if up is not None and (up.tag == "p" or ends and up.tag in ends) and up.parent is not None:
                 leave(at, up)
                 at = up.parent
-        node = Node(tag, at, no_article(tag, m[3], at))
+        node = Node(tag, at, mark_of(tag, m[3], at))
         if tag in VOID or m[3].endswith("/") and tag not in BLOCK:
             continue
         if tag in RAW:
@@ -166,6 +175,7 @@ def measure(root: Node) -> list[Node]:
         order.append(node)
         stack += [k for k in reversed(node.kids) if isinstance(k, Node) and not k.dropped]
     for node in reversed(order):
+        node.chars = node.tags = node.link_chars = node.link_tags = 0
         for k in node.kids:
             if isinstance(k, str):
                 node.chars += sum(map(len, k.split()))
@@ -179,6 +189,16 @@ def measure(root: Node) -> list[Node]:
     return order
 
 
+def drop_hinted(order: list[Node], body: Node) -> bool:
+    """Drops the parts named by class or id alone, but wrappers of the article; whether there are any."""
+    found = False
+    text = body.chars - body.link_chars
+    for node in order:
+        if node.hinted and not node.holds & {"article", "main"} and not ("h1" in node.holds and 2 * (node.chars - node.link_chars) >= text):
+            node.dropped = found = True
+    return found
+
+
 def densities(order: list[Node], body: Node) -> None:
     share = body.link_chars / max(1, body.chars)
     for node in order:
@@ -226,6 +246,8 @@ def extract(page: str | None) -> str:
     root = parse(page)
     order = measure(root)
     body = next((n for n in order if n.tag == "body"), root)
+    if drop_hinted(order, body):
+        order = measure(root)
     densities(order, body)
     below = {id(body)}
     best, most = body, -1.0
@@ -236,34 +258,34 @@ def extract(page: str | None) -> str:
         total = sum(k.density for k in node.kids if isinstance(k, Node) and not k.dropped)
         if total > most and node.tag != "a":
             best, most = node, total
+    while best is not body and best.tag not in BLOCK:  # an inline element: its block
+        best = best.parent
     path = []
     at = best
     while at is not body:
         path.append(at)
         at = at.parent
-    for node in reversed(path):
-        if node.tag in ("article", "main"):
-            best = node
-            break
-    if best is not body and best.tag not in BLOCK:  # an inline element: its block
-        while best is not body and best.tag not in BLOCK:
-            best = best.parent
     parts = {id(best)}
-    if best is not body and best.tag not in ("article", "main"):
-        threshold = min([n.density for n in path] + [body.density])
-        at = best
-        while at is not body:
-            for k in at.parent.kids:
-                if isinstance(k, Node) and not k.dropped and k is not at and k.density >= threshold and k.density > 0 and 2 * k.link_chars < k.chars:
+    threshold = min([n.density for n in path] + [body.density])
+    for at in path:
+        for k in at.parent.kids:
+            if isinstance(k, Node) and not k.dropped and k is not at and k.chars and 2 * k.link_chars < k.chars:
+                plain = not k.link_tags and (k.tag in HEADINGS or k.tag in BLOCK and at.parent is not body)
+                if k.density >= threshold > 0 or plain or k.tag == at.tag in ("article", "main"):
                     parts.add(id(k))
-            at = at.parent
-    elif best.tag in ("article", "main"):
-        parts |= {id(n) for n in order if n.tag == best.tag and n.parent is best.parent}
+        if at.parent is not body and at.tag not in ("article", "main"):
+            # Text between the blocks beside the path belongs to its parent: the parent as a whole, if nothing in it is left out.
+            if all(not isinstance(k, str) and (k.dropped or not k.chars or k is at or id(k) in parts) or isinstance(k, str) for k in at.parent.kids):
+                parts.add(id(at.parent))
     if best is body:
         return "\n".join(blocks(body))
     out: list[str] = []
+    taken: set[int] = set()  # nodes below a part that has been written
     for node in order:
-        if id(node) in parts:
+        if node.parent is not None and id(node.parent) in taken:
+            taken.add(id(node))
+        elif id(node) in parts:
+            taken.add(id(node))
             out += blocks(node)
     return "\n".join(out)
 

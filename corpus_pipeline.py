@@ -1,7 +1,13 @@
 """Corpus pipeline: quality classifier, quality rules, near-duplicates, secret scan, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a table; run() writes each as Parquet to the shared folder and reads
-it again as the next stage's docs. All but the last return the columns of documents.
+it again as the next stage's docs. All but the last return the columns of documents, and any further ones whatever their
+names: a stage keeps what it works with apart from them.
+
+Defined results of the stages: a null or empty text counts as empty (the classifier judges it by a weight of 0, the rules
+drop it as too short); texts of any length are taken whole; repeated rows are judged alike, near_dedup keeps one row of a
+doc_id and the row of the smallest doc_id of a group of duplicates, rows without a doc_id are never duplicates; ties of
+sampling keys stay together; an empty table gives an empty table with the same columns.
 """
 
 from __future__ import annotations
@@ -10,14 +16,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievework.llm import op2_secrets, op4_packing, op5_lines, op6_minhash, op7_quality
-from sievework.llm.common import settled, table, written
+from sievework.llm.common import packed, settled, table, unpacked, written
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that importance resampling keeps."""
     ratio, cut = op7_quality.fit(docs, table(spark, sf_dir, "labels"))
-    keyed = op7_quality.keyed(docs, ratio)
-    return (keyed if cut is None else keyed.where(F.col("sample_key") >= F.lit(cut))).select(*docs.columns)
+    keyed = op7_quality.keyed(packed(docs, "doc_id", "text"), ratio)
+    return unpacked(keyed if cut is None else keyed.where(F.col("sample_key") >= F.lit(cut)), docs, "doc_id", "text")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

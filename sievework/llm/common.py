@@ -31,12 +31,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that the driver and all executors see: spark.checkpoint.dir, else (tests) a temporary one."""
+    """Folder that the driver and all executors see: spark.checkpoint.dir; a temporary one in local mode alone (tests)."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if conf:
         return conf.rstrip("/")
     held = getattr(spark.sparkContext, "_sievework_shared", None)
     if held is None:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir isn't set: no folder that all executors see")
         held = "file://" + tempfile.mkdtemp(prefix="sievework-")
         spark.sparkContext._sievework_shared = held
         spark.sparkContext.setCheckpointDir(held)
@@ -55,6 +57,17 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def packed(docs: DataFrame, *used: str) -> DataFrame:
+    """docs with the used columns it has, and all others in one struct, so that no working column can clash with them."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in used]
+    return docs.select(*(c for c in docs.columns if c in used), F.struct(*rest or [F.lit(None).alias("none")]).alias("_rest"))
+
+
+def unpacked(rows: DataFrame, docs: DataFrame, *used: str) -> DataFrame:
+    """rows that came from packed(docs, *used), with docs' columns in docs' order."""
+    return rows.select(*(F.col(c) if c in used else F.col(f"_rest.`{c}`").alias(c) for c in docs.columns))
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Remove a folder below the shared one (a stage's intermediate that nothing reads any more)."""
     jvm = spark.sparkContext._jvm

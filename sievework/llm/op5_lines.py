@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import salted_join, table, written
+from .common import packed, salted_join, table, unpacked, written
 
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
@@ -139,17 +139,17 @@ def judged(docs: DataFrame, share: float = SHARE, least: int = LEAST, remains: f
 
 def kept_documents(docs: DataFrame, share: float = SHARE, least: int = LEAST, remains: float = REMAINS) -> DataFrame:
     """The rows of docs that pass, unchanged. Base rules act beside the text; only depleted documents' keys meet it."""
-    ready = prepared(docs.withColumn("_text", F.col("text")))
+    ready = prepared(packed(docs, *USED).withColumn("_text", F.col("text")))
     removed = removed_words(ready, share, least)
     gone = written(removed.where(depleted(F.col("n_words"), F.col("n_line_words"), remains)).select(F.col("doc_id").alias("_d"), F.col("fp").alias("_f"), F.col("host").alias("_h")), "depleted")
     words = words_of(F.col("text"))
     passed = ready.where(bind(words, lambda w: ~failed_base(F.size(w), repeated_words(w))))
-    return passed.join(gone, same_document(passed, gone), "left_anti").withColumn("text", F.col("_text")).select(*docs.columns)
+    return unpacked(passed.join(gone, same_document(passed, gone), "left_anti").withColumn("text", F.col("_text")), docs, *USED)
 
 
 def cleaned_documents(docs: DataFrame, share: float = SHARE, least: int = LEAST, remains: float = REMAINS, most: int | None = MOST) -> DataFrame:
     """The rows of docs that pass, without their frequent lines; n_chars, if there, made to fit where lines went."""
-    ready = prepared(docs.withColumn("_text", F.col("text")))
+    ready = prepared(packed(docs, *USED).withColumn("_text", F.col("text")))
     hits = hit_lines(ready, share, least, most).groupBy("doc_id", "fp", "host", "n_words").agg(F.sum("n").alias("gone"), F.collect_list("pos").alias("pos"))
     bad = depleted(F.col("n_words"), F.col("gone"), remains)
     hits = written(hits.select(F.col("doc_id").alias("_d"), F.col("fp").alias("_f"), F.col("host").alias("_h"), bad.alias("_bad"), F.when(~bad, F.col("pos")).alias("_pos")), "hits")
@@ -160,9 +160,11 @@ def cleaned_documents(docs: DataFrame, share: float = SHARE, least: int = LEAST,
     out = out.withColumn("text", F.when(F.col("_pos").isNull(), F.col("_text")).otherwise(rest))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("_pos").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(*docs.columns)
+    return unpacked(out, docs, *USED)
 
 
+#: Columns that are read; all others pass unread.
+USED = ("doc_id", "text", "source", "n_chars")
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 

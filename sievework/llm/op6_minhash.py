@@ -367,9 +367,18 @@ def near_duplicates(docs: DataFrame, per_cent: int = PER_CENT) -> DataFrame:
 
 
 def kept_documents(docs: DataFrame, per_cent: int = STAGE_PER_CENT) -> DataFrame:
-    """One document of each component: the rows of docs but those whose doc_id isn't its component's least."""
-    gone = written(near_duplicates(docs, per_cent).where("not kept").select(F.col("doc_id").alias("_d")).distinct(), "dropped")
-    return docs.join(gone, docs["doc_id"] == gone["_d"], "left_anti")
+    """One document of each component: the rows of docs but those whose doc_id isn't its component's least.
+
+    Of several rows of one doc_id one stays; rows without a doc_id all do.
+    """
+    found = written(near_duplicates(docs, per_cent), "components")
+    gone = found.where("not kept").select(F.col("doc_id").alias("_d")).distinct()
+    many = written(found.where("kept and doc_id is not null").groupBy(F.col("doc_id").alias("_d")).agg(F.count("*").alias("_n")).where("_n > 1").select("_d"), "repeated")
+    rest = docs.join(gone, docs["doc_id"] == gone["_d"], "left_anti")
+    if many.limit(1).count() == 0:
+        return rest
+    once = rest.join(many, rest["doc_id"] == many["_d"], "left_semi").dropDuplicates(["doc_id"])
+    return rest.join(many, rest["doc_id"] == many["_d"], "left_anti").unionByName(once)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

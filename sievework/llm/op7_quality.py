@@ -14,7 +14,7 @@ documents whose weight is not below the `1 - RECALL` quantile of the weights of
 Two passes of map-only work: bucket counts (summed before the shuffle; their number is fixed) and weights. The k-th
 key is found exactly by narrowing histograms of the keys, so no sort of all rows and no rows on the driver.
 
-Defined results: a null or empty text has weight 0 and takes part; ties of keys go to the smaller doc_id, then
+Defined results: a null or empty text has weight 0 and takes part; a text of any length is read whole; ties of keys go to the smaller doc_id, then
 repeated rows are kept or dropped together (so a few rows more than k may stay); an empty table gives no rows;
 without good labels all weights are 0 and every row is kept; a null doc_id draws its noise as any other value.
 """

@@ -12,6 +12,7 @@ import numpy as np
 import pytest
 
 from sievework.llm import op1_covertree, op2_secrets, op3_warc, op4_packing, op5_lines, op6_minhash, op7_quality, op9_toxicity, op10_html
+from sievework.llm.common import table
 from sievework.llm.op8_bpe import tokenizer_path
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -57,6 +58,21 @@ def test_cover_tree_covers_and_separates():
     assert sorted(leaves) == list(range(2000))
 
 
+def test_node_pairs_are_pruned_on_clustered_vectors(monkeypatch):
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(40, 16)) * 900
+    x = np.floor(centres[rng.integers(0, 40, 8000)] + rng.normal(size=(8000, 16)) * 20)
+    scored, real = [], op1_covertree.Search.base
+    monkeypatch.setattr(op1_covertree.Search, "base", lambda self, q, d, *a: scored.append(len(q) * len(d)) or real(self, q, d, *a))
+    s = op1_covertree.Search(np.arange(0, 8000, 100), x[::100])
+    s.add(np.arange(8000), x)
+    assert sum(scored) < 0.5 * 80 * 8000  # about a third is left
+    for q in range(80):
+        scores = x @ x[100 * q]
+        scores[100 * q] = -np.inf
+        assert s.scores[q].tolist() == sorted(scores.tolist(), reverse=True)[:10]
+
+
 # --- 2 ------------------------------------------------------------------------------------------------------------------
 
 
@@ -99,6 +115,74 @@ def test_battery_judges_every_run():
     assert list(op2_secrets.parts(0, 100, [(0, 5), (10, 30), (25, 40), (60, 61), (90, 120)])) == [(40, 60), (61, 90)]
 
 
+def plain_spans(text):
+    """The three patterns without regular expressions, by hand."""
+    value = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")
+    low = "".join(c.lower() if c.isascii() else "\0" for c in text)
+    out, at = [], 0
+    while at < len(text):
+        stop = None
+        for word in ("password", "passwd", "secret", "token", "apikey", "api_key"):
+            if not low.startswith(word, at):
+                continue
+            k = at + len(word)
+            k += text[k : k + 1] in ("'", '"')
+            while text[k : k + 1] == " ":
+                k += 1
+            if text[k : k + 1] not in (":", "="):
+                continue
+            k += 1
+            while text[k : k + 1] == " ":
+                k += 1
+            k += text[k : k + 1] in ("'", '"')
+            n = k
+            while n < len(text) and text[n] in value:
+                n += 1
+            if n > k:
+                stop = n
+                if n - k >= 12:
+                    out.append(("assign", at, n))
+                break
+        at = stop or at + 1
+    for kind, head, tail, least in (("access", "AKIA", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 18), ("hex", "", "0123456789abcdef", 16)):
+        at = 0
+        while at < len(text):
+            n = at + len(head)
+            while text.startswith(head, at) and n < len(text) and text[n] in tail:
+                n += 1
+            if n > at + len(head):
+                if n - at >= least:
+                    out.append((kind, at, n))
+                at = n
+            else:
+                at += 1
+    return sorted(out, key=lambda s: (s[1], ("assign", "access", "hex").index(s[0])))
+
+
+def test_base_spans_equal_a_matcher_without_patterns():
+    rng = random.Random(31)
+    bits = ["password", "PassWd", "secret", "token", "api_key", "APIKEY", "AKIA", " ", "  ", ":", "=", "'", '"', "0123456789abcdef", "abc", "XYZ12", "+/_.-", "é", "ſ", "\n", "\t", "deadbeef", "K"]
+    for _ in range(4000):
+        text = "".join(rng.choice(bits) for _ in range(rng.randint(1, 14)))
+        assert op2_secrets.base_spans(text) == plain_spans(text), text
+
+
+def test_false_discoveries_are_controlled_over_all_texts(spark):
+    rng = random.Random(33)
+    key = lambda: "".join(rng.choices(op2_secrets.ALPHABETS["base62"], k=64))
+    planted = {i: key() for i in range(0, 300, 3)}
+    rows = [(i, " ".join([*("".join(rng.choices(["ation", "ing", "der", "the", "ment", "inter", "ous", "ly"], k=6)) for _ in range(5)), planted.get(i, ""), words(rng, 30)])) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    cut = op2_secrets.corpus_cut(df)
+    every = [c for _, t in rows for c in op2_secrets.candidates(t, [])]
+    mean = sum(c[1] for c in every) / len(every)
+    ranked = sorted(c[0] * mean for c in every)
+    exact = max((p for k, p in enumerate(ranked, 1) if p <= op2_secrets.FDR * k / len(ranked)), default=-1) / mean
+    assert 0 < cut and op2_secrets.edge(1) * exact <= cut * (1 + 1e-9) and cut <= exact / op2_secrets.edge(1) * (1 + 1e-9)
+    found = {r["doc_id"]: r["n_random"] for r in op2_secrets.find_secrets(df).collect()}
+    assert sum(found[i] == 1 for i in planted) >= 90 and not any(n for i, n in found.items() if i not in planted)
+
+
 def test_secret_query(spark):
     rows = [(1, "token=abcdefghijklmnop", 5), (1, "token=abcdefghijklmnop", 5), (None, None, 1), (3, "x" * 200_000, 2)]
     df = spark.createDataFrame(rows, "doc_id long, text string, n_hex long")
@@ -381,6 +465,35 @@ def test_share_takes_exactly_k(spark):
         assert all(r["kept"] == (r["sample_key"] in keys[: round(share * len(rows))]) for r in rows)
 
 
+def test_weights_equal_a_plain_computation(spark):
+    """Bucket counts, log ratios and weights of a small corpus, n-gram by n-gram."""
+    import math
+
+    rng = random.Random(41)
+    rows = [(i, words(rng, rng.randint(0, 40)) + rng.choice(["", " ABC!!", " x|y", " 12:30"])) for i in range(40)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(20)], "doc_id long, quality int, toxic int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+
+    def grams(text):
+        tokens = op7_quality.parts(text)
+        forms = [zlib.crc32(op7_quality.form(t).encode()) for t in tokens]
+        marked = [2 * f + any(tokens[k] == tokens[k - b] for b in (1, 2, 3) if k >= b) for k, f in enumerate(forms)]
+        mask = (1 << 64) - 1
+        raw = [m * 0x9E3779B97F4A7C15 & mask for m in marked] + [(a * 0xC2B2AE3D27D4EB4F & mask) ^ (b * 0x165667B19E3779F9 & mask) for a, b in zip(marked, marked[1:], strict=False)]
+        return [((g ^ g >> 29) * 0xBF58476D1CE4E5B9 & mask) >> 49 for g in raw]
+
+    target, raw = Counter(), Counter()
+    for i, t in rows:
+        raw.update(grams(t))
+        if i < 20 and i % 2 == 1:
+            target.update(grams(t))
+    B, S = op7_quality.BUCKETS, op7_quality.SMOOTH
+    log = lambda c, g: math.log((c[g] + S) / (sum(c.values()) + S * B))
+    want = {i: sum(log(target, g) - log(raw, g) for g in grams(t)) for i, t in rows}
+    got = {r["doc_id"]: r["log_weight"] for r in op7_quality.resample(docs, labels).collect()}
+    assert got == pytest.approx(want, abs=1e-6)
+
+
 def test_kth_key_with_ties(spark):
     rng = random.Random(15)
     values = [rng.choice([0.0, 1.5, 1.5, -3.0, rng.random()]) for _ in range(20_000)]
@@ -498,6 +611,36 @@ def test_formulas_and_named_sections_stay():
     assert op10_html.extract("<body><div class='related'><p>others and others</p></div><div><p>Text of the page.</p></div>") == "Text of the page."
 
 
+def test_wrappers_and_headings_with_such_names_stay():
+    body = "<p>" + "Some text of the article here. " * 12 + "</p>"
+    page = f'<div class="site-header"><a href="/">Home</a></div><div class="content with-sidebar"><div><h1>Title</h1><h2 class="section-header">Part</h2>{body}</div><div class="sidebar"><a href="/x">other</a> more</div></div>'
+    for main in ("div", "article", "main"):
+        text = op10_html.extract(page.replace("<div><h1>", f"<{main}><h1>").replace("</p></div>", f"</p></{main}>"))
+        assert text.split("\n")[:2] == ["Title", "Part"] and "Home" not in text and "other" not in text and len(text.split("\n")) == 3
+
+
+def test_density_decides_without_the_article_element(sf_small, spark):
+    pages = [r["html"] for r in table(spark, sf_small, "pages").collect()]
+    for page in pages:
+        assert op10_html.extract(re.sub(r"<(/?)(article|main)\b", r"<\1div", page or "")) == op10_html.extract(page)
+
+
+def test_densities_equal_the_formula():
+    import math
+
+    root = op10_html.parse("<body><div><p>Ten letters <a href='x'>link</a> and more</p><p>plain</p></div><div><a href='y'>only a link</a></div></body>")
+    order = op10_html.measure(root)
+    body = next(n for n in order if n.tag == "body")
+    op10_html.densities(order, body)
+    letters = lambda s: len(re.sub(r"\s", "", s))
+    total, linked = letters("Ten letters link and more plain only a link"), letters("link only a link")
+    assert (body.chars, body.link_chars, body.tags, body.link_tags) == (total, linked, 6, 2)
+    p = next(n for n in order if n.tag == "p")
+    c, t, lc, lt = letters("Ten letters link and more"), 1, 4, 1
+    base = math.log(c * lc / (c - lc) + linked / total * c + math.e)
+    assert p.density == pytest.approx(c / t * math.log(c / lc * t / lt) / math.log(base))
+
+
 def test_html_edge_cases(spark):
     assert op10_html.extract(None) == op10_html.extract("") == op10_html.extract("<p></p><script>x") == ""
     assert op10_html.extract("plain  text\n here &lt;b&gt;") == "plain text here <b>"

@@ -171,6 +171,14 @@ def metric_rollup(points: DataFrame) -> DataFrame:
     return points.groupBy(metric_name(F.col("name"), F.col("labels")).alias("key")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("total"), F.round(F.avg("value"), 6).alias("mean"))
 
 
+def exposition(points: DataFrame) -> DataFrame:
+    """line: each counter of points(name, labels, value) as a line of the common text format for scrapers, labels sorted and quoted."""
+    quoted = lambda v: F.replace(F.replace(v, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    parts = F.transform(F.array_sort(F.map_entries("labels")), lambda e: F.concat(e["key"], F.lit('="'), quoted(e["value"]), F.lit('"')))
+    name = F.when(F.size("labels") > 0, F.concat("name", F.lit("{"), F.array_join(parts, ","), F.lit("}"))).otherwise(F.col("name"))
+    return points.groupBy(name.alias("key")).agg(F.sum("value").alias("v")).select(F.concat("key", F.lit(" "), F.col("v").cast("string")).alias("line"))
+
+
 def trace_totals(spans: DataFrame) -> DataFrame:
     """Tokens, cost and time by trace over flat spans(trace_id, span_id, parent_id, tokens, cost, ms)."""
     return spans.groupBy("trace_id").agg(F.sum("tokens").alias("tokens"), F.round(F.sum("cost"), 6).alias("cost"), F.max(F.when(F.col("parent_id").isNull(), F.col("ms"))).alias("ms"), F.count("*").alias("spans"))

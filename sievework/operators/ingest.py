@@ -10,8 +10,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import block_keys, hamming, simhash
-from ..functions.text import clean_text, count_tokens, sentences, table_markdown
+from ..functions.text import clean_text, count_tokens, render_document, sentences, table_markdown
+from ..functions.vectors import embed, md5_hash
 from ..sources.files import BLOCK
+from ..sources.tables import replace_documents
 
 # Chunk size and overlap, near-duplicate distance, tree depth.
 TARGET, OVERLAP = 384, 0.15
@@ -139,6 +141,28 @@ def chunk_texts(rows: DataFrame, target: int = TARGET, overlap: float = OVERLAP)
     return rows.select("doc_id", "text").mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, position int, text string, token_count int")
 
 
+#: What a chunk inherits from its document, with the value where nothing is known.
+METADATA = {
+    "uri": "string", "doc_type": "string", "audience": "array<string>", "topics": "array<string>", "entities": "array<string>", "authority": "string",
+    "freshness_date": "string", "access_tags": "array<string>", "keywords": "array<string>",
+}
+UNKNOWN = {"doc_type": "other", "authority": "draft"}
+
+
+def metadata(documents: DataFrame, enrichment: DataFrame | None = None) -> DataFrame:
+    """doc_id, title and METADATA of each document: the enrichment's values, access tags by default the document's own."""
+    rows = documents
+    if enrichment is not None:
+        known = [c for c in METADATA if c in enrichment.columns]
+        rows = documents.drop(*known).join(enrichment.select("doc_id", *known), "doc_id", "left")
+    for name, kind in METADATA.items():
+        empty = F.array().cast(kind) if kind.startswith("array") else F.lit(UNKNOWN.get(name)).cast(kind)
+        rows = rows.withColumn(name, F.coalesce(F.col(name).cast(kind), empty) if name in rows.columns else empty)
+    if "acl_tags" in rows.columns:
+        rows = default_acl(rows)
+    return rows.select("doc_id", "title", *METADATA)
+
+
 CHUNK = "chunk_id string, doc_id string, position int, chunk_type string, section string, text string, contextual_prefix string, table_markdown string, asset_uri string, token_count int, content_hash string"
 
 
@@ -146,11 +170,12 @@ def chunk_documents(sectioned: DataFrame, documents: DataFrame, enrichment: Data
     """Chunks of sectioned documents: per section images, then tables, then prose; positions run through the document.
 
     enrichment(doc_id, doc_summary, section_summaries MAP, table_descriptions MAP) gives prefixes and table texts by
-    heading; caption(src, alt) may name images, else their alternative text or address stands.
+    heading; caption(src, alt) may name images, else their alternative text or address stands. Each chunk carries its
+    document's METADATA, access tags included, so that filters act on chunks.
     """
     joined = sectioned.join(documents.select("doc_id", "title"), "doc_id")
     if enrichment is not None:
-        joined = joined.join(enrichment, "doc_id", "left")
+        joined = joined.join(enrichment.select("doc_id", "doc_summary", "section_summaries", "table_descriptions"), "doc_id", "left")
     else:
         joined = joined.withColumns({"doc_summary": F.lit(""), "section_summaries": F.create_map().cast("map<string,string>"), "table_descriptions": F.create_map().cast("map<string,string>")})
     summary = F.coalesce(F.try_element_at("section_summaries", F.col("heading")), F.col("doc_summary"), F.lit(""))
@@ -159,20 +184,30 @@ def chunk_documents(sectioned: DataFrame, documents: DataFrame, enrichment: Data
     rows = joined.withColumn("prefix", F.trim(prefix))
     kinds = lambda k: F.filter("blocks", lambda b: b["kind"] == k)
     name = caption or (lambda src, alt: F.coalesce(F.nullif(alt, F.lit("")), F.concat(F.lit("Image asset at "), src)))
-    null = F.lit(None).cast("string")
+    null, none = F.lit(None).cast("string"), F.lit(None).cast("array<string>")
     whole = section_text()
     base = ["doc_id", "section", "heading", "prefix"]
-    images = rows.select(*base, F.lit(0).alias("g"), F.posexplode(kinds("image")).alias("n", "b")).select(*base, "g", "n", F.lit("image").alias("chunk_type"), name(F.col("b.src"), F.col("b.text")).alias("text"), null.alias("table_markdown"), F.col("b.src").alias("asset_uri"))
+    images = rows.select(*base, F.lit(0).alias("g"), F.posexplode(kinds("image")).alias("n", "b")).select(*base, "g", "n", F.lit("image").alias("chunk_type"), name(F.col("b.src"), F.col("b.text")).alias("text"), null.alias("table_markdown"), F.col("b.src").alias("asset_uri"), none.alias("table_headers"), F.col("b.text").alias("alt"))
     tables = rows.select(*base, whole.alias("whole"), described.alias("described"), F.lit(1).alias("g"), F.posexplode(kinds("table")).alias("n", "b"))
-    tables = tables.select(*base, "g", "n", F.lit("table").alias("chunk_type"), F.coalesce(F.nullif("described", F.lit("")), "whole").alias("text"), table_markdown(F.col("b.headers"), F.col("b.rows")).alias("table_markdown"), null.alias("asset_uri"))
+    tables = tables.select(*base, "g", "n", F.lit("table").alias("chunk_type"), F.coalesce(F.nullif("described", F.lit("")), "whole").alias("text"), table_markdown(F.col("b.headers"), F.col("b.rows")).alias("table_markdown"), null.alias("asset_uri"), F.col("b.headers").alias("table_headers"), null.alias("alt"))
     prose = rows.select(F.struct(*base).alias("key"), F.array_join(F.transform(kinds("text"), lambda b: b["text"]), "\n\n").alias("text")).where("text <> ''").withColumnRenamed("key", "doc_id")
     prose = chunk_texts(prose.select(F.to_json("doc_id").alias("doc_id"), "text"))
-    prose = prose.withColumn("k", F.from_json("doc_id", rows.select(*base).schema.simpleString())).select(*(F.col(f"k.{c}").alias(c) for c in base), F.lit(2).alias("g"), F.col("position").alias("n"), F.lit("text").alias("chunk_type"), "text", null.alias("table_markdown"), null.alias("asset_uri"))
+    prose = prose.withColumn("k", F.from_json("doc_id", rows.select(*base).schema.simpleString())).select(*(F.col(f"k.{c}").alias(c) for c in base), F.lit(2).alias("g"), F.col("position").alias("n"), F.lit("text").alias("chunk_type"), "text", null.alias("table_markdown"), null.alias("asset_uri"), none.alias("table_headers"), null.alias("alt"))
     every = images.unionByName(tables).unionByName(prose)
     every = every.withColumn("position", F.row_number().over(Window.partitionBy("doc_id").orderBy("section", "g", "n")) - 1)
     digest = F.sha2(F.concat_ws("\x1f", "text", F.coalesce("table_markdown", F.lit(""))), 256)
     out = every.withColumn("content_hash", digest).withColumn("chunk_id", F.sha2(F.concat_ws("\x1f", F.col("doc_id").cast("string"), F.col("position").cast("string"), "text"), 256))
-    return out.select("chunk_id", "doc_id", "position", "chunk_type", F.col("heading").alias("section"), "text", F.col("prefix").alias("contextual_prefix"), "table_markdown", "asset_uri", count_tokens(F.col("text")).alias("token_count"), "content_hash")
+    out = out.select("chunk_id", "doc_id", "position", "chunk_type", F.col("heading").alias("section"), "text", F.col("prefix").alias("contextual_prefix"), "table_markdown", "table_headers", "asset_uri", "alt", count_tokens(F.col("text")).alias("token_count"), "content_hash")
+    return out.join(metadata(documents, enrichment), "doc_id")
+
+
+#: Fields of a chunk's payload beside its inherited metadata.
+PAYLOAD = ("doc_id", "text", "table_markdown", "chunk_type", "contextual_prefix", "position", "content_hash", "embedding_version")
+
+
+def payload(chunks: DataFrame):
+    """A chunk's payload as a struct: what filters, rerank and citations need, the metadata among it."""
+    return F.struct(*(c for c in (*PAYLOAD, "title", "section", *METADATA, "table_headers", "asset_uri", "alt") if c in chunks.columns))
 
 
 def embedding_text():
@@ -200,6 +235,54 @@ def default_acl(rows: DataFrame) -> DataFrame:
     return rows.withColumn("access_tags", F.when(F.size(F.coalesce("access_tags", F.array().cast("array<string>"))) == 0, F.col("acl_tags")).otherwise(F.col("access_tags")))
 
 
+ENRICHED = (
+    "doc_summary string, section_summaries array<struct<heading:string,summary:string>>, table_descriptions array<struct<section_heading:string,description:string>>, "
+    "custom_metadata struct<topics:array<string>,entities:array<string>,doc_type:string,audience:array<string>,freshness_date:string,authority:string,access_tags:array<string>>, keywords array<string>"
+)
+
+
+def enriched(parts: DataFrame, documents: DataFrame, cache: DataFrame | None = None, role: str = "enrich") -> tuple[DataFrame, DataFrame]:
+    """(doc_id, error, doc_summary, maps of summaries and table descriptions, metadata), and the cache by content hash.
+
+    Each different content is rendered and sent to the role once; an answer that fails or isn't such a record is an error of
+    its documents alone.
+    """
+    from .models import map_model
+
+    text = parts.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("section", "heading", "level", section_text().alias("text")))), lambda x: F.struct(x["heading"].alias("heading"), x["level"].alias("level"), x["text"].alias("text"))).alias("sections"))
+    rendered = documents.select("doc_id", "title", "content_hash").join(text, "doc_id").select("doc_id", "content_hash", render_document(F.col("title"), F.col("sections")).alias("content"))
+    compute = lambda rows: map_model(rows.select("content_hash", "content"), "content", "answer", role).select("content_hash", "answer", F.col("answer_error").alias("error"))
+    asked, full = cached_map(rendered, "content_hash", cache, compute)
+    record = F.from_json("answer", ENRICHED)
+    rows = asked.withColumn("r", record).withColumn("error", F.coalesce("error", F.when(F.col("r").isNull() | F.col("r.doc_summary").isNull(), F.lit("the answer isn't a record"))))
+    first = lambda a, key, value: F.map_from_entries(F.filter(F.transform(F.coalesce(a, F.array()), lambda x: F.struct(x[key].alias("key"), x[value].alias("value"))), lambda x, i: ~F.exists(F.slice(F.coalesce(a, F.array()), 1, i), lambda y: y[key] == x["key"])))
+    meta = [F.col(f"r.custom_metadata.{c}").alias(c) for c in METADATA if c not in ("uri", "keywords")]
+    out = rows.select("doc_id", "error", "r.doc_summary", first(F.col("r.section_summaries"), "heading", "summary").alias("section_summaries"), first(F.col("r.table_descriptions"), "section_heading", "description").alias("table_descriptions"), *meta, F.col("r.keywords").alias("keywords"))
+    return out, full.where("error is null") if "error" in full.columns else full
+
+
+def embedded(chunks: DataFrame, cache: DataFrame | None = None, version: str = "hashed@1", hashed=md5_hash, backend=None) -> tuple[DataFrame, DataFrame]:
+    """(chunks with dense, sparse and embedding_version; the cache by text): prefix and text are embedded, each text once a version."""
+    keyed = chunks.withColumn("embed_key", F.sha2(F.concat_ws("\x1f", F.lit(version), embedding_text()), 256)).withColumn("embedded_text", embedding_text())
+    compute = lambda rows: embed(rows.select("embed_key", "embedded_text"), "embedded_text", hashed=hashed, backend=backend).drop("embedded_text")
+    rows, full = cached_map(keyed, "embed_key", cache, compute)
+    return rows.drop("embed_key", "embedded_text").withColumn("embedding_version", F.lit(version)), full
+
+
+def index_documents(chunks: DataFrame, touched: DataFrame, store, alias: str = "chunks", cache: DataFrame | None = None, **options) -> dict[str, DataFrame]:
+    """Embeds chunks and writes the next version of the collection: touched documents' old chunks go, the new ones come.
+
+    Returns the collection, document features, entity mentions, and the embedding cache.
+    """
+    from .graph import mentions
+
+    rows, full = embedded(chunks, cache, **options)
+    old = store.read(alias) if store.target(alias) else None
+    store.reindex(alias, lambda: replace_documents(old, rows, touched))
+    features = chunks.groupBy("doc_id").agg(*(F.first(c).alias(c) for c in ("authority", "freshness_date", "doc_type")))
+    return {"chunks": store.read(alias), "features": features, "mentions": mentions(chunks.select("chunk_id", "entities")), "cache": full}
+
+
 # --- RAPTOR -------------------------------------------------------------------------------------------------------
 
 

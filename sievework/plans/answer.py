@@ -8,10 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import sentences
+from ..functions.vectors import embed
 from ..operators import answering as a
 from ..operators import ingest as i
-from ..operators.models import map_model
+from ..operators.feedback import numbered
+from ..operators.models import Tracer, map_model
+from ..sources.tables import CacheStore, Collections, cache_key
 from . import strategies as s
+from .base import checkpoint
 
 # Fixed value: what is said when an answer isn't grounded.
 ABSTENTION = "There isn't enough in the documents to answer this with confidence; the closest sources are listed."
@@ -20,22 +24,23 @@ ABSTENTION = "There isn't enough in the documents to answer this with confidence
 def answer(ctx: s.Context, strategy: str = "hybrid") -> DataFrame:
     """One row a question: blocked, direct, grounded or abstained, with answer, citations and score.
 
-    Guard, plan, retrieve, route by confidence, assemble, generate, split into claims, check grounding, guard again.
+    Guard, plan, retrieve, route by confidence, assemble, generate, split into claims, check grounding, guard again. What
+    later stages read several times (a few rows a question) is written in between.
     """
-    checked = a.check_input(ctx.queries.select("query_id", "text"))
-    admitted = s.plan_queries(checked.where("reason is null").select("query_id", F.col("sanitized").alias("text")))
+    checked = checkpoint(a.check_input(ctx.queries.select("query_id", "text")))
+    admitted = checkpoint(s.plan_queries(checked.where("reason is null").select("query_id", F.col("sanitized").alias("text"))))
     direct = admitted.where(~F.col("needs_retrieval")).select("query_id")
     asked = admitted.where("needs_retrieval")
-    found = s.run(strategy, s.replace(ctx, queries=asked))
+    found = checkpoint(s.run(strategy, s.replace(ctx, queries=asked)))
     confidence = found.groupBy("query_id").agg(F.max("final").alias("confidence"))
     tier = asked.join(confidence, "query_id", "left").select("query_id", F.col("text").alias("question"), a.budget_tier(F.col("intent"), F.col("n_sub"), F.coalesce("confidence", F.lit(0.0))).alias("t"))
     results = found.join(tier, "query_id").where(F.col("rank") < F.col("t.top_n")).join(ctx.chunks.drop("doc_id"), "chunk_id")
     kept = a.context_budget(results).where((F.col("place") == 1) | (F.col("used") <= F.col("t.context_tokens")))
-    placed = a.attention_reorder(kept)
+    placed = checkpoint(a.attention_reorder(kept))
     context = a.assemble(placed)
     # The stub answers with the first sentence of the best block and cites it.
     best = placed.where("place = 1").select("query_id", "cite", F.col("text").alias("evidence"))
-    generated = map_model(best, "evidence", "answer", "answer").withColumn("answer", F.coalesce("answer", F.lit("")))
+    generated = checkpoint(map_model(best, "evidence", "answer", "answer").withColumn("answer", F.coalesce("answer", F.lit(""))))
     claims = generated.select(F.col("query_id").alias("answer_id"), F.posexplode(sentences(F.col("answer"))).alias("claim_no", "text"), F.array("cite").alias("cite"))
     graded = a.grounding(claims, placed.select(F.col("query_id").alias("answer_id"), "cite", "text"))
     out = generated.select("query_id", "answer").join(graded.withColumnRenamed("answer_id", "query_id"), "query_id", "left").join(context, "query_id", "left")
@@ -47,25 +52,107 @@ def answer(ctx: s.Context, strategy: str = "hybrid") -> DataFrame:
     return every.withColumn("status", status).drop("direct")
 
 
-def ingest(documents: DataFrame, registry: DataFrame | None, checkpoint: Callable[[DataFrame], DataFrame], enrichment: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def ingest(documents: DataFrame, registry: DataFrame | None, checkpoint: Callable[[DataFrame], DataFrame], enrichment: DataFrame | None = None, role: str | None = None, full_rebuild: bool = False) -> tuple[DataFrame, DataFrame]:
     """(chunks, status) of source documents: unchanged ones are skipped, near-duplicates resolved, the rest chunked.
 
-    status(doc_id, status, content_hash, duplicate_of) covers every document; merge its ingested rows into the registry.
+    enrichment is a table, or made by a model role; a document that the role fails on has the status failed and no chunks,
+    the others go on. status(doc_id, status, content_hash, duplicate_of, error) covers every document; merge its ingested
+    and failed rows into the registry.
     """
-    new = documents if registry is None else i.changed(documents, registry)
+    new = documents if registry is None or full_rebuild else i.changed(documents, registry)
     new = checkpoint(new)
     parts = checkpoint(i.sections(new))
     text = parts.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("section", F.concat_ws("\n", "heading", i.section_text()).alias("t")))), lambda x: x["t"]), "\n").alias("text"))
-    # Fingerprints need a number a document; hashes of the ids stand for them in first-come order of the ids.
-    keyed = checkpoint(text.select(F.xxhash64("doc_id").alias("doc_id"), F.col("doc_id").alias("name"), "text"))
+    # Fingerprints are resolved in the order of the documents' ids, by consecutive numbers.
+    keyed = checkpoint(numbered(text, "doc_id").select(F.col("seq").cast("long").alias("doc_id"), F.col("doc_id").alias("name"), "text"))
     found = i.resolve_duplicates(keyed.select("doc_id", "text"), checkpoint)
     dup = found.join(keyed.select("doc_id", "name"), "doc_id").join(keyed.select(F.col("doc_id").alias("duplicate_of"), F.col("name").alias("original")), "duplicate_of", "left").select(F.col("name").alias("doc_id"), F.col("original").alias("duplicate_of"))
+    dup = checkpoint(dup)
     fresh = new.join(dup.where("duplicate_of is not null").select("doc_id"), "doc_id", "left_anti")
+    failed = None
+    if role is not None:
+        made = checkpoint(i.enriched(parts, fresh, role=role)[0])
+        failed = made.where("error is not null").select("doc_id", "error")
+        fresh, enrichment = fresh.join(failed, "doc_id", "left_anti"), made.where("error is null").drop("error")
     chunks = i.chunk_documents(parts.join(fresh.select("doc_id"), "doc_id", "left_semi"), fresh, enrichment)
     status = documents.select("doc_id", "content_hash").join(new.select("doc_id", F.lit(True).alias("is_new")), "doc_id", "left").join(dup, "doc_id", "left")
-    status = status.select("doc_id", F.when(F.col("is_new").isNull(), "skipped").when(F.col("duplicate_of").isNotNull(), "duplicate").otherwise("ingested").alias("status"), "content_hash", "duplicate_of")
-    return chunks, status
+    status = status.join(failed, "doc_id", "left") if failed is not None else status.withColumn("error", F.lit(None).cast("string"))
+    kind = F.when(F.col("is_new").isNull(), "skipped").when(F.col("duplicate_of").isNotNull(), "duplicate").when(F.col("error").isNotNull(), "failed").otherwise("ingested")
+    return chunks, status.select("doc_id", kind.alias("status"), "content_hash", "duplicate_of", "error")
 
 
 def summary(status: DataFrame) -> DataFrame:
     return status.groupBy("status").agg(F.count("*").alias("n"))
+
+
+# What is said instead of an answer.
+REFUSALS = {
+    "query_too_long": "The question is too long; please shorten it.",
+    "rate_limited": "Too many requests; please wait a moment.",
+    "pii_in_query": "The question holds personal data and wasn't processed.",
+    "prompt_injection": "This request can't be processed.",
+}
+
+
+class Service:
+    """Answers sets of questions with caches, usage records and traces kept in collections below a folder.
+
+    A question goes through: exact cache (text, entitlements, collection), semantic cache (nearest earlier question of the
+    same entitlements), planning, answer(). Grounded answers of questions without history enter both caches; hits of the
+    used chunks' documents go to `hits`, a span a stage to `spans`.
+    """
+
+    def __init__(self, root: str, ctx: s.Context, entitlements: list[str], strategy: str = "hybrid", ttl_s: int = 3600, threshold: float = a.CACHE_SIMILARITY, collection: str = "chunks"):
+        spark = ctx.chunks.sparkSession
+        self.spark, self.ctx, self.strategy, self.ttl_s, self.threshold, self.collection = spark, ctx, strategy, ttl_s, threshold, collection
+        self.scope = ",".join(sorted(entitlements))
+        self.cache, self.semantic, self.records = CacheStore(spark, root, "answers"), Collections(spark, root), Collections(spark, root)
+
+    def _append(self, name: str, rows: DataFrame) -> None:
+        old = self.records.read(name) if self.records.target(name) else None
+        self.records.reindex(name, lambda: rows if old is None else old.unionByName(rows, allowMissingColumns=True))
+
+    def ask(self, queries: DataFrame, now: float) -> DataFrame:
+        """query_id, status, answer, score, citations (JSON), cache (exact, semantic or null), trace_id of queries(query_id, text)."""
+        tracer = Tracer(f"ask-{int(now * 1000)}")
+        with tracer.span("ask"):
+            out = self._ask(queries, F.lit(float(now)), tracer)
+        self._append("spans", self.spark.createDataFrame(tracer.spans, "trace_id string, span_id long, parent_id long, name string, tokens long, cost double, ms double"))
+        return out.withColumn("trace_id", F.lit(tracer.trace_id))
+
+    def _ask(self, queries: DataFrame, now, tracer: Tracer) -> DataFrame:
+        keyed = checkpoint(queries.select("query_id", "text").withColumn("key", cache_key("ans", self.collection, F.lit(self.scope), F.regexp_replace(F.lower(F.trim("text")), r"\s+", " "))))
+        shape = "status string, answer string, score double, citations string"
+        with tracer.span("response_cache"):
+            looked = checkpoint(self.cache.get(keyed, now))
+            exact = looked.where("value is not null").withColumn("v", F.from_json("value", shape)).select("query_id", "v.*", F.lit("exact").alias("cache"))
+            rest = looked.where("value is null").drop("value")
+        with tracer.span("semantic_cache"):
+            vectors = checkpoint(embed(rest, hashed=self.ctx.hashed).withColumn("scope", F.lit(self.scope)).select("query_id", "key", "text", "scope", F.col("dense").alias("vector")))
+            known = None
+            if self.semantic.target("semantic"):
+                entries = self.semantic.read("semantic")
+                near = a.cache_lookup(vectors, entries.select("seq", "scope", "vector"), self.threshold).join(entries.select("seq", "value"), "seq")
+                known = checkpoint(near.withColumn("v", F.from_json("value", shape)).select("query_id", "v.*", F.lit("semantic").alias("cache")))
+                rest = checkpoint(rest.join(known, "query_id", "left_anti"))
+        with tracer.span("answer"):
+            full = checkpoint(answer(replace_queries(self.ctx, rest.select("query_id", "text")), self.strategy))
+            said = F.when(F.col("status") == "blocked", F.coalesce(F.try_element_at(F.create_map(*(x for k, v in REFUSALS.items() for x in (F.lit(k), F.lit(v)))), F.col("reason")), F.lit("This answer can't be shared."))).otherwise(F.col("answer"))
+            made = full.select("query_id", "status", said.alias("answer"), F.coalesce("score", F.lit(0.0)).alias("score"), F.to_json("citations").alias("citations"), F.lit(None).cast("string").alias("cache"))
+        with tracer.span("record"):
+            good = checkpoint(made.where("status = 'grounded'").join(vectors, "query_id").withColumn("value", F.to_json(F.struct("status", "answer", "score", "citations"))))
+            if good.limit(1).count():
+                self.cache.set(good.select("key", "value"), now, self.ttl_s)
+                last = self.semantic.read("semantic").agg(F.max("seq")).first()[0] if self.semantic.target("semantic") else 0
+                entries = numbered(good.select("query_id", "scope", "vector", "value"), "query_id").withColumn("seq", F.col("seq") + F.lit(last or 0)).drop("query_id")
+                old = self.semantic.read("semantic").where(F.col("seq") > (last or 0) - a.CACHE_ENTRIES) if last else None
+                self.semantic.reindex("semantic", lambda: entries if old is None else old.unionByName(entries))
+            used = full.select(F.explode("citations").alias("c")).select(F.col("c.doc_id").alias("doc_id"), now.alias("at"))
+            if used.limit(1).count():
+                self._append("hits", used)
+        parts = exact.unionByName(made)
+        return parts if known is None else parts.unionByName(known)
+
+
+def replace_queries(ctx: s.Context, queries: DataFrame) -> s.Context:
+    return s.replace(ctx, queries=queries)

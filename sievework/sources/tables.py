@@ -89,3 +89,37 @@ def cache_key(namespace: str, version: str, *parts: Column) -> Column:
 
 def delete_namespace(entries: DataFrame, namespace: str) -> DataFrame:
     return entries.where(~F.col("key").startswith(f"{namespace}:"))
+
+
+class CacheStore:
+    """Keyed values with expiry, a collection below a folder: reads see live entries, a write replaces its keys.
+
+    Keys are namespace:version:hash, so a new version of a model or prompt misses, and a namespace can go as a whole.
+    """
+
+    SCHEMA = "key string, value string, stored_at double, ttl_s int"
+
+    def __init__(self, spark: SparkSession, root: str, name: str = "cache", keep: int = 2):
+        self.store, self.name, self.spark, self.keep = Collections(spark, root), name, spark, keep
+
+    def entries(self) -> DataFrame:
+        return self.store.read(self.name) if self.store.target(self.name) else self.spark.createDataFrame([], self.SCHEMA)
+
+    def get(self, keys: DataFrame, now: Column) -> DataFrame:
+        """keys(key, ...) with value, null where there is no live entry."""
+        return keys.join(live(self.entries(), now).select("key", "value"), "key", "left")
+
+    def set(self, rows: DataFrame, now: Column, ttl_s: int | None = None) -> None:
+        """Stores rows(key, value); dead entries go at the same time."""
+        new = rows.select("key", "value", now.cast("double").alias("stored_at"), F.lit(ttl_s).cast("int").alias("ttl_s")).dropDuplicates(["key"])
+        old = live(self.entries(), now)
+        self.store.reindex(self.name, lambda: merge(old, new, "key"))
+
+    def delete_namespace(self, namespace: str) -> int:
+        """Removes a namespace's entries and says how many there were."""
+        old = self.entries()
+        left = delete_namespace(old, namespace)
+        gone = old.count() - left.count()
+        if gone:
+            self.store.reindex(self.name, lambda: left)
+        return gone

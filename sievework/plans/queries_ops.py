@@ -229,3 +229,44 @@ def document_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     d = o.select(F.col("o_orderkey").alias("doc_id"), F.when(F.col("o_orderstatus") == "O", "official").when(F.col("o_orderstatus") == "P", "deprecated").alias("authority"), F.when(F.col("o_orderstatus") == "F", "not a date").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("freshness_date"), F.lit(None).cast("string").alias("doc_type"))
     return fb.document_features(d, F.lit("1998-01-01").cast("date")).select("doc_id", F.col("freshness_days").cast("long").alias("freshness_days"), "authority")
+
+
+#: Orders as messages that hold an address, a number to call, a social security number, or a toxic phrase, by their key.
+_MESSAGE_SQL = """m AS (SELECT o_orderkey AS id, 'order ' || o_orderkey || CASE o_orderkey % 5 WHEN 0 THEN ' mail a.b' || o_custkey || '@shop.example now' WHEN 1 THEN ' call 555-' || lpad(CAST(o_custkey % 1000 AS VARCHAR), 3, '0') || '-4567 now'
+    WHEN 2 THEN ' ssn 123-45-' || lpad(CAST(o_custkey % 10000 AS VARCHAR), 4, '0') || ' now' WHEN 3 THEN ' go kill yourself now' ELSE ' thank you' END AS text FROM orders)"""
+
+
+def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    key, cust = F.col("o_orderkey"), F.col("o_custkey")
+    tail = (
+        F.when(key % 5 == 0, F.concat(F.lit(" mail a.b"), cust.cast("string"), F.lit("@shop.example now")))
+        .when(key % 5 == 1, F.concat(F.lit(" call 555-"), F.lpad((cust % 1000).cast("string"), 3, "0"), F.lit("-4567 now")))
+        .when(key % 5 == 2, F.concat(F.lit(" ssn 123-45-"), F.lpad((cust % 10000).cast("string"), 4, "0"), F.lit(" now")))
+        .when(key % 5 == 3, F.lit(" go kill yourself now"))
+        .otherwise(F.lit(" thank you"))
+    )
+    return o.select(key.alias("id"), F.concat(F.lit("order "), key.cast("string"), tail).alias("text"))
+
+
+_KINDS = " UNION ALL ".join(f"SELECT id, '{k}' AS entity, unnest(regexp_extract_all(text, '{v}')) AS found FROM m" for k, v in _RE.items() if k != "CREDIT_CARD")
+
+
+@query(f"WITH {_MESSAGE_SQL} SELECT id, entity, found FROM ({_KINDS})")
+def pii_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each kind of personal data in messages that hold it (card numbers apart: word boundaries differ between engines)."""
+    spans = messages(spark, sf_dir).select("id", F.explode(a.pii_spans(F.col("text"))).alias("s"))
+    return spans.select("id", "s.entity", F.col("s.match").alias("found")).where("entity <> 'CREDIT_CARD'")
+
+
+@query(f"""WITH {_MESSAGE_SQL} SELECT id, CASE WHEN regexp_matches(text, '{a.TOXIC}') THEN 'toxic_output' END AS reason,
+    CASE WHEN regexp_matches(text, '{a.TOXIC}') THEN '' ELSE regexp_replace(regexp_replace(regexp_replace(text, '{_RE["EMAIL"]}', '[REDACTED_EMAIL]', 'g'), '{_RE["PHONE"]}', '[REDACTED_PHONE]', 'g'), '{_RE["SSN"]}', '[REDACTED_SSN]', 'g') END AS safe FROM m""")
+def output_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers checked before they leave: toxic ones blocked, personal data redacted."""
+    return a.check_output(messages(spark, sf_dir).withColumnRenamed("text", "answer")).select("id", "reason", "safe")
+
+
+@query("SELECT 'events{type=\"' || event_type || '\"} ' || count(*) || '.0' AS line FROM events GROUP BY event_type")
+def metric_exposition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    return fb.exposition(e.select(F.lit("events").alias("name"), F.create_map(F.lit("type"), F.col("event_type")).alias("labels"), F.lit(1.0).alias("value")))

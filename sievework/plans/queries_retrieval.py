@@ -292,4 +292,48 @@ def eval_token_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
     best = r.sparse_topk(q, c, 1).join(c.select("chunk_id", F.col("text").alias("answer")), "chunk_id").join(q.withColumnRenamed("text", "query"), "query_id")
     return fb.case_metrics(best.select(F.col("query_id").alias("case_id"), "query", "answer", F.col("query").alias("ideal"), F.lit(1.0).alias("score"))).select("case_id", "correctness", "relevancy")
 
+# --- a graph over whole vocabularies -------------------------------------------------------------------------------------------
 
+#: Part names as chunks whose words are entities, questions made of market segments and part types.
+_PARTS_SQL = """
+me AS (SELECT DISTINCT p_partkey AS chunk_id, lower(unnest(string_split(p_type, ' '))) AS entity FROM part UNION SELECT p_partkey, lower(p_brand) FROM part),
+ed AS (SELECT x.entity AS a, y.entity AS b, count(*) AS w FROM me x JOIN me y ON x.chunk_id = y.chunk_id AND x.entity <> y.entity GROUP BY ALL),
+q AS (SELECT CAST(row_number() OVER (ORDER BY p_brand) AS BIGINT) AS query_id, 'Which parts does ' || p_brand || ' make?' AS text FROM (SELECT DISTINCT p_brand FROM part)),
+ma AS (SELECT query_id, entity FROM q JOIN (SELECT DISTINCT entity FROM me) ON contains(lower(text), entity)),
+h1 AS (SELECT DISTINCT query_id, b AS entity FROM ma JOIN ed ON a = entity WHERE (query_id, b) NOT IN (SELECT (query_id, entity) FROM ma)),
+ne AS (SELECT query_id, entity, 0 AS hop FROM ma UNION ALL SELECT query_id, entity, 1 FROM h1),
+h2 AS (SELECT DISTINCT query_id, b AS entity FROM h1 JOIN ed ON a = entity WHERE (query_id, b) NOT IN (SELECT (query_id, entity) FROM ne)),
+gs AS (SELECT query_id, chunk_id, sum(CASE WHEN hop = 0 THEN 2.0 ELSE 1.0 END) AS score, list_sort(list(DISTINCT entity)) AS matched FROM ne JOIN me USING (entity) GROUP BY ALL),
+gr AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) - 1 AS rank FROM gs) WHERE rank < 40)
+"""
+
+
+def _parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    p = table(spark, sf_dir, "part")
+    rows = checkpoint(kg.mentions(p.select(F.col("p_partkey").alias("chunk_id"), F.concat(F.split("p_type", " "), F.array("p_brand")).alias("entities"))))
+    brands = fb.numbered(p.select("p_brand").distinct(), "p_brand")
+    return rows, brands.select(F.col("seq").cast("long").alias("query_id"), F.concat(F.lit("Which parts does "), "p_brand", F.lit(" make?")).alias("text"))
+
+
+@query(f"WITH {_PARTS_SQL} SELECT query_id AS key, entity, CAST(hop AS INTEGER) AS hop FROM ne UNION ALL SELECT query_id, entity, 2 FROM h2")
+def part_neighbors2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entities within two hops of a question's brand, over the words of all parts."""
+    m, q = _parts(spark, sf_dir)
+    seeds = kg.match_entities(q, m.select("entity").distinct())
+    return kg.neighbours(seeds.withColumnRenamed("query_id", "key"), checkpoint(kg.edges(m)), 2)
+
+
+@query(f"WITH {_PARTS_SQL} SELECT query_id, chunk_id, score, matched, CAST(rank AS INTEGER) AS rank FROM gr")
+def part_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts by a question's brand and its neighbours."""
+    m, q = _parts(spark, sf_dir)
+    return kg.graph_search(q, m, checkpoint(kg.edges(m)))
+
+
+@query(f"WITH {_HYBRID} SELECT query_id, CASE WHEN text LIKE '%|%' THEN 'table' ELSE 'text' END AS kind, count(*) AS n FROM fo JOIN documents ON doc_id = chunk_id GROUP BY ALL")
+def multimodal_rag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The multimodal strategy's notes: how many results of each question are tables."""
+    ctx = context(spark, sf_dir)
+    ctx = s.replace(ctx, chunks=ctx.chunks.withColumn("chunk_type", F.when(F.contains("text", F.lit("|")), "table")))
+    notes = s.run("multimodal", ctx).select("query_id", "notes").dropDuplicates(["query_id"])
+    return notes.select("query_id", F.explode("notes").alias("kind", "n"))

@@ -179,3 +179,28 @@ def ingest_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def delete_by_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     gone = table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id")
     return tables.delete_by_doc(chunks(spark, sf_dir), gone)[0].select("chunk_id", "doc_id", "text")
+
+
+#: Documents as sources of one text block, their language as access tag, the labels' verdict as authority.
+_ACCESS_SQL = """
+WITH l AS (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY 1),
+t AS (SELECT d.doc_id, trim(regexp_replace(regexp_replace(text, '([\\p{L}\\p{N}_])-\\n([\\p{L}\\p{N}_])', '\\1\\2', 'g'), '[ \\t]+', ' ', 'g'), chr(32) || chr(9) || chr(10) || chr(13)) AS body, lang, quality FROM documents d LEFT JOIN l USING (doc_id))
+SELECT doc_id, [lang] AS access_tags, CASE quality WHEN 1 THEN 'official' WHEN 0 THEN 'deprecated' ELSE 'draft' END AS authority, 'other' AS doc_type
+FROM t WHERE body <> '' AND lang IN ('de', 'fr') AND coalesce(quality, 1) = 1
+"""
+
+
+@query(_ACCESS_SQL)
+def ingest_access(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunking with metadata, then the filter of a user with two entitlements on the chunks: the documents that user may see."""
+    from ..operators.access import build_filter
+
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    block = F.array(F.struct(F.lit("text").alias("kind"), F.col("text"), F.lit(0).alias("heading_level"), F.array().cast("array<string>").alias("headers"), F.array().cast("array<array<string>>").alias("rows"), F.lit("").alias("src")))
+    rows = docs.select("doc_id", block.cast(f"array<{files.BLOCK}>").alias("blocks"), F.array("lang").alias("tags"))
+    sources = files.as_source(rows.drop("tags"), "table", title=F.lit("")).drop("acl_tags").join(rows.select("doc_id", F.col("tags").alias("acl_tags")), "doc_id")
+    authority = labels.select("doc_id", F.when(F.col("quality") == 1, "official").otherwise("deprecated").alias("authority"), F.lit("").alias("doc_summary"), F.create_map().cast("map<string,string>").alias("section_summaries"), F.create_map().cast("map<string,string>").alias("table_descriptions"))
+    chunks = i.chunk_documents(i.sections(sources), sources, authority)
+    seen = build_filter({"authority": ["official", "draft"]}, ["de", "fr", "secret"], ["de", "fr", "es"]).apply(chunks)
+    return seen.groupBy("doc_id").agg(F.first("access_tags").alias("access_tags"), F.first("authority").alias("authority"), F.first("doc_type").alias("doc_type"))

@@ -372,7 +372,7 @@ def kept_documents(docs: DataFrame, per_cent: int = STAGE_PER_CENT) -> DataFrame
     Of several rows of one doc_id one stays; rows without a doc_id all do.
     """
     found = written(near_duplicates(docs, per_cent), "components")
-    gone = found.where("not kept").select(F.col("doc_id").alias("_d")).distinct()
+    gone = written(found.where("not kept").select(F.col("doc_id").alias("_d")).distinct(), "dropped")  # a table of known size, so that a small one is broadcast
     many = written(found.where("kept and doc_id is not null").groupBy(F.col("doc_id").alias("_d")).agg(F.count("*").alias("_n")).where("_n > 1").select("_d"), "repeated")
     rest = docs.join(gone, docs["doc_id"] == gone["_d"], "left_anti")
     if many.limit(1).count() == 0:

@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Copies of the small side, and parts of a hot key on the large side, in salted joins.
@@ -84,3 +84,23 @@ def salted_join(big: DataFrame, small: DataFrame, keys: Iterable[str], how: str,
     left = big.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))
     right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
+
+
+def running(rows: DataFrame, order: list[Column], what: str, **sums: str) -> DataFrame:
+    """rows with seq (from 0, in a global order) and, for each name=column of sums, the column's sum over all rows before.
+
+    Range partitioning deals the rows out by their order, so a group that holds a third of them lies in many partitions;
+    each partition is numbered for itself and shifted by the totals of those before, one row a partition. Rows that tie in
+    `order` get consecutive numbers in some order, so `order` must tell apart all rows that differ in what matters.
+    """
+    names = [f"_o{i}" for i in range(len(order))]
+    keyed = rows.select("*", *(c.alias(n) for c, n in zip(order, names, strict=True)), F.monotonically_increasing_id().alias("_tie"))
+    parts = written(keyed.repartitionByRange(*names, "_tie").withColumn("_part", F.spark_partition_id()), what)
+    totals = parts.groupBy("_part").agg(F.count("*").alias("_n"), *(F.sum(c).alias(f"_t_{k}") for k, c in sums.items()))
+    ahead = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # as many rows as there are partitions
+    starts = totals.select("_part", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_start"), *(F.coalesce(F.sum(f"_t_{k}").over(ahead), F.lit(0)).alias(f"_s_{k}") for k in sums))
+    within = Window.partitionBy("_part").orderBy(*names, "_tie")
+    before = within.rowsBetween(Window.unboundedPreceding, -1)
+    out = parts.select("*", (F.row_number().over(within) - 1).alias("_row"), *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_b_{k}") for k, c in sums.items()))
+    out = out.join(F.broadcast(starts), "_part")
+    return out.select(*rows.columns, (F.col("_start") + F.col("_row")).alias("seq"), *((F.col(f"_s_{k}") + F.col(f"_b_{k}")).alias(k) for k in sums))

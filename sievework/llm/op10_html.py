@@ -12,8 +12,14 @@ children's densities is the article's core. The least density on the path from t
 stands beside that path and reaches it belongs to the article too, and so do headings and blocks without links beside
 the core, in the part of the path that is mostly such text.
 
-A part that names itself as no article by a class or id alone (words that articles use too) is left out unless it holds
-half of the page's text that isn't in links, or is a heading.
+A part that names itself as no article by a class or id alone is left out unless it holds <main>, or a quarter of the
+page's text that isn't in links with the page's h1, or half of it while no h1, main or article stands elsewhere (wrappers carry
+such words too: "has-sidebar"). Inside an article, words that articles use for their own sections ("discussion") mark a
+part only if it has neither a heading nor `PROSE` characters of text outside links; words of adverts, notices and share bars mark it
+unless it holds `ADVERT_PROSE` such characters in two blocks or more. Headings are never such parts.
+
+The core and what belongs to it shed lists of links: blocks of three links or more, mostly in links and less dense than
+the threshold.
 
 Map-only. Defined results: a null or empty page has an empty text; without markup the whole text is one block;
 pages of any length are parsed whole; only script, style, iframe, textarea and title without an end take the rest of the page; ties of density go to the node further up; repeated rows are extracted each
@@ -53,7 +59,11 @@ COMMON = frozenset(
     "header discussion related recommended recommendations search notice notices side alert banner navigation menu menus promotion advertising advertisement sponsor sponsored subscription consent reply replies"
     " cookie cookies login signup share sharing social widget widgets comment".split()
 )
+#: Those of COMMON that name adverts, notices and share bars: inside an article they need more text to be taken for a section of it.
+BESIDE = frozenset("banner promotion advertising advertisement sponsor sponsored subscription consent cookie cookies login signup share sharing social widget widgets alert notice notices".split())
+PROSE, ADVERT_PROSE = 200, 400
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+ANCHORS = HEADINGS | {"article", "main"}
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 MARKS = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -61,12 +71,14 @@ SCHEMA = "page_id long, url string, text string, n_chars long"
 
 
 class Node:
-    __slots__ = ("tag", "parent", "kids", "chars", "tags", "link_chars", "link_tags", "dropped", "named", "hinted", "holds", "blocks", "density")
+    __slots__ = ("tag", "parent", "kids", "chars", "tags", "link_chars", "link_tags", "dropped", "named", "hinted", "soft", "holds", "blocks", "n_blocks", "density")
 
     def __init__(self, tag: str, parent: Node | None, mark: str = ""):
         self.tag, self.parent = tag, parent
         self.dropped, self.named, self.hinted = mark == "part" or tag in INSET, mark == "part", mark == "hint"
-        self.holds: set[str] = set()  # which of article, main and h1 lie below
+        self.soft = mark if mark in ("topic", "beside") else ""
+        self.holds: dict[str, int] = {}  # how many article, main and heading elements lie below
+        self.n_blocks = 0  # block elements with text of their own outside links
         self.blocks = False  # whether a block element lies below
         self.kids: list = []  # nodes and strings in page order
         self.chars = self.tags = self.link_chars = self.link_tags = 0
@@ -77,8 +89,8 @@ class Node:
             while tag in BLOCK and up is not None and not up.blocks:
                 up.blocks, up = True, up.parent
             up = parent
-            while tag in ("article", "main", "h1") and up is not None and tag not in up.holds:
-                up.holds.add(tag)
+            while tag in ANCHORS and up is not None:
+                up.holds[tag] = up.holds.get(tag, 0) + 1
                 up = up.parent
 
 
@@ -102,12 +114,26 @@ def mark_of(tag: str, attributes: str, parent: Node) -> str:
             return "part"
         if name == "role" and value.lower() in ROLES or name == "style" and "display:none" in value.replace(" ", "").lower():
             return "part"
-        if name in ("class", "id") and tag not in HEADINGS and (hints := HINTS.intersection(w.lower() for w in WORDS.findall(value))):
+        if name in ("class", "id") and tag not in HEADINGS and (hints := hints_in(value)):
             if not hints <= COMMON or not within(parent):
                 hint = "hint"
+            elif hint != "hint":
+                hint = "beside" if hints & BESIDE or hint == "beside" else "topic"
     return hint
 
 
+def hints_in(value: str) -> set[str]:
+    """The hints among a class's or id's words; "side" only by itself or with a word for a column, as in "left-side"."""
+    out: set[str] = set()
+    for name in value.split():
+        words = {w.lower() for w in WORDS.findall(name)}
+        hints = HINTS & words
+        if "side" in hints and words - {"side", "left", "right", "col", "column", "content", "box", "panel", "block", "area", "bar"}:
+            hints -= {"side"}
+        out |= hints
+    return out
+
+
 def leave(at: Node | None, to: Node | None) -> None:
     """Nodes from at up to `to` end without their own tags: an inset one that holds blocks never was one."""
     while at is not None and at is not to:
@@ -175,11 +201,12 @@ def measure(root: Node) -> list[Node]:
         order.append(node)
         stack += [k for k in reversed(node.kids) if isinstance(k, Node) and not k.dropped]
     for node in reversed(order):
-        node.chars = node.tags = node.link_chars = node.link_tags = 0
+        node.chars = node.tags = node.link_chars = node.link_tags = node.n_blocks = 0
         for k in node.kids:
             if isinstance(k, str):
                 node.chars += sum(map(len, k.split()))
             elif not k.dropped:
+                node.n_blocks += k.n_blocks + (k.tag in BLOCK and not k.n_blocks and k.chars > k.link_chars)
                 node.chars += k.chars
                 node.tags += k.tags + 1
                 node.link_chars += k.link_chars
@@ -190,12 +217,29 @@ def measure(root: Node) -> list[Node]:
 
 
 def drop_hinted(order: list[Node], body: Node) -> bool:
-    """Drops the parts named by class or id alone, but wrappers of the article; whether there are any."""
-    found = False
-    text = body.chars - body.link_chars
+    """Drops the parts named by class or id alone, but wrappers of the article and its own sections; whether there are any."""
+    plain = lambda node: node.chars - node.link_chars
+    total = plain(body)
+    hinted = [n for n in order if n.hinted]
+    kept = {id(n) for n in hinted if n.holds.get("main") or n.holds.get("h1") and 4 * plain(n) >= total}
+    # Anchors of an article outside all hinted parts, or in those that are kept.
+    clear, anchors = {id(body)}, 0
     for node in order:
-        if node.hinted and not node.holds & {"article", "main"} and not ("h1" in node.holds and 2 * (node.chars - node.link_chars) >= text):
-            node.dropped = found = True
+        if node is body or id(node.parent) in clear and (not node.hinted or id(node) in kept):
+            clear.add(id(node))
+            anchors += node.tag in ("h1", "main", "article")
+    for n in hinted:
+        own = n.holds.get("h1") or n.holds.get("article") == 1
+        if 2 * plain(n) >= total and (own or not anchors):
+            kept.add(id(n))
+    found = False
+    for n in order:
+        if n.hinted and id(n) not in kept:
+            n.dropped = found = True
+        elif n.soft == "topic" and not HEADINGS & n.holds.keys() and plain(n) < PROSE:
+            n.dropped = found = True
+        elif n.soft == "beside" and (plain(n) < ADVERT_PROSE or n.n_blocks < 2):
+            n.dropped = found = True
     return found
 
 
@@ -239,19 +283,20 @@ def blocks(node: Node) -> list[str]:
     return out
 
 
-def extract(page: str | None) -> str:
-    """The article's text: a line a block."""
-    if not page:
-        return ""
-    root = parse(page)
-    order = measure(root)
-    body = next((n for n in order if n.tag == "body"), root)
-    if drop_hinted(order, body):
-        order = measure(root)
-    densities(order, body)
+def path_of(node: Node, body: Node) -> list[Node]:
+    """The node and those above it, below the body."""
+    path = []
+    while node is not body:
+        path.append(node)
+        node = node.parent
+    return path
+
+
+def core_of(order: list[Node], body: Node) -> tuple[Node, float]:
+    """The block with the greatest sum of its children's densities (of equals the one further up), and the least density on its path."""
     below = {id(body)}
     best, most = body, -1.0
-    for node in order:  # parents first, so that ties go to the node further up
+    for node in order:  # parents first
         if node is not body and (node.parent is None or id(node.parent) not in below):
             continue
         below.add(id(node))
@@ -260,13 +305,37 @@ def extract(page: str | None) -> str:
             best, most = node, total
     while best is not body and best.tag not in BLOCK:  # an inline element: its block
         best = best.parent
-    path = []
-    at = best
-    while at is not body:
-        path.append(at)
-        at = at.parent
+    return best, min([n.density for n in path_of(best, body)] + [body.density])
+
+
+def shed(order: list[Node], core: Node, threshold: float) -> bool:
+    """Drops lists of links, wherever they stand below the core's block or beside it; False, and drops nothing, if no other text would be left."""
+    lists = [n for n in order if n.tag in BLOCK and n is not core and n.link_tags >= 3 and 2 * n.link_chars >= n.chars and n.density < threshold]
+    inside = {id(core)}
+    for node in order:
+        if node.parent is not None and id(node.parent) in inside:
+            inside.add(id(node))
+    lists = [n for n in lists if id(n) in inside]
+    if sum(n.chars for n in lists if id(n.parent) == id(core)) >= core.chars:
+        return False
+    for n in lists:
+        n.dropped = True
+    return True
+
+
+def extract(page: str | None) -> str:
+    """The article's text: a line a block."""
+    if not page:
+        return ""
+    root = parse(page)
+    order = measure(root)
+    body = next((n for n in order if n.tag == "body"), root)
+    if drop_hinted(order, body):
+        order = measure(root)
+    densities(order, body)
+    best, threshold = core_of(order, body)
+    path = path_of(best, body)
     parts = {id(best)}
-    threshold = min([n.density for n in path] + [body.density])
     for at in path:
         for k in at.parent.kids:
             if isinstance(k, Node) and not k.dropped and k is not at and k.chars and 2 * k.link_chars < k.chars:
@@ -277,6 +346,8 @@ def extract(page: str | None) -> str:
             # Text between the blocks beside the path belongs to its parent: the parent as a whole, if nothing in it is left out.
             if all(not isinstance(k, str) and (k.dropped or not k.chars or k is at or id(k) in parts) or isinstance(k, str) for k in at.parent.kids):
                 parts.add(id(at.parent))
+    if not shed(order, best, threshold):
+        return "\n".join(blocks(body))  # nothing but lists of links
     if best is body:
         return "\n".join(blocks(body))
     out: list[str] = []

@@ -641,6 +641,101 @@ def test_densities_equal_the_formula():
     assert p.density == pytest.approx(c / t * math.log(c / lc * t / lt) / math.log(base))
 
 
+PARAGRAPH = "Word after word of a long enough paragraph in the article. " * 5
+
+
+def lines(*parts):
+    return "\n".join(" ".join(p.split()) for p in parts)
+
+
+def test_html_wrappers_with_hints_hold_the_article():
+    p = f"<p>{PARAGRAPH}</p>"
+    for name in ("has-sidebar comments-open", "site-header-fixed page", "no-comments", "widget-area content"):
+        assert op10_html.extract(f"<body><div class='{name}'><div>{p}{p}</div></div></body>") == lines(PARAGRAPH, PARAGRAPH)
+        assert op10_html.extract(f"<body><div class='{name}'><h1>T</h1>{p}{p}</div><div class='comments'><p>{PARAGRAPH}</p><p>{PARAGRAPH}</p></div></body>") == lines("T", PARAGRAPH, PARAGRAPH)
+    assert op10_html.extract(f"<body><div><div class='side-by-side'><p>A paragraph.</p></div>{p}</div></body>") == lines("A paragraph.", PARAGRAPH)
+    assert "Left" not in op10_html.extract(f"<body><div><div class='left-side'><p>Left text.</p></div>{p}</div></body>")
+    many = "<article><p>I like this a lot, and have more to say about it.</p></article>" * 40
+    assert op10_html.extract(f"<body><h1>T</h1><div>{p}{p}</div><div class='comments'>{many}</div></body>") == lines("T", PARAGRAPH, PARAGRAPH)
+
+
+def test_html_adverts_go_and_sections_stay_inside_articles():
+    p = f"<p>{PARAGRAPH}</p>"
+    for inset in ("<div class=advertisement><p>Buy it now, today only.</p></div>", "<div class=cookie-notice>We use cookies.</div>", "<div class=sponsored><a href=x>spon</a></div>", "<div class=share>Share this</div>", "<div id=related><a href=1>a</a><a href=2>b</a></div>"):
+        assert op10_html.extract(f"<body><article>{p}{inset}{p}</article></body>") == lines(PARAGRAPH, PARAGRAPH)
+    for section in ("<section id=discussion><h2>Discussion</h2><p>Short.</p></section>", f"<section id=cookies>{p}{p}</section>", f"<div class=related-work>{p}</div>", "<h2 id=share>Share</h2>"):
+        body = op10_html.extract(f"<body><article>{p}{section}{p}</article></body>").split("\n")
+        assert len(body) > 2 and body[0] == body[-1] == PARAGRAPH.strip()
+
+
+def test_html_nameless_menus_go():
+    p, menu = f"<p>{PARAGRAPH}</p>", "<ul>" + "".join(f"<li><a href=x{i}>Menu {i}</a></li>" for i in range(30)) + "</ul>"
+    assert op10_html.extract(f"<body><div>{menu}{p}{p}{p}</div></body>") == lines(PARAGRAPH, PARAGRAPH, PARAGRAPH)
+    assert op10_html.extract(f"<body><div>{menu}</div></body>").startswith("Menu 0")  # nothing else is there
+
+
+def plain_core(body):
+    """Counts, densities, the core and the threshold by their definitions, each node for itself."""
+    nodes = []
+
+    def below(n):
+        for k in n.kids:
+            if not isinstance(k, str):
+                yield k
+                yield from below(k)
+
+    def text(n):
+        return "".join(k if isinstance(k, str) else text(k) for k in n.kids)
+
+    def chars(n):
+        return len("".join(text(n).split()))
+
+    def linked(n):
+        return chars(n) if n.tag == "a" else sum(linked(k) for k in n.kids if not isinstance(k, str))
+
+    def density(n):
+        c, t, lc = chars(n), max(1, len(list(below(n)))), max(1, linked(n))
+        links = max(1, (len(list(below(n))) if n.tag == "a" else sum(k.tag == "a" for k in below(n))))
+        if not c:
+            return 0.0
+        base = math.log(c * lc / max(1, c - linked(n)) + linked(body) / max(1, chars(body)) * c + math.e)
+        inside = c / lc * t / links
+        return c / t * (math.log(inside) / math.log(base) if inside > 1 and base > 1 else 0.0)
+
+    nodes = [body, *below(body)]
+    sums = [sum(density(k) for k in n.kids if not isinstance(k, str)) if n.tag != "a" else -1 for n in nodes]
+    core = nodes[max(range(len(nodes)), key=lambda i: (sums[i], -i))]
+    path, at = [density(body)], core
+    while at is not body:
+        path.append(density(at))
+        at = at.parent
+    return core, min(path), {id(n): density(n) for n in nodes}
+
+
+def test_html_core_and_threshold_by_definition():
+    draw = random.Random(12)
+
+    def tree(depth):
+        if depth == 0 or draw.random() < 0.2:
+            return "word " * draw.randrange(1, 30)
+        parts = []
+        for _ in range(draw.randrange(1, 5)):
+            tag = draw.choice(["div", "div", "p", "span", "b", "a"])
+            parts.append(f"<{tag}>{tree(0) if tag in 'pa' else tree(depth - 1)}</{tag}>")
+        return "".join(parts)
+
+    for _ in range(150):
+        root = op10_html.parse(f"<body>{tree(4)}</body>")
+        order = op10_html.measure(root)
+        body = next(n for n in order if n.tag == "body")
+        op10_html.densities(order, body)
+        core, threshold, density = plain_core(body)
+        assert all(n.density == pytest.approx(density[id(n)]) for n in order if id(n) in density)
+        best, least = op10_html.core_of(order, body)
+        if core.tag in op10_html.BLOCK or core is body:
+            assert best is core and least == pytest.approx(threshold)
+
+
 def test_html_edge_cases(spark):
     assert op10_html.extract(None) == op10_html.extract("") == op10_html.extract("<p></p><script>x") == ""
     assert op10_html.extract("plain  text\n here &lt;b&gt;") == "plain text here <b>"

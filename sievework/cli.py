@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import settings
-from .operators import access
+from .operators import access, feedback, models
 from .operators import ingest as i
 from .plans import answer as online
 from .plans import evaluation, strategies
@@ -33,39 +33,68 @@ def doctor(spark: SparkSession | None = None) -> list[tuple[str, bool, str]]:
     return out
 
 
-def ingest_path(spark: SparkSession, root: str, path: str, full_rebuild: bool = False) -> dict[str, int]:
-    """Ingests a file or folder into the collections; how many documents were processed, skipped, duplicates and failed."""
+def ingest_path(spark: SparkSession, root: str, path: str, full_rebuild: bool = False, role: str | None = None, section_role: str | None = None, chosen: dict = settings.DEFAULTS) -> dict[str, int]:
+    """Ingests a file or folder into the collections; how many documents were processed, skipped, duplicates and failed.
+
+    Near-duplicates are found over all runs (`fingerprints`), and results of models are kept (`enrichment`, `summaries`,
+    `embeddings`), so an edited document asks again only for what changed.
+    """
     store = tables.Collections(spark, root)
-    registry = store.read("registry") if store.target("registry") else None
-    chunks, status = online.ingest(files.load_path(spark, path), registry, checkpoint, full_rebuild=full_rebuild)
-    status = checkpoint(status)
-    done = status.where("status = 'ingested'").select("doc_id")
-    cache = store.read("embeddings") if store.target("embeddings") else None
-    made = i.index_documents(checkpoint(chunks), done, store, cache=cache)
-    store.reindex("embeddings", lambda: made["cache"])
+    held = lambda name: store.read(name) if store.target(name) else None
+    registry = held("registry")
+    made = online.ingest_run(
+        files.load_path(spark, path), registry, checkpoint, role=role, full_rebuild=full_rebuild, known=None if full_rebuild else held("fingerprints"), enrichment_cache=held("enrichment"), section_role=section_role, section_cache=held("summaries"),
+    )
+    status = checkpoint(made["status"])
+    done = checkpoint(status.where("status = 'ingested'").select("doc_id"))
+    indexed = i.index_documents(checkpoint(made["chunks"]), done, store, cache=held("embeddings"), backend=models.backend(chosen))
+    store.reindex("embeddings", lambda: indexed["cache"])
+    for name, rows in (("enrichment", made["enrichment_cache"] if role else None), ("summaries", made["section_cache"] if section_role else None)):
+        if rows is not None:
+            store.reindex(name, lambda rows=rows: rows)
+    for name in ("fingerprints", "sections"):
+        rows, old = checkpoint(made["prints" if name == "fingerprints" else name]), held(name)
+        if name == "fingerprints" and old is not None:
+            last = old.agg(F.max("seq")).first()[0] or 0
+            rows = rows.withColumn("seq", F.col("seq") + last)
+        # A new document's rows are appended; only an edited one's old rows make a rewrite necessary.
+        if old is not None and not old.join(done, "doc_id", "left_semi").isEmpty():
+            store.reindex(name, lambda rows=rows, old=old: tables.replace_documents(old, rows, done))
+        else:
+            store.append(name, rows)
     seen = status.where("status in ('ingested', 'failed')").select("doc_id", "content_hash", "status")
     store.reindex("registry", lambda: tables.merge(registry, seen, "doc_id"))
     counts = {r["status"]: r["n"] for r in online.summary(status).collect()}
     return {"processed": counts.get("ingested", 0), "skipped": counts.get("skipped", 0), "duplicates": counts.get("duplicate", 0), "failed": counts.get("failed", 0)}
 
 
-def context(spark: SparkSession, root: str, queries: DataFrame, entitlements: list[str]) -> strategies.Context:
-    """A context over the ingested chunks, as a user with these entitlements sees them; chunk ids become numbers."""
-    chunks = tables.Collections(spark, root).read("chunks")
-    chunks = chunks.withColumn("chunk_id", F.xxhash64("chunk_id")).drop("dense", "sparse")
-    return strategies.Context(queries, chunks, filter=access.build_filter({}, [], entitlements))
-
-
-def ask(spark: SparkSession, root: str, question: str, entitlements: list[str], strategy: str = "hybrid", now: float | None = None) -> dict:
+def context(spark: SparkSession, root: str, queries: DataFrame, entitlements: list[str], chosen: dict = settings.DEFAULTS) -> strategies.Context:
+    """A context over the ingested chunks as a user with these entitlements sees them, with their stored vectors, document features
+    (popularity from the recorded hits) and entity graph."""
+    store = tables.Collections(spark, root)
+    held = lambda name: store.read(name) if store.target(name) else None
+    features, hits = held("features"), held("hits")
+    if features is not None and hits is not None:
+        used = feedback.popularity(feedback.numbered(hits, "at", "doc_id")).select("doc_id", F.col("popularity").alias("_p"))
+        features = features.join(used, "doc_id", "left").withColumn("popularity", F.coalesce("_p", "popularity")).drop("_p")
+    relaxed = access.relaxed(entitlements)
+    mentions = held("mentions")
+    ctx = strategies.Context(
+        queries, store.read("chunks").drop("sparse"), features, None if mentions is None else mentions.select("entity", "chunk_id"), held("edges"), access.build_filter({}, [], entitlements), relaxed, backend=models.backend(chosen),
+    )
+    return strategies.configured(ctx, chosen)
+
+
+def ask(spark: SparkSession, root: str, question: str, entitlements: list[str], strategy: str | None = None, now: float | None = None, chosen: dict = settings.DEFAULTS, user: str = "anonymous") -> dict:
     queries = spark.createDataFrame([(1, question)], "query_id long, text string")
-    service = online.Service(root, context(spark, root, queries, entitlements), entitlements, strategy)
+    service = online.Service(root, context(spark, root, queries, entitlements, chosen), entitlements, strategy or chosen["rag"]["strategy"], chosen, user)
     return service.ask(queries, time.time() if now is None else now).first().asDict()
 
 
-def evaluate(spark: SparkSession, root: str, suite: str, entitlements: list[str]) -> tuple[bool, dict[str, float]]:
+def evaluate(spark: SparkSession, root: str, suite: str, entitlements: list[str], chosen: dict = settings.DEFAULTS) -> tuple[bool, dict[str, float]]:
     cases = evaluation.load_golden(spark, suite)
-    run = lambda queries: online.answer(context(spark, root, queries, entitlements))
-    report = evaluation.run_suite(cases, run)
+    run = lambda queries: online.answer(context(spark, root, queries, entitlements, chosen), chosen["rag"]["strategy"], chosen)
+    report = evaluation.run_suite(cases, run, chosen["eval"]["gate_thresholds"])
     return report["passed"].first()["passed"], {r["metric"]: r["value"] for r in report["metrics"].collect()}
 
 
@@ -74,6 +103,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--root", default="collections", help="folder of the collections")
     p.add_argument("--settings", help="a YAML or JSON file")
     p.add_argument("--entitlements", default="public", help="access tags of the user, separated by commas")
+    p.add_argument("--user", default="anonymous", help="whom the limit of requests counts for")
     sub = p.add_subparsers(dest="command", required=True)
     sub.add_parser("doctor")
     one = sub.add_parser("ingest")
@@ -95,13 +125,13 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         return 0 if all(ok for _, ok, _ in checks) else 1
     chosen = settings.load(spark, args.settings)
     if args.command == "ingest":
-        counts = ingest_path(spark, args.root, args.path, args.full_rebuild)
+        counts = ingest_path(spark, args.root, args.path, args.full_rebuild, chosen=chosen)
         print(json.dumps(counts))
         return 0 if not counts["failed"] else 1
     if args.command == "ask":
-        print(ask(spark, args.root, args.question, tags, chosen["rag"]["strategy"])["answer"])
+        print(ask(spark, args.root, args.question, tags, chosen=chosen, user=args.user)["answer"])
         return 0
-    passed, metrics = evaluate(spark, args.root, args.suite, tags)
+    passed, metrics = evaluate(spark, args.root, args.suite, tags, chosen)
     print(json.dumps({"passed": passed} | metrics, sort_keys=True))
     return 0 if passed else 2
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 from itertools import combinations
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,25 +25,26 @@ def md5_bits(text: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
 
 
-#: Two counters of 32 bits each, which add up as one long.
-_LANES = (1 << 32) | 1
-
-
 def simhash(docs: DataFrame, k: int = 3) -> DataFrame:
     """doc_id, fp of each row: sign votes of all shingles' bits (repeats vote again, ties are 0).
 
-    Votes are counted within the row: 32 longs, each with the counts of two bits, so nothing is shuffled.
+    Shingles are hashed in the JVM; a batch's hashes are counted bit by bit over all its rows at once, and nothing is shuffled.
     """
-    hashes = F.transform(shingles(F.col("text"), k), md5_bits)
-    shifts = F.array(*(F.lit(i) for i in range(32)))
-    add = lambda votes, h: F.zip_with(votes, shifts, lambda v, i: v + F.call_function("shiftright", h, i).bitwiseAND(F.lit(_LANES)))
-    zero = F.array(*(F.lit(0).cast("long") for _ in range(32)))
-    rows = docs.select("doc_id", hashes.alias("h")).select("doc_id", F.size("h").alias("n"), F.aggregate("h", zero, add).alias("v"))
-    bit = lambda i: F.shiftright(F.get("v", F.lit(i % 32)), 32 * (i // 32)).bitwiseAND(F.lit((1 << 32) - 1))
-    fp = F.lit(0).cast("long")
-    for i in range(BITS):
-        fp = fp.bitwiseOR(F.when(2 * bit(i) > F.col("n"), F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long")))
-    return rows.select("doc_id", fp.alias("fp"))
+    hashes = docs.select("doc_id", F.array_compact(F.transform(shingles(F.col("text"), k), md5_bits)).alias("h"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            column = b.column(1)
+            votes, n = column.flatten().to_numpy(), np.asarray(pc.fill_null(pc.list_value_length(column), 0))
+            starts = np.cumsum(n) - n
+            fp = np.zeros(len(n), np.int64)
+            some = n > 0
+            for i in range(BITS if len(votes) else 0):
+                for_it = np.add.reduceat((votes >> i) & 1, starts[some])
+                fp[some] |= (2 * for_it > n[some]).astype(np.int64) << i
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, mask=np.asarray(column.is_null()))], names=["doc_id", "fp"])
+
+    return hashes.mapInArrow(run, f"doc_id {hashes.schema['doc_id'].dataType.simpleString()}, fp long")
 
 
 def simhash_blake(docs: DataFrame, k: int = 3) -> DataFrame:

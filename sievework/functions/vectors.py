@@ -135,6 +135,7 @@ def dense_topk(queries: DataFrame, rows: DataFrame, k: int, unit: bool = True, d
     Vectors of different lengths may be mixed, only those of one length meet; null or non-finite ones take no part.
     """
     spark = rows.sparkSession
+    schema = f"query_id long, id {rows.schema['id'].dataType.simpleString()}, score double"
     n = queries.count()
     blocks = max(1, -(-n // query_block))
     found = None
@@ -150,21 +151,19 @@ def dense_topk(queries: DataFrame, rows: DataFrame, k: int, unit: bool = True, d
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             asked = shared.value
             for b in batches:
-                every = np.array(b.column(0).to_pylist(), np.int64)
                 for n, (at, x) in _by_length(b.column(1), unit).items():
                     if n not in asked:  # only vectors of one length meet
                         continue
                     names, q = asked[n]
-                    ids = every[at]
                     scores = np.round(q @ x.T, digits) + 0.0
                     keep = min(k, scores.shape[1])
                     least = np.partition(scores, scores.shape[1] - keep, axis=1)[:, scores.shape[1] - keep]
                     qi, xi = np.nonzero(scores >= least[:, None])
-                    yield pa.RecordBatch.from_arrays([pa.array(names[qi]), pa.array(ids[xi]), pa.array(scores[qi, xi])], names=["query_id", "id", "score"])
+                    yield pa.RecordBatch.from_arrays([pa.array(names[qi]), b.column(0).take(pa.array(at[xi])), pa.array(scores[qi, xi])], names=["query_id", "id", "score"])
 
-        one = rows.select(F.col("id").cast("long").alias("id"), "vector").mapInArrow(run, "query_id long, id long, score double")
+        one = rows.select("id", "vector").mapInArrow(run, schema)
         found = one if found is None else found.union(one)
     if found is None:
-        return spark.createDataFrame([], "query_id long, id long, score double, rank int")
+        return spark.createDataFrame([], f"{schema}, rank int")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).withColumn("rank", F.col("rank") - 1)

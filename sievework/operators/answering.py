@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import count_tokens, lexical_entails
-from ..functions.vectors import cosine
+from ..functions.vectors import _by_length, _whole
 
 # Context and grounding limits, tiers, and the guardrails' patterns (in their order).
 CONTEXT_TOKENS, CONTEXT_CHUNKS = 3500, 8
@@ -42,9 +47,13 @@ def block_text(rank: Column, title: Column, section: Column, freshness: Column,
 
 
 def context_budget(results: DataFrame, tokens: Column | None = None, budget: int = CONTEXT_TOKENS, most: int = CONTEXT_CHUNKS, score: str = "final") -> DataFrame:
-    """Results in score order up to the first that overflows the budget; the first always stays. Adds used (running tokens)."""
+    """Results in score order up to the first that overflows the budget; the first always stays. Adds used (running tokens).
+
+    A final score of exactly 0 counts as none: the rerank score stands in.
+    """
     n = count_tokens(F.col("text")) if tokens is None else tokens
-    order = Window.partitionBy("query_id").orderBy(F.desc(score), "chunk_id")
+    by = F.coalesce(F.nullif(score, F.lit(0.0)), F.col("rerank")) if score == "final" and "rerank" in results.columns else F.col(score)
+    order = Window.partitionBy("query_id").orderBy(by.desc(), "chunk_id")
     rows = results.withColumn("tokens", n).withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
     rows = rows.withColumn("used", F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     return rows.where((F.col("place") == 1) | (F.col("used") <= budget))
@@ -65,8 +74,8 @@ def assemble(rows: DataFrame) -> DataFrame:
     have = lambda c: F.col(c) if c in rows.columns else null
     body = F.coalesce(F.nullif(have("table_markdown"), F.lit("")), F.col("text"))
     block = rows.withColumn("block", block_text(F.col("cite"), have("title"), have("section"), have("freshness_date"), body))
-    grouped = block.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("cite", "block", "chunk_id", "doc_id"))).alias("b"), F.max("used").alias("used_tokens"))
-    return grouped.select("query_id", F.array_join(F.transform("b", lambda x: x["block"]), "\n\n").alias("context"), F.transform("b", lambda x: F.struct(x["cite"], x["chunk_id"], x["doc_id"])).alias("citations"), "used_tokens")
+    grouped = block.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("cite", "block", "chunk_id", "doc_id", have("title").alias("title"), have("section").alias("section")))).alias("b"), F.max("used").alias("used_tokens"))
+    return grouped.select("query_id", F.array_join(F.transform("b", lambda x: x["block"]), "\n\n").alias("context"), F.transform("b", lambda x: F.struct(x["cite"], x["chunk_id"], x["doc_id"], x["title"], x["section"])).alias("citations"), "used_tokens")
 
 
 # --- grounding --------------------------------------------------------------------------------------------------------
@@ -162,18 +171,55 @@ def needs_retrieval(intent: Column) -> Column:
     return F.coalesce(intent != "chitchat", F.lit(True))
 
 
-def cache_lookup(queries: DataFrame, entries: DataFrame, least: float = CACHE_SIMILARITY, newest: int = CACHE_ENTRIES, own: bool = False) -> DataFrame:
+#: Bytes of cached vectors that a task holds at once.
+CACHE_BYTES = 1 << 26
+
+
+def cache_lookup(queries: DataFrame, entries: DataFrame, least: float = CACHE_SIMILARITY, newest: int = CACHE_ENTRIES, own: bool = False, most_bytes: int = CACHE_BYTES) -> DataFrame:
     """query_id, seq, similarity: the best entry at cosine >= least within the same scope; the earliest of equals.
 
-    entries(seq, scope, vector) is a ring: only the newest count, found without a global sort of all of them. With `own`
-    the queries are entries themselves and don't find theirs.
+    entries(seq, scope, vector) is a ring: only the `newest` count, found without a global sort of all of them. They reach
+    the tasks as a matrix a scope, in slices of at most `most_bytes`, and each batch of queries meets its scopes' matrices,
+    so no (query, entry) rows exist. With `own` the queries are entries themselves and don't find theirs.
     """
-    recent = entries.orderBy(F.desc("seq")).limit(newest)
-    met = queries.join(recent.withColumnRenamed("vector", "entry_vector"), "scope")
-    met = met.where("query_id <> seq") if own else met
-    met = met.withColumn("similarity", F.round(cosine(F.col("vector"), F.col("entry_vector")), 6)).where(F.col("similarity") >= least)
+    spark = queries.sparkSession
+    held = entries.orderBy(F.desc("seq")).limit(newest).select("seq", "scope", "vector").toArrow()  # `newest` rows
+    held = held.sort_by("seq")
+    width = max(pc.max(pc.list_value_length(held.column("vector"))).as_py() or 1, 1) if held.num_rows else 1
+    step = max(1, most_bytes // (8 * width))
+    found = spark.createDataFrame([], "query_id long, seq long, similarity double")
+    for low in range(0, held.num_rows, step):
+        part = held.slice(low, step)
+        scopes: dict = {}
+        for length, (at, x) in _by_length(_whole(part.column("vector")), True).items():
+            of = part.column("scope").take(pa.array(at)).to_pylist()
+            seqs = part.column("seq").to_numpy()[at].astype(np.int64)
+            for scope in dict.fromkeys(of):
+                mine = np.array([s == scope for s in of])
+                scopes[scope, length] = seqs[mine], x[mine]
+        shared = spark.sparkContext.broadcast(scopes)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                ids, of, out = b.column(0).to_numpy(), b.column(1).to_pylist(), []
+                for length, (at, x) in _by_length(b.column(2), True).items():
+                    for scope in dict.fromkeys(of[i] for i in at.tolist()):
+                        if scope is None or (scope, length) not in shared.value:
+                            continue
+                        seqs, vectors = shared.value[scope, length]
+                        mine = np.array([of[i] == scope for i in at.tolist()])
+                        scores = np.round(x[mine] @ vectors.T, 6) + 0.0
+                        if own:
+                            scores[ids[at[mine]][:, None] == seqs[None, :]] = -2.0
+                        best = scores.argmax(axis=1)  # the first, so the earliest, of equals
+                        score = scores[np.arange(len(best)), best]
+                        out += [(int(q), int(s), float(v)) for q, s, v in zip(ids[at[mine]], seqs[best], score, strict=True) if v >= least]
+                columns = zip(*out, strict=True) if out else ([], [], [])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["query_id", "seq", "similarity"])
+
+        found = found.unionByName(queries.select(F.col("query_id").cast("long").alias("query_id"), "scope", "vector").mapInArrow(run, "query_id long, seq long, similarity double"))
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "seq")
-    return met.withColumn("r", F.row_number().over(w)).where("r = 1").select("query_id", "seq", "similarity")
+    return found.withColumn("r", F.row_number().over(w)).where("r = 1").select("query_id", "seq", "similarity")
 
 
 def response_cache(requests: DataFrame, key: Column) -> DataFrame:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,10 +60,39 @@ def numbered(rows: DataFrame, *order: str) -> DataFrame:
     return parts.withColumn("seq", F.row_number().over(Window.partitionBy("_part").orderBy(*order)) + start).drop("_part")
 
 
+#: Steps folded by one task into one step, level by level.
+FOLD = 1024
+_STEP = "struct<a:double,b:double,low:double,high:double>"
+
+
+def _then(s: Column, t: Column) -> Column:
+    """The step f -> t(s(f)), where a step is f -> clamp(a f + b, low, high) with a >= 0: again such a step."""
+    clamp = lambda x: F.greatest(F.least(x, t["high"]), t["low"])
+    return F.struct((s["a"] * t["a"]).alias("a"), (t["a"] * s["b"] + t["b"]).alias("b"), clamp(t["a"] * s["low"] + t["b"]).alias("low"), clamp(t["a"] * s["high"] + t["b"]).alias("high"))
+
+
+def folded(steps: DataFrame, key: str, fold: int = FOLD) -> DataFrame:
+    """key, step: all of a key's steps(key, seq, step) in the order of seq as one step.
+
+    Composition is associative, so stretches of `fold` numbers are folded first, then stretches of these, and so on: however
+    many steps a key has, a task holds `fold` of them.
+    """
+    last = steps.agg(F.max("seq")).first()[0]
+    start = F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("b"), F.lit(float("-inf")).alias("low"), F.lit(float("inf")).alias("high"))
+    rows = steps.select(key, F.col("seq").cast("long").alias("seq"), "step")
+    while True:
+        last = (last or 0) // fold
+        made = F.aggregate(F.array_sort(F.collect_list(F.struct("seq", "step"))), start, lambda s, x: _then(s, x["step"]))
+        rows = rows.groupBy(key, F.floor(F.col("seq") / fold).alias("seq")).agg(made.cast(_STEP).alias("step"))
+        if not last:
+            return rows.select(key, "step")
+
+
 def feedback_score(votes: DataFrame) -> DataFrame:
     """doc_id, feedback_score: f <- clamp(0.8 f + 0.2 delta, -1, 1) over votes(doc_id, at, delta) in order."""
-    step = lambda f, v: F.greatest(F.least(KEEP * f + MOVE * v["delta"], F.lit(1.0)), F.lit(-1.0))
-    return votes.groupBy("doc_id").agg(F.round(F.aggregate(F.array_sort(F.collect_list(F.struct("at", F.col("delta").cast("double").alias("delta")))), F.lit(0.0), step), 6).alias("feedback_score"))
+    step = F.struct(F.lit(KEEP).alias("a"), (MOVE * F.col("delta").cast("double")).alias("b"), F.lit(-1.0).alias("low"), F.lit(1.0).alias("high"))
+    rows = folded(checkpoint(numbered(votes.select("doc_id", "at", "delta"), "doc_id", "at").select("doc_id", "seq", step.alias("step"))), "doc_id")
+    return rows.select("doc_id", F.round(F.greatest(F.least(F.col("step.b"), F.col("step.high")), F.col("step.low")), 6).alias("feedback_score"))
 
 
 def vote(value: Column) -> Column:
@@ -73,21 +106,31 @@ def merge_features(old: DataFrame, new: DataFrame) -> DataFrame:
     return old.join(new.select("doc_id"), "doc_id", "left_anti").unionByName(fresh, allowMissingColumns=True)
 
 
-def rate_limited(requests: DataFrame, most: int = 30, window_s: int = 60) -> DataFrame:
-    """user_id, at, id, allowed over requests(user_id, at (seconds), id): at most `most` admitted ones in the last window.
+def rate_limited(requests: DataFrame, most: int = 30, window_s: float = 60) -> DataFrame:
+    """user_id, at, id, allowed over requests(user_id, at (seconds, not null), id): at most `most` admitted ones in the last window.
 
-    Denied requests don't count, so this is a fold over each user's requests in order, not a frame.
+    Denied requests don't count, so whether one is admitted hangs on all of the user's before it. Each user's requests come
+    sorted and are read as a stream; what is held of them is the times of the at most `most` admitted ones that still count.
     """
-    start = F.struct(F.array().cast("array<double>").alias("q"), F.array().cast("array<boolean>").alias("ok"))
-
-    def step(s: Column, r: Column) -> Column:
-        live = F.filter(s["q"], lambda t: r["at"] - t <= window_s)
-        admit = F.size(live) < most
-        return F.struct(F.when(admit, F.array_append(live, r["at"])).otherwise(live).alias("q"), F.array_append(s["ok"], admit).alias("ok"))
-
-    grouped = requests.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct(F.col("at").cast("double").alias("at"), "id"))).alias("r"))
-    folded = grouped.withColumn("ok", F.aggregate("r", start, step)["ok"])
-    return folded.select("user_id", F.explode(F.arrays_zip("r", "ok")).alias("x")).select("user_id", "x.r.at", "x.r.id", F.col("x.ok").alias("allowed"))
+    rows = requests.select("user_id", F.col("at").cast("double").alias("at"), "id")
+    kind = {f.name: f.dataType.simpleString() for f in rows.schema}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        user, counting = object(), deque()
+        for b in batches:
+            allowed = []
+            for who, at in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if who != user:
+                    user, counting = who, deque()
+                while counting and at - counting[0] > window_s:
+                    counting.popleft()
+                allowed.append(len(counting) < most)
+                if allowed[-1]:
+                    counting.append(at)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(allowed, pa.bool_())], names=["user_id", "at", "id", "allowed"])
+
+    ordered = rows.repartition("user_id").sortWithinPartitions("user_id", "at", "id")
+    return ordered.mapInArrow(run, f"user_id {kind['user_id']}, at double, id {kind['id']}, allowed boolean")
 
 
 # --- evaluation ---------------------------------------------------------------------------------------------------------

@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import block_keys, hamming, simhash
-from ..functions.text import clean_text, count_tokens, render_document, sentences, table_markdown
+from ..functions.text import clean_text, content_hash, count_tokens, render_document, sentences, table_markdown
 from ..functions.vectors import embed, md5_hash
+from ..session import checkpoint
 from ..sources.files import BLOCK
 from ..sources.tables import replace_documents
 
@@ -94,6 +95,62 @@ def resolve_duplicates(documents: DataFrame, checkpoint: Callable[[DataFrame], D
     return greedy_duplicates(checkpoint(simhash(documents)), checkpoint)
 
 
+def fingerprint_rows(prints: DataFrame, most: int = MAX_DISTANCE) -> DataFrame:
+    """doc_id, fp, seq, combination, bits of kept documents(doc_id, fp, seq): what later runs meet, a row a block key."""
+    return prints.select("doc_id", "fp", "seq", F.inline(block_keys(F.col("fp"), most)))
+
+
+def known_duplicates(prints: DataFrame, known: DataFrame | None, most: int = MAX_DISTANCE) -> DataFrame:
+    """doc_id, duplicate_of of the prints(doc_id, fp) near a fingerprint of an earlier run, the first such one's document.
+
+    known is a table of fingerprint_rows(); a document's own earlier fingerprint doesn't count. Equal new fingerprints are
+    one first, and they meet only the stored rows of their block keys.
+    """
+    if known is None:
+        return prints.select("doc_id", F.col("doc_id").alias("duplicate_of")).where("false")
+    asked = prints.select(F.col("fp").alias("new_fp")).distinct().select("new_fp", F.inline(block_keys(F.col("new_fp"), most)))
+    others = known.join(prints.select("doc_id"), "doc_id", "left_anti")
+    met = others.join(asked, ["combination", "bits"]).where(hamming(F.col("fp"), F.col("new_fp")) <= most)
+    first = met.groupBy("new_fp").agg(F.min_by("doc_id", F.struct("seq", "doc_id")).alias("duplicate_of"))
+    return prints.join(first, F.col("fp") == F.col("new_fp")).select("doc_id", "duplicate_of")
+
+
+# --- sections by their content ------------------------------------------------------------------------------------
+
+
+def section_hashes(parts: DataFrame) -> DataFrame:
+    """doc_id, section, heading, block_hash (of heading and blocks) of sections()."""
+    return parts.select("doc_id", "section", "heading", content_hash(F.col("heading"), F.col("blocks")).alias("block_hash"))
+
+
+def section_diff(new: DataFrame, old: DataFrame) -> DataFrame:
+    """doc_id, same, recomputed, gone: distinct contents of a document's sections that both versions, the new or the old one alone has."""
+    rows = new.select("doc_id", "block_hash", F.lit(1).alias("n"), F.lit(0).alias("o")).unionByName(old.select("doc_id", "block_hash", F.lit(0).alias("n"), F.lit(1).alias("o")))
+    held = rows.groupBy("doc_id", "block_hash").agg(F.max("n").alias("n"), F.max("o").alias("o"))
+    count = lambda n, o: F.count_if((F.col("n") == n) & (F.col("o") == o))
+    return held.groupBy("doc_id").agg(count(1, 1).alias("same"), count(1, 0).alias("recomputed"), count(0, 1).alias("gone"))
+
+
+def section_summaries(parts: DataFrame, cache: DataFrame | None = None, role: str = "summarise") -> tuple[DataFrame, DataFrame]:
+    """(doc_id, section_summaries by heading; the cache(block_hash, summary)): a role's call for each content that the cache lacks."""
+    from .models import map_model
+
+    rows = section_hashes(parts).join(parts.select("doc_id", "section", section_text().alias("body")), ["doc_id", "section"])
+    compute = lambda need: map_model(need.select("block_hash", "body"), "body", "summary", role).where("summary_error is null").select("block_hash", "summary")
+    made, full = cached_map(rows, "block_hash", cache, compute)
+    first = made.groupBy("doc_id", "heading").agg(F.min_by("summary", "section").alias("summary"))
+    return first.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("heading", "summary"))).alias("section_summaries")), full
+
+
+def with_summaries(documents: DataFrame, enrichment: DataFrame | None, summaries: DataFrame) -> DataFrame:
+    """An enrichment whose section summaries are these; without one, nothing else is known of the documents."""
+    none = F.create_map().cast("map<string,string>")
+    if enrichment is None:
+        enrichment = documents.select("doc_id", F.lit("").alias("doc_summary"), none.alias("table_descriptions"))
+    out = enrichment.drop("section_summaries").join(summaries, "doc_id", "left")
+    return out.withColumn("section_summaries", F.coalesce("section_summaries", none))
+
+
 # --- chunking -----------------------------------------------------------------------------------------------------
 
 _PARAGRAPH, _SENTENCE = re.compile(r"\n\s*\n"), re.compile(r"(?<=[.!?])\s+")
@@ -214,18 +271,17 @@ def embedding_text():
     return F.trim(F.concat_ws("\n", F.nullif("contextual_prefix", F.lit("")), "text"))
 
 
-def passage_text():
-    return F.concat_ws("\n", F.nullif("contextual_prefix", F.lit("")), F.nullif("text", F.lit("")), F.nullif("table_markdown", F.lit("")))
-
-
 # --- enrichment and caches of model results -------------------------------------------------------------------------
 
 
 def cached_map(rows: DataFrame, key: str, cache: DataFrame | None, compute: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
-    """rows joined with results by key: only keys that the cache(key, ...) lacks are computed, each once. Returns (rows, new cache)."""
+    """rows joined with results by key: only keys that the cache(key, ...) lacks are computed, each once. Returns (rows, new cache).
+
+    Computed results are written, as both returned tables read them and a model isn't to be asked twice.
+    """
     needed = rows.dropDuplicates([key])
     missing = needed if cache is None else needed.join(cache.select(key), key, "left_anti")
-    new = compute(missing)
+    new = checkpoint(compute(missing))
     full = new if cache is None else cache.unionByName(new)
     return rows.join(full, key), full
 
@@ -269,18 +325,30 @@ def embedded(chunks: DataFrame, cache: DataFrame | None = None, version: str = "
     return rows.drop("embed_key", "embedded_text").withColumn("embedding_version", F.lit(version)), full
 
 
-def index_documents(chunks: DataFrame, touched: DataFrame, store, alias: str = "chunks", cache: DataFrame | None = None, **options) -> dict[str, DataFrame]:
-    """Embeds chunks and writes the next version of the collection: touched documents' old chunks go, the new ones come.
+def index_documents(chunks: DataFrame, touched: DataFrame, store, alias: str = "chunks", cache: DataFrame | None = None, as_of=None, **options) -> dict[str, DataFrame]:
+    """Embeds chunks and writes the next versions of four collections: the chunks, where touched documents' old ones go and the new ones
+    come; document `features`, usage kept; entity `mentions`; and the `edges` between entities.
 
-    Returns the collection, document features, entity mentions, and the embedding cache.
+    Returns them, and the embedding cache.
     """
-    from .graph import mentions
+    from .feedback import document_features, merge_features
+    from .graph import edges, mentions
 
     rows, full = embedded(chunks, cache, **options)
-    old = store.read(alias) if store.target(alias) else None
+    held = lambda name: store.read(name) if store.target(name) else None
+    old = held(alias)
     store.reindex(alias, lambda: replace_documents(old, rows, touched))
-    features = chunks.groupBy("doc_id").agg(*(F.first(c).alias(c) for c in ("authority", "freshness_date", "doc_type")))
-    return {"chunks": store.read(alias), "features": features, "mentions": mentions(chunks.select("chunk_id", "entities")), "cache": full}
+    known = chunks.groupBy("doc_id").agg(*(F.first(c).alias(c) for c in ("authority", "freshness_date", "doc_type")))
+    features = document_features(known, F.current_date() if as_of is None else as_of)
+    usage = held("features")
+    if usage is None:
+        features = features.withColumns({"popularity": F.lit(0.0), "feedback_score": F.lit(0.0)})
+    store.reindex("features", lambda: features if usage is None else merge_features(usage, features))
+    named = mentions(chunks.select("chunk_id", "entities")).join(chunks.select("chunk_id", "doc_id"), "chunk_id")
+    before = held("mentions")
+    store.reindex("mentions", lambda: replace_documents(before, named, touched))
+    store.reindex("edges", lambda: edges(store.read("mentions").select("entity", "chunk_id")))
+    return {"chunks": store.read(alias), "features": store.read("features"), "mentions": store.read("mentions"), "edges": store.read("edges"), "cache": full}
 
 
 # --- RAPTOR -------------------------------------------------------------------------------------------------------

@@ -6,6 +6,7 @@ import json
 import re
 import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -115,27 +116,110 @@ def structured(text: str, check: Callable[[Any], Any], repair: Callable[[str], s
     raise AssertionError
 
 
-def map_model(rows: DataFrame, column: str, out: str, role: str, isolate: bool = True) -> DataFrame:
-    """rows with out (the role's result text) and out_error: one call a row in Arrow batches, failures stay in their row."""
-    call = roles.get(role)
+@dataclass
+class Policy:
+    """How a role is called: attempts and delay of retries, roles that stand in, calls at once, and after how many failures in a row
+    a task stops calling (0: never)."""
+
+    attempts: int = ATTEMPTS
+    delay_s: float = BASE_DELAY_S
+    fallbacks: tuple[str, ...] = ()
+    at_once: int = 1
+    stop_after: int = 0
+
+
+policies: dict[str, Policy] = {}
+
+
+def map_model(rows: DataFrame, column: str, out: str, role: str, isolate: bool = True, policy: Policy | None = None) -> DataFrame:
+    """rows with out (the role's result text) and out_error: one call a row in Arrow batches, failures stay in their row.
+
+    The role's policy (policies, or the one given) retries, falls back, and keeps up to `at_once` calls going within a batch;
+    results come in the rows' order. After `stop_after` failures in a row the task's further rows fail without a call.
+    """
+    how = policy or policies.get(role, Policy())
+    call = resilient(roles.get(role), [roles.get(f) for f in how.fallbacks], max(1, how.attempts), how.delay_s)
     at = rows.columns.index(column)
     schema = T.StructType([*rows.schema, T.StructField(out, T.StringType()), T.StructField(f"{out}_error", T.StringType())])
 
+    def one(value: Any) -> tuple[str | None, str | None]:
+        try:
+            return call(value), None
+        except Exception as e:
+            if not isolate:
+                raise
+            return None, f"{type(e).__name__}: {e}"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        failed = 0
+        with ThreadPoolExecutor(max(1, how.at_once)) as pool:
+            for b in batches:
+                values, made = b.column(at).to_pylist(), []
+                for low in range(0, len(values), max(1, how.at_once)):
+                    part = values[low : low + max(1, how.at_once)]
+                    if how.stop_after and failed >= how.stop_after:
+                        made += [(None, f"Stopped: {failed} failures in a row")] * len(part)
+                        continue
+                    got = [one(part[0])] if len(part) == 1 else list(pool.map(one, part))
+                    made += got
+                    for _, error in got:
+                        failed = failed + 1 if error else 0
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array([m for m, _ in made], pa.string()), pa.array([e for _, e in made], pa.string())], names=schema.names)
+
+    return rows.mapInArrow(run, schema)
+
+
+#: Embedding backends by name: list of texts -> list of (dense, sparse); `hashed` is the built-in one.
+backends = Registry("embedding backend")
+
+
+def backend(settings: dict) -> Callable | None:
+    """The embedding backend that the settings (or, through ${VAR} in them, the environment) name."""
+    name = settings.get("backends", {}).get("embedding", "hashed")
+    return None if name == "hashed" else backends.get(name)
+
+
+#: Characters of an answer that wait until the guard has seen what follows them: longer than any pattern's match may be.
+HELD_BACK = 64
+
+
+def stream_model(rows: DataFrame, column: str, role: str, guard: Callable[[str], str | None] | None = None, held_back: int = HELD_BACK, key: str = "query_id") -> DataFrame:
+    """key, n, delta, reason: what a role that yields parts says, a row a part as it comes (a role that returns a text says it at once).
+
+    guard(running text) names a reason to stop or None. The last `held_back` characters wait until more text has come, so a
+    match that the guard finds only when it is whole hasn't been said in part. A stopped answer's last row has the reason and
+    no text; other answers' deltas make up the whole answer.
+    """
+    call = roles.get(role)
+    kind = rows.schema[key].dataType.simpleString()
+    width = held_back if guard else 0
+
+    def parts(value: Any) -> Iterator[tuple[str, str | None]]:
+        said = call(value)
+        text, sent = "", 0
+        for part in [said] if isinstance(said, str) else said or ():
+            text += part
+            if guard and (reason := guard(text)):
+                yield "", reason
+                return
+            if len(text) - width > sent:
+                yield text[sent : len(text) - width], None
+                sent = len(text) - width
+        if sent < len(text):
+            yield text[sent:], None
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made, errors = [], []
-            for value in b.column(at).to_pylist():
+            for name, value in zip(b.column(0), b.column(1).to_pylist(), strict=True):
+                n = 0
                 try:
-                    made.append(call(value))
-                    errors.append(None)
+                    for delta, reason in parts(value):
+                        yield pa.RecordBatch.from_arrays([pa.array([name.as_py()], name.type), pa.array([n], pa.int64()), pa.array([delta]), pa.array([reason], pa.string())], names=[key, "n", "delta", "reason"])
+                        n += 1
                 except Exception as e:
-                    if not isolate:
-                        raise
-                    made.append(None)
-                    errors.append(f"{type(e).__name__}: {e}")
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(made, pa.string()), pa.array(errors, pa.string())], names=schema.names)
+                    yield pa.RecordBatch.from_arrays([pa.array([name.as_py()], name.type), pa.array([n], pa.int64()), pa.array([""]), pa.array([f"{type(e).__name__}: {e}"])], names=[key, "n", "delta", "reason"])
 
-    return rows.mapInArrow(run, schema)
+    return rows.select(key, column).mapInArrow(run, f"{key} {kind}, n long, delta string, reason string")
 
 
 # --- deterministic stubs ------------------------------------------------------------------------------------------------
@@ -161,7 +245,24 @@ roles.add("summarise", first_sentence)
 roles.add("hyde", lambda text: f"{text} {first_sentence(text)}")
 roles.add("refine", lambda text: " ".join(sorted(set((text or "").lower().split()))))
 roles.add("intent", intent_of)
-roles.add("answer", first_sentence)
+
+
+def answer_stub(asked: str | None) -> str:
+    """The stub answer to {question, context: [{cite, text}]}: the first sentence of the first block, cited."""
+    context = sorted(json.loads(asked or "{}").get("context") or [], key=lambda x: x["cite"])
+    said = first_sentence(context[0].get("text")) if context else ""
+    return json.dumps({"answer": said, "claims": [{"text": said, "cite": [context[0]["cite"]]}] if said else []}, ensure_ascii=False)
+
+
+def answer_parts(asked: str | None) -> Iterator[str]:
+    """The stub answer, a word at a time."""
+    said = json.loads(answer_stub(asked))["answer"]
+    yield from re.findall(r"\S+\s*|\s+", said)
+
+
+roles.add("answer", answer_stub)
+roles.add("answer_parts", answer_parts)
+roles.add("direct", lambda text: "Hello! Ask me about the documents.")
 
 
 def variants(text: str | None, n: int = 4) -> list[str]:

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.lexical import lexical_topk, query_terms
 from ..functions.text import tokenize
 from ..functions.vectors import dense_topk, embed, md5_hash
 
@@ -28,11 +29,6 @@ def top(rows: DataFrame, k: int, score: str = "score", by: str = "query_id", tie
     return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).withColumn("rank", F.col("rank") - 1)
 
 
-def query_terms(queries: DataFrame) -> DataFrame:
-    """query_id, token, qtf."""
-    return queries.select("query_id", F.explode(tokenize(F.col("text"))).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("qtf"))
-
-
 def postings(chunks: DataFrame, vocabulary: DataFrame | None = None) -> DataFrame:
     """chunk_id, token, tf; only of tokens in vocabulary(token), if given, so that other tokens aren't shuffled."""
     rows = chunks.select("chunk_id", F.explode(tokenize(F.col("text"))).alias("token"))
@@ -41,23 +37,16 @@ def postings(chunks: DataFrame, vocabulary: DataFrame | None = None) -> DataFram
     return rows.groupBy("chunk_id", "token").agg(F.count("*").alias("tf"))
 
 
-def lexical_scores(queries: DataFrame, chunks: DataFrame) -> DataFrame:
-    """query_id, chunk_id, sparse (dot product of 1 + ln tf weights), overlap (sum of lesser counts) of pairs that share a token."""
-    terms = query_terms(queries)
-    weight = lambda c: 1.0 + F.log(F.col(c).cast("double"))
-    met = postings(chunks, terms.select("token").distinct()).join(terms, "token")
-    return met.groupBy("query_id", "chunk_id").agg(F.round(F.sum(weight("qtf") * weight("tf")), DIGITS).alias("sparse"), F.sum(F.least("qtf", "tf")).alias("overlap"))
-
-
 def sparse_topk(queries: DataFrame, chunks: DataFrame, k: int = TOP_SPARSE) -> DataFrame:
-    """query_id, chunk_id, score, rank of the best positive scores."""
-    return top(lexical_scores(queries, chunks).select("query_id", "chunk_id", F.col("sparse").alias("score")).where("score > 0"), k)
+    """query_id, chunk_id, score, rank of the best positive scores; a stored collection is searched by sparse_index."""
+    return lexical_topk(queries, chunks, k)
 
 
 def embedded_topk(queries: DataFrame, chunks: DataFrame, k: int = TOP_DENSE, hashed=md5_hash, backend=None) -> DataFrame:
-    """query_id, chunk_id, score, rank by cosine of hashed embeddings; negative cosines stay."""
+    """query_id, chunk_id, score, rank by cosine of embeddings (stored ones, where the chunks have them); negative cosines stay."""
     q = embed(queries.select("query_id", "text"), hashed=hashed, backend=backend).select("query_id", F.col("dense").alias("vector"))
-    d = embed(chunks.select("chunk_id", "text"), hashed=hashed, backend=backend).select(F.col("chunk_id").alias("id"), F.col("dense").alias("vector"))
+    held = chunks if "dense" in chunks.columns else embed(chunks.select("chunk_id", "text"), hashed=hashed, backend=backend)
+    d = held.select(F.col("chunk_id").alias("id"), F.col("dense").alias("vector"))
     return dense_topk(q, d, k).withColumnRenamed("id", "chunk_id")
 
 
@@ -91,6 +80,11 @@ def with_fallback(found: DataFrame, again: DataFrame, queries: DataFrame, least:
     return found.join(starved, "query_id", "left_anti").withColumn("relaxed", F.lit(False)).unionByName(again.join(starved, "query_id", "left_semi").withColumn("relaxed", F.lit(True)))
 
 
+def passage(chunks: DataFrame) -> Column:
+    """What a reranker reads of a chunk: prefix, text and table, as far as there are some."""
+    return F.concat_ws("\n", *(F.nullif(c, F.lit("")) for c in ("contextual_prefix", "text", "table_markdown") if c in chunks.columns))
+
+
 def rerank_score(overlap: Column, query_tokens: Column, passage_tokens: Column) -> Column:
     """Share of the query's tokens in the passage, damped by the number of the passage's distinct tokens."""
     damp = 1.0 + F.log1p(passage_tokens.cast("double")) / 10.0
@@ -105,7 +99,7 @@ def rerank(candidates: DataFrame, queries: DataFrame, chunks: DataFrame, pool: i
     pairs = top(candidates, pool, order).withColumnRenamed("rank", "pool_rank")
     terms = query_terms(queries)
     totals = terms.groupBy("query_id").agg(F.sum("qtf").alias("q_tokens"))
-    needed = chunks.join(pairs.select("chunk_id").distinct(), "chunk_id", "left_semi")
+    needed = chunks.join(pairs.select("chunk_id").distinct(), "chunk_id", "left_semi").select("chunk_id", passage(chunks).alias("text"))
     shared = postings(needed, terms.select("token").distinct()).join(terms, "token")
     shared = shared.join(pairs.select("query_id", "chunk_id"), ["query_id", "chunk_id"]).groupBy("query_id", "chunk_id").agg(F.sum(F.least("qtf", "tf")).alias("overlap"))
     sizes = needed.select("chunk_id", F.size(F.array_distinct(tokenize(F.col("text")))).alias("p_tokens"))

@@ -55,7 +55,7 @@ def run_suite(cases: DataFrame, answer: Callable[[DataFrame], DataFrame], thresh
     keyed = fb.numbered(cases, "id").withColumnRenamed("seq", "query_id")
     out = answer(keyed.select("query_id", F.col("query").alias("text"))).join(keyed.select("query_id", F.col("id").alias("case_id")), "query_id")
     served = out.select("case_id", "answer", F.coalesce("grounded", F.lit(False)).alias("grounded"), F.coalesce("score", F.lit(0.0)).alias("score"), (F.col("status") == "blocked").alias("blocked"), (F.col("status") == "abstained").alias("abstained"))
-    cited = out.select("case_id", F.explode("citations").alias("c")).select("case_id", F.col("c.doc_id").cast("string").alias("doc_id"), F.lit("").alias("title"))
+    cited = out.select("case_id", F.explode("citations").alias("c")).select("case_id", F.col("c.doc_id").cast("string").alias("doc_id"), F.coalesce("c.title", F.lit("")).alias("title"))
     per_case = score_cases(cases, served, cited)
     metrics = fb.aggregate_metrics(per_case)
     everyone = per_case.agg(F.coalesce(F.bool_and("ok"), F.lit(True)).alias("ok")).first()["ok"]

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions.vectors import dense_topk as nearest
 from ..operators import answering as a
+from ..operators import dense_index, sparse_index
 from ..operators import feedback as fb
 from ..operators import graph as kg
 from ..operators import retrieval as r
 from ..operators.access import MetadataFilter
+from ..operators.models import stream_model
+from ..session import shared_dir
 from . import strategies as s
 from .base import DENSE, QUESTIONS, TERMS, checkpoint, chunks, content, count_tokens, fused, query, questions, reranked, sentences, table
 
@@ -45,6 +50,27 @@ def sparse_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.sparse_topk(questions(spark, sf_dir), chunks(spark, sf_dir))
 
 
+def _index_folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/sievework-{name}-{uuid.uuid4().hex[:12]}"
+
+
+@query(f"WITH {QUESTIONS}, {TERMS} SELECT query_id, chunk_id, score, CAST(rank AS INTEGER) AS rank FROM st")
+def sparse_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sparse leg over a stored index of all documents."""
+    path = _index_folder(spark, "postings")
+    sparse_index.build(chunks(spark, sf_dir), path)
+    return sparse_index.SparseIndex(spark, path).search(questions(spark, sf_dir), r.TOP_SPARSE)[0]
+
+
+@query(_DENSE_SQL.format(on="true"))
+def dense_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dense search over stored vectors in blocks around centres."""
+    q, rows = _vectors(spark, sf_dir)
+    path = _index_folder(spark, "vectors")
+    dense_index.build(rows, path)
+    return dense_index.DenseIndex(spark, path).search(q, r.TOP_DENSE)[0]
+
+
 @query(f"WITH {QUESTIONS}, {TERMS}, {DENSE} SELECT query_id, chunk_id, score, CAST(rank AS INTEGER) AS rank FROM de")
 def embedded_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.embedded_topk(questions(spark, sf_dir), chunks(spark, sf_dir))
@@ -264,6 +290,14 @@ def grounding_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.grounding(claims, best.select(F.col("query_id").alias("answer_id"), F.lit(1).alias("cite"), "text")).select("answer_id", "score")
 
 
+@query(f"""WITH {QUESTIONS}, s AS (SELECT query_id, {sentences('text')}[1] AS said FROM q)
+SELECT query_id, n - 1 AS n, parts[n] AS delta, CAST(NULL AS VARCHAR) AS reason FROM (SELECT query_id, regexp_extract_all(said, '\\S+\\s*') AS parts, unnest(range(1, len(regexp_extract_all(said, '\\S+\\s*')) + 1)) AS n FROM s)""")
+def answer_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stub answer to every question over the question's own text, as the parts in which it is said."""
+    asked = F.to_json(F.struct(F.col("text").alias("question"), F.array(F.struct(F.lit(1).alias("cite"), F.col("text").alias("text"))).alias("context")))
+    return stream_model(questions(spark, sf_dir).select("query_id", asked.alias("asked")), "asked", "answer_parts")
+
+
 @query()
 def online_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole online pipeline for every question."""

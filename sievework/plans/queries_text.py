@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import hashing, text
@@ -123,6 +123,32 @@ def near_dup_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return i.near_pairs(checkpoint(hashing.simhash(table(spark, sf_dir, "documents"))))
 
 
+@query(f"""WITH {_SIMHASH}, s AS (SELECT doc_id, fp, source IN ('src0', 'src1', 'src2', 'src3', 'src4', 'src5', 'src6', 'src7', 'src8', 'src9') AS early FROM fp JOIN documents USING (doc_id)),
+k AS (SELECT fp, min(doc_id) AS doc_id FROM s WHERE early GROUP BY fp)
+SELECT s.doc_id, min(k.doc_id) AS duplicate_of FROM s JOIN k ON bit_count(xor(s.fp, k.fp)) <= 3 WHERE NOT early GROUP BY 1""")
+def near_dup_known(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A second run's documents (ten sources) against the stored fingerprints of a first run (the ten others)."""
+    first = F.col("source").isin([f"src{k}" for k in range(10)])
+    docs = table(spark, sf_dir, "documents")
+    prints = checkpoint(hashing.simhash(docs).join(docs.select("doc_id", first.alias("early")), "doc_id"))
+    known = checkpoint(i.fingerprint_rows(prints.where("early").select("doc_id", "fp", F.col("doc_id").alias("seq"))))
+    return i.known_duplicates(prints.where("not early").select("doc_id", "fp"), known)
+
+
+@query("""WITH o AS (SELECT DISTINCT doc_id, unnest(string_split(text, chr(10))) AS x, 1 AS o FROM documents),
+n AS (SELECT DISTINCT doc_id, unnest(string_split(regexp_replace(text, '[0-9]', '#', 'g'), chr(10))) AS x, 1 AS n FROM documents)
+SELECT doc_id, count(*) FILTER (o = 1 AND n = 1) AS same, count(*) FILTER (o IS NULL) AS recomputed, count(*) FILTER (n IS NULL) AS gone FROM o FULL JOIN n USING (doc_id, x) GROUP BY 1""")
+def section_recompute(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An edit that masks all digits, lines as sections: how many sections of each document have to be computed anew."""
+    docs = table(spark, sf_dir, "documents")
+
+    def parts(body: Column) -> DataFrame:
+        block = F.struct(F.lit("text").alias("kind"), F.col("line").alias("text"), F.lit(0).alias("heading_level"), F.array().cast("array<string>").alias("headers"), F.array().cast("array<array<string>>").alias("rows"), F.lit("").alias("src"))
+        return docs.select("doc_id", F.posexplode(F.split(body, "\n")).alias("section", "line")).select("doc_id", "section", F.lit("").alias("heading"), F.array(block).alias("blocks"))
+
+    return i.section_diff(i.section_hashes(parts(F.regexp_replace("text", "[0-9]", "#"))), i.section_hashes(parts(F.col("text"))))
+
+
 @query()
 def near_dup_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return i.resolve_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), checkpoint)

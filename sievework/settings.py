@@ -19,6 +19,7 @@ DEFAULTS: dict = {
     "guardrails": {"input": {"pii": "block", "injection": "sanitize", "max_query_tokens": 512, "rate_limit_per_min": 30}, "output": {"grounding_min": 0.6, "pii": "redact", "toxicity": "block"}},
     "eval": {"golden_suite": "", "gate_thresholds": {"faithfulness": 0.85, "answer_relevancy": 0.80, "context_recall": 0.75}, "judge_role": "judge"},
     "caching": {"response_ttl_s": 3600, "rewrite_ttl_s": 3600},
+    "backends": {"embedding": "hashed"},
     "optimization": {"semantic_cache": True, "semantic_cache_threshold": 0.90, "semantic_cache_max_entries": 2000},
 }
 CHOICES = {

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import re
+import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -27,54 +30,164 @@ def delete_by_doc(chunks: DataFrame, doc_ids: DataFrame) -> tuple[DataFrame, int
     return chunks.join(doc_ids.select("doc_id").distinct(), "doc_id", "left_anti"), gone
 
 
+class Conflict(RuntimeError):
+    """Another writer committed first."""
+
+
 class Collections:
-    """Versioned tables below a folder with aliases; an alias is a folder that names its target, read through Spark."""
+    """Versioned tables below a folder, named by aliases.
+
+    A version is a list of folders. What an alias stands for is in its newest pointer file, `_alias_{alias}.{number}`: a commit writes
+    a temporary file and renames it to the next number, which fails if somebody else took it. So readers see the old version
+    or the new one and never none, an append adds one folder without touching the others, and pointers of the last `keep`
+    versions stay for readers that still hold them; older ones go, and with them the folders that no pointer names.
+    """
+
+    #: Folders of one version before an append gathers them into one.
+    MOST_PARTS = 32
+
+    def __init__(self, spark: SparkSession, root: str, keep: int = 2):
+        self.spark, self.root, self.keep = spark, root.rstrip("/"), max(1, keep)
+
+    # --- files, through Hadoop's file systems ---
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    def _path(self, name: str):
+        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+
+    def _fs(self):
+        return self._path("x").getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
     def _names(self) -> list[str]:
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)
-        fs = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        return sorted(s.getPath().getName() for s in fs.listStatus(path)) if fs.exists(path) else []
+        fs, root = self._fs(), self._path("x").getParent()
+        return sorted(s.getPath().getName() for s in fs.listStatus(root)) if fs.exists(root) else []
+
+    def _remove(self, name: str) -> None:
+        self._fs().delete(self._path(name), True)
+
+    def _pointers(self, alias: str) -> list[int]:
+        found = (re.fullmatch(rf"_alias_{re.escape(alias)}\.(\d+)", n) for n in self._names())
+        return sorted(int(m[1]) for m in found if m)
+
+    def _load(self, alias: str, number: int) -> list[str]:
+        stream = self._fs().open(self._path(f"_alias_{alias}.{number:012d}"))
+        try:
+            return json.loads(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
+    def _commit(self, alias: str, parts: list[str], after: int) -> None:
+        """Makes parts what alias stands for, as the version after number `after`; Conflict if there is one already."""
+        jvm = self.spark.sparkContext._jvm
+        temporary = f"_tmp_{uuid.uuid4().hex}"
+        stream = self._fs().create(self._path(temporary), False)
+        stream.write(bytearray(json.dumps(parts).encode()))
+        stream.close()
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._path("x").toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        none = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+        try:
+            context.rename(self._path(temporary), self._path(f"_alias_{alias}.{after + 1:012d}"), none)
+        except Exception as e:
+            self._remove(temporary)
+            if "AlreadyExists" in str(e) or "exist" in str(e).lower():
+                raise Conflict(f"{alias}: version {after + 1} was committed by another writer") from e
+            raise
+        self._retain(alias)
+
+    def _retain(self, alias: str) -> None:
+        """Removes pointers before the last `keep`, and this alias's folders that no pointer names."""
+        numbers = self._pointers(alias)
+        for n in numbers[: -self.keep]:
+            self._remove(f"_alias_{alias}.{n:012d}")
+        used = {p for n in numbers[-self.keep :] for p in self._load(alias, n)}
+        newest = max((self._version(alias, p) for p in used), default=0)
+        for name in self.list():
+            # A folder above the newest committed one may be a version that is being built.
+            if name not in used and 0 < self._version(alias, name) < newest:
+                self._remove(name)
+
+    @staticmethod
+    def _version(alias: str, name: str) -> int:
+        m = re.fullmatch(rf"{re.escape(alias)}_v(\d+)", name)
+        return int(m[1]) if m else 0
+
+    # --- names and reads ---
 
     def list(self) -> list[str]:
         return [n for n in self._names() if not n.startswith("_")]
 
-    def write(self, name: str, rows: DataFrame, partition_by: list[str] | None = None) -> None:
-        writer = rows.write.mode("overwrite")
-        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(f"{self.root}/{name}")
+    def parts(self, alias: str) -> list[str]:
+        """The folders that an alias stands for now; none if it isn't known."""
+        for _ in range(3):  # a pointer may be retired between listing and reading
+            numbers = self._pointers(alias)
+            try:
+                return self._load(alias, numbers[-1]) if numbers else []
+            except Exception:
+                if self._pointers(alias) == numbers:
+                    raise
+        raise RuntimeError(f"{alias} changes too often to be read")
 
     def target(self, alias: str) -> str | None:
-        return self.spark.read.parquet(f"{self.root}/_alias_{alias}").first()["target"] if f"_alias_{alias}" in self._names() else None
+        """The (first) folder of an alias."""
+        return next(iter(self.parts(alias)), None)
 
     def resolve(self, name: str) -> str:
         """An alias's target; any other name stands for itself."""
         return self.target(name) or name
 
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/{self.resolve(name)}")
+        """A version's rows; columns that an appended part lacks are null there."""
+        parts = self.parts(name) or [name]
+        reader = self.spark.read if len(parts) == 1 else self.spark.read.option("mergeSchema", "true")
+        return reader.parquet(*(f"{self.root}/{p}" for p in parts))
 
     def count(self, name: str) -> int:
         return self.read(name).count()
 
-    def switch(self, alias: str, target: str) -> None:
-        self.spark.createDataFrame([(target,)], "target string").coalesce(1).write.mode("overwrite").parquet(f"{self.root}/_alias_{alias}")
+    # --- writes ---
+
+    def write(self, name: str, rows: DataFrame, partition_by: list[str] | None = None, new: bool = False) -> None:
+        """rows as a folder; with `new` a folder of that name that another writer made meanwhile is a Conflict."""
+        writer = rows.write.mode("error" if new else "overwrite")
+        try:
+            (writer.partitionBy(*partition_by) if partition_by else writer).parquet(f"{self.root}/{name}")
+        except AnalysisException as e:
+            if new and "PATH_ALREADY_EXISTS" in str(e):
+                raise Conflict(f"{name} was written by another writer") from e
+            raise
+
+    def switch(self, alias: str, *targets: str) -> None:
+        self._commit(alias, list(targets), max(self._pointers(alias), default=0))
 
     def next_version(self, alias: str) -> str:
-        versions = [int(m[1]) for n in self.list() if (m := re.fullmatch(rf"{re.escape(alias)}_v(\d+)", n))]
-        return f"{alias}_v{max(versions, default=0) + 1}"
+        return f"{alias}_v{max((self._version(alias, n) for n in self.list()), default=0) + 1}"
 
     def reindex(self, alias: str, build, validate=None) -> str:
         """Blue/green: build the next version, validate it, then switch; a failure leaves the alias as it was."""
+        after = max(self._pointers(alias), default=0)
         name = self.next_version(alias)
-        self.write(name, build())
+        self.write(name, build(), new=True)
         if validate is not None and not validate(self.read(name)):
             raise ValueError(f"{name} isn't valid")
-        self.switch(alias, name)
+        self._commit(alias, [name], after)
+        return name
+
+    def append(self, alias: str, rows: DataFrame) -> str:
+        """Adds rows as a folder of its own; what is there isn't rewritten, but for gathering many small parts into one now and then."""
+        after = max(self._pointers(alias), default=0)
+        old = self.parts(alias)
+        name = self.next_version(alias)
+        if len(old) >= self.MOST_PARTS:
+            self.write(name, self.read(alias).unionByName(rows, allowMissingColumns=True), new=True)
+            self._commit(alias, [name], after)
+        else:
+            self.write(name, rows, new=True)
+            self._commit(alias, [*old, name], after)
         return name
 
     def rollback(self, alias: str, to: str) -> None:
+        """Makes a kept version the alias's again."""
+        if to not in self.list():
+            raise ValueError(f"{to} isn't there any more")
         self.switch(alias, to)
 
 
@@ -100,7 +213,7 @@ class CacheStore:
     SCHEMA = "key string, value string, stored_at double, ttl_s int"
 
     def __init__(self, spark: SparkSession, root: str, name: str = "cache", keep: int = 2):
-        self.store, self.name, self.spark, self.keep = Collections(spark, root), name, spark, keep
+        self.store, self.name, self.spark = Collections(spark, root, keep), name, spark
 
     def entries(self) -> DataFrame:
         return self.store.read(self.name) if self.store.target(self.name) else self.spark.createDataFrame([], self.SCHEMA)

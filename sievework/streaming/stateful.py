@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -49,6 +49,39 @@ def feedback_stream(votes: DataFrame) -> DataFrame:
     return votes.groupBy("doc_id").applyInPandasWithState(run, "doc_id long, feedback_score double, n long", "f double, n long", "update", GroupStateTimeout.NoTimeout)
 
 
+def popularity_sink(store, alias: str = "popularity") -> Callable[[DataFrame, int], None]:
+    """foreachBatch sink for hits(doc_id, at): the collection keeps doc_id, hits, last_total (all hits up to its last one), epoch.
+
+    Shares are hits / last_total at a document's last hit and hits / (sum of all hits) now. Hits count in the order they come, by
+    time within a batch, so a late one counts when it comes. A version holds the epoch that made it, and its commit is one
+    rename: a batch that is replayed after a failure finds its epoch there and adds nothing.
+    """
+    from ..operators.feedback import numbered
+
+    def run(batch: DataFrame, epoch: int) -> None:
+        old = store.read(alias) if store.target(alias) else None
+        done = old.agg(F.sum("hits").alias("n"), F.max("epoch").alias("epoch")).first() if old is not None else None
+        if done is not None and done["epoch"] is not None and done["epoch"] >= epoch:
+            return
+        total = (done["n"] or 0) if done is not None else 0
+        new = numbered(batch.select("doc_id", "at"), "at", "doc_id").groupBy("doc_id").agg(F.count("*").alias("new_hits"), (F.max("seq") + total).alias("new_total"))
+        if old is not None:
+            met = old.drop("epoch").join(new, "doc_id", "full")
+            hits, last = F.coalesce("hits", F.lit(0)) + F.coalesce("new_hits", F.lit(0)), F.coalesce("new_total", "last_total")
+        else:
+            met, hits, last = new, F.col("new_hits"), F.col("new_total")
+        rows = met.select("doc_id", hits.cast("long").alias("hits"), last.cast("long").alias("last_total"), F.lit(epoch).cast("long").alias("epoch"))
+        store.reindex(alias, lambda: rows)
+
+    return run
+
+
+def popularity(held: DataFrame) -> DataFrame:
+    """doc_id, hits, popularity_at_last_hit, popularity of what popularity_sink keeps."""
+    total = held.agg(F.sum("hits")).first()[0] or 1
+    return held.select("doc_id", "hits", F.round(F.col("hits") / F.col("last_total"), 6).alias("popularity_at_last_hit"), F.round(F.col("hits") / F.lit(total), 6).alias("popularity"))
+
+
 def merge_batches(apply: Callable[[DataFrame, int], None]):
     """foreachBatch sink that skips empty batches; apply(batch, epoch) merges into a keyed table and may see an epoch again."""
 
@@ -69,10 +102,3 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str | None = None
     """Sessions of a key separated by a gap without events."""
     rows = events.withWatermark("ts", late) if late else events
     return rows.groupBy(F.session_window("ts", gap).alias("w"), key).agg(F.count("*").alias("n")).select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
-
-
-def unexpired(entries: DataFrame, now: Column) -> DataFrame:
-    """Entries of a cache stream that haven't expired."""
-    from ..sources.tables import live
-
-    return live(entries, now)

@@ -72,11 +72,28 @@ def test_lookahead_comes_from_the_merge_list_and_is_enough(library, merges, monk
             if at > cut - merges.lookahead:
                 break
             assert t == u
-    monkeypatch.setattr(word_bpe, "STRIDE", 1)
+    monkeypatch.setitem(merges.__dict__, "reach_of_window", merges.lookahead + merges.max_len + 1)
     for s in ("ab" * 700, "".join(rng.choice(syllables) for _ in range(300)), "a" * 1500, "é" * 900):
         assert list(merges.encode(s)) == library.encode(s, add_special_tokens=False).ids
 
 
+def test_tokens_go_before_their_piece_ends(merges, monkeypatch):
+    """A window never holds more than lookahead and two longest tokens, and what is stable goes before the next one is read."""
+    read, real = [], Merges.window
+    monkeypatch.setattr(Merges, "window", lambda self, symbols, before=-1, ends=True: read.append((len(symbols), ends)) or real(self, symbols, before, ends))
+    size = merges.lookahead + 2 * merges.max_len
+    for n in (1, size, size + 1, size + 50, 5 * size):
+        read.clear()
+        out = merges.encode_piece("etaoinshrdlu" * n)
+        first = next(out)
+        assert read[0][0] <= size and (len(read) == 1) and read[0][1] == (12 * n <= size)
+        rest = list(out)
+        assert max(k for k, _ in read) <= size and [e for _, e in read] == [False] * (len(read) - 1) + [True]
+        assert sum(map(merges.length, [first, *rest])) == 12 * n
+        if n > 1:
+            assert len(read) > 12 * n // (2 * merges.max_len) // 2
+
+
 def test_every_piece_goes_through_the_transducer(merges, monkeypatch):
     seen, real = [], Merges.encode_piece
     monkeypatch.setattr(Merges, "encode_piece", lambda self, piece: seen.append(piece) or real(self, piece))

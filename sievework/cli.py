@@ -1,4 +1,4 @@
-"""Command line: python -m sievework.cli doctor | ingest PATH | ask QUESTION | eval SUITE, over collections below --root."""
+"""Command line: python -m sievework.cli doctor | ingest PATH | index | ask QUESTION | eval SUITE, over collections below --root."""
 
 from __future__ import annotations
 
@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import settings
-from .operators import access, feedback, models
+from .operators import access, dense_index, feedback, models, sparse_index
 from .operators import ingest as i
 from .plans import answer as online
 from .plans import evaluation, strategies
@@ -68,9 +68,26 @@ def ingest_path(spark: SparkSession, root: str, path: str, full_rebuild: bool =
     return {"processed": counts.get("ingested", 0), "skipped": counts.get("skipped", 0), "duplicates": counts.get("duplicate", 0), "failed": counts.get("failed", 0)}
 
 
+def index_folder(root: str, version: str) -> str:
+    return f"{root.rstrip('/')}/_indexes/{version}"
+
+
+def build_indexes(spark: SparkSession, root: str) -> str:
+    """Stores the sparse and the dense index of the present version of the chunks, and removes those of versions that are gone."""
+    store = tables.Collections(spark, root)
+    version = store.target("chunks")
+    chunks, folder = store.read("chunks").drop("sparse"), index_folder(root, version)
+    sparse_index.build(chunks.drop("dense"), f"{folder}/sparse")
+    dense_index.build(chunks.drop("text").withColumnsRenamed({"chunk_id": "id", "dense": "vector"}), f"{folder}/dense")
+    for name in tables.Collections(spark, f"{root.rstrip('/')}/_indexes").list():
+        if name not in store.list():
+            store.remove(f"_indexes/{name}")
+    return folder
+
+
 def context(spark: SparkSession, root: str, queries: DataFrame, entitlements: list[str], chosen: dict = settings.DEFAULTS) -> strategies.Context:
     """A context over the ingested chunks as a user with these entitlements sees them, with their stored vectors, document features
-    (popularity from the recorded hits) and entity graph."""
+    (popularity from the recorded hits), entity graph, and the indexes of this version if build_indexes made them."""
     store = tables.Collections(spark, root)
     held = lambda name: store.read(name) if store.target(name) else None
     features, hits = held("features"), held("hits")
@@ -82,6 +99,9 @@ def context(spark: SparkSession, root: str, queries: DataFrame, entitlements: li
     ctx = strategies.Context(
         queries, store.read("chunks").drop("sparse"), features, None if mentions is None else mentions.select("entity", "chunk_id"), held("edges"), access.build_filter({}, [], entitlements), relaxed, backend=models.backend(chosen),
     )
+    folder = index_folder(root, store.target("chunks"))
+    if store.exists(f"_indexes/{store.target('chunks')}/dense/blocks/_SUCCESS"):
+        ctx = strategies.replace(ctx, postings=sparse_index.SparseIndex(spark, f"{folder}/sparse"), vectors=dense_index.DenseIndex(spark, f"{folder}/dense"))
     return strategies.configured(ctx, chosen)
 
 
@@ -109,6 +129,7 @@ def parser() -> argparse.ArgumentParser:
     one = sub.add_parser("ingest")
     one.add_argument("path")
     one.add_argument("--full-rebuild", action="store_true")
+    sub.add_parser("index")
     sub.add_parser("ask").add_argument("question")
     sub.add_parser("eval").add_argument("suite")
     return p
@@ -128,6 +149,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         counts = ingest_path(spark, args.root, args.path, args.full_rebuild, chosen=chosen)
         print(json.dumps(counts))
         return 0 if not counts["failed"] else 1
+    if args.command == "index":
+        print(build_indexes(spark, args.root))
+        return 0
     if args.command == "ask":
         print(ask(spark, args.root, args.question, tags, chosen=chosen, user=args.user)["answer"])
         return 0

@@ -76,10 +76,10 @@ def build(rows: DataFrame, path: str, n_centres: int = CENTRES, block_rows: int
     ordered = placed.repartitionByRange(max(rings, 1), "centre", "angle", "id").withColumn("block", F.concat_ws("-", "centre", F.spark_partition_id()))
     held = checkpoint(ordered)
     held.write.mode("overwrite").partitionBy("block").parquet(f"{path}/vectors")
-    directory = held.groupBy("block", "centre").agg(F.min("angle").alias("low"), F.max("angle").alias("high"), F.count("*").alias("n"))
-    directory.coalesce(1).write.mode("overwrite").parquet(f"{path}/blocks")
     table = pa.table({"centre": np.arange(len(centres), dtype=np.int32), "vector": pa.array(list(centres), pa.list_(pa.float64()))})
     spark.createDataFrame(table).coalesce(1).write.mode("overwrite").parquet(f"{path}/centres")
+    directory = held.groupBy("block", "centre").agg(F.min("angle").alias("low"), F.max("angle").alias("high"), F.count("*").alias("n"))
+    directory.coalesce(1).write.mode("overwrite").parquet(f"{path}/blocks")  # last: where it is, the index is whole
 
 
 class DenseIndex:

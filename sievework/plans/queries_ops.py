@@ -97,9 +97,9 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("user_id", at.alias("at"), F.col("event_id").alias("id"))
 
 
-@query("""WITH RECURSIVE o AS (SELECT user_id, event_id AS id, epoch_us(ts) / CAST(1e6 AS DOUBLE) AS at, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
-s AS (SELECT user_id, id, n, [at] AS q, true AS allowed FROM o WHERE n = 1
-    UNION ALL SELECT user_id, id, n, CASE WHEN len(l) < 5 THEN list_append(l, at) ELSE l END, len(l) < 5 FROM (SELECT o.user_id, o.id, o.n, o.at, list_filter(s.q, lambda t: o.at - t <= 86400) AS l FROM s JOIN o ON o.user_id = s.user_id AND o.n = s.n + 1))
+@query("""WITH RECURSIVE o AS (SELECT user_id, event_id AS id, epoch_us(ts) / CAST(1e6 AS DOUBLE) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+s AS (SELECT user_id, id, n, [t] AS q, true AS allowed FROM o WHERE n = 1
+    UNION ALL SELECT user_id, id, n, CASE WHEN len(l) < 5 THEN list_append(l, t) ELSE l END, len(l) < 5 FROM (SELECT o.user_id, o.id, o.n, o.t, list_filter(s.q, lambda x: o.t - x <= 86400) AS l FROM s JOIN o ON o.user_id = s.user_id AND o.n = s.n + 1))
 SELECT user_id, id, allowed FROM s""")
 def rate_limit_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five admitted events a user and day."""

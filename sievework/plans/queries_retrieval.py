@@ -151,7 +151,20 @@ def corrective_grade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctx.queries.join(poor, "query_id", "left").select("query_id", F.col("poor").isNull().alias("correct"))
 
 
-@query()
+_REFINED = r"array_to_string(list_sort(list_distinct(string_split_regex(trim(lower(text)), '\\s+'))), ' ')"
+
+
+@query(f"""
+WITH f AS (WITH {_HYBRID} SELECT query_id, chunk_id, rerank, final, rank FROM fo), q0 AS (SELECT item_id AS query_id, text FROM benchmark),
+poor AS (SELECT query_id, text FROM q0 LEFT JOIN (SELECT query_id, max(rerank) AS best FROM f GROUP BY 1) USING (query_id) WHERE coalesce(best, 0) < 0.30),
+g AS (WITH {_HYBRID.replace(QUESTIONS, f"q AS (SELECT query_id, {_REFINED} AS text FROM poor)", 1)} SELECT query_id, chunk_id, rerank, final, rank FROM fo),
+u AS (SELECT *, 0 AS source FROM f WHERE query_id IN (SELECT query_id FROM poor) UNION ALL SELECT *, 1 FROM g),
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY source, rank) AS k FROM u) WHERE k = 1),
+s AS (SELECT query_id FROM poor LEFT JOIN (SELECT query_id, max(rerank) AS best FROM b GROUP BY 1) USING (query_id) WHERE coalesce(best, 0) < 0.30),
+m AS (SELECT query_id, chunk_id, rerank, row_number() OVER (PARTITION BY query_id ORDER BY rerank DESC, chunk_id) - 1 AS place FROM b)
+SELECT query_id, chunk_id, chunk_id AS doc_id, rerank, final, CAST(rank AS INTEGER) AS rank, 'correct' AS branch FROM f WHERE query_id NOT IN (SELECT query_id FROM poor)
+UNION ALL SELECT query_id, chunk_id, chunk_id, rerank, rerank, CAST(place AS INTEGER), CASE WHEN query_id IN (SELECT query_id FROM s) THEN 'fallback' ELSE 'refine' END FROM m WHERE place < 8 AND (rerank >= 0.15 OR place = 0)
+""")
 def corrective_rag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.run("corrective", context(spark, sf_dir))
 
@@ -169,23 +182,33 @@ def _sub_sql(texts: str) -> str:
 _WORDS = r"string_split_regex(trim(text), '\s+')"
 
 
-@query(_sub_sql(f"CASE WHEN len({_WORDS}) > 1 THEN list_concat([text], list_transform(range(0, least(4, len({_WORDS}) - 1)), lambda k: array_to_string(list_concat({_WORDS}[k + 2:], {_WORDS}[1:k]), ' '))) ELSE [text] END"))
+_FUSION_SQL = _sub_sql(f"CASE WHEN len({_WORDS}) > 1 THEN list_concat([text], list_transform(range(0, least(4, len({_WORDS}) - 1)), lambda k: array_to_string(list_concat({_WORDS}[k + 2:], {_WORDS}[1:k]), ' '))) ELSE [text] END")
+_HYDE_SQL = _sub_sql(f"[text, text || ' ' || {sentences('text')}[1]]")
+
+
+@query(_FUSION_SQL)
 def rag_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.run("fusion", context(spark, sf_dir))
 
 
-@query(_sub_sql(f"[text, text || ' ' || {sentences('text')}[1]]"))
+@query(_HYDE_SQL)
 def hyde(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.run("hyde", context(spark, sf_dir))
 
 
-@query()
+_ROUTE = r"""CASE WHEN regexp_matches(lower(trim(text)), '^(hi|hello|hey|thanks|thank you)\b') THEN 'hyde' WHEN regexp_matches(lower(text), '\b(compare|difference|versus|vs)\b') THEN 'fusion'
+    WHEN starts_with(lower(trim(text)), 'how ') THEN 'fusion' WHEN len(string_split_regex(trim(text), '\s+')) <= 12 THEN 'hybrid' ELSE 'hyde' END"""
+_ROUTED = "SELECT x.*, '{0}' AS route FROM ({1}) x JOIN (SELECT item_id AS query_id, {2} AS route FROM benchmark) y ON y.query_id = x.query_id AND y.route = '{0}'"
+
+
+@query(" UNION ALL ".join(_ROUTED.format(name, sql, _ROUTE) for name, sql in (("fusion", _FUSION_SQL), ("hybrid", f"WITH {_HYBRID} {_RESULT}"), ("hyde", _HYDE_SQL))))
 def adaptive_rag(spark: SparkSession, sf_dir: str) -> DataFrame:
     ctx = context(spark, sf_dir)
     return s.run("adaptive", s.replace(ctx, queries=checkpoint(s.plan_queries(ctx.queries.select("query_id", "text")))))
 
 
-@query()
+@query(f"""WITH {_HYBRID}, ag AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank DESC, chunk_id) - 1 AS place FROM fo)
+SELECT query_id, chunk_id, chunk_id AS doc_id, rerank, rerank AS final, CAST(place AS INTEGER) AS rank FROM ag WHERE place < 8 AND (rerank >= 0.15 OR place = 0)""")
 def agentic_rag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.run("agentic", context(spark, sf_dir))
 
@@ -240,7 +263,13 @@ def hybrid_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.run("hybrid_graph", s.replace(context(spark, sf_dir), mentions=m, edges=checkpoint(kg.edges(m))))
 
 
-@query()
+@query(f"""WITH {_HYBRID}, {_GRAPH},
+gp AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS pool_rank FROM gr),
+g2 AS (SELECT gp.query_id, gp.chunk_id, coalesce(round(CASE WHEN q_tokens > 0 AND p_tokens > 0 THEN coalesce(overlap, 0) / q_tokens / (1.0 + ln(1.0 + p_tokens) / 10.0) ELSE 0.0 END, 6), 0.0) AS rerank FROM gp
+    JOIN (SELECT doc_id, len(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) AS p_tokens FROM documents) ON doc_id = gp.chunk_id LEFT JOIN qs ON qs.query_id = gp.query_id LEFT JOIN ls ON ls.query_id = gp.query_id AND ls.chunk_id = gp.chunk_id WHERE pool_rank <= 80),
+g3 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank DESC, chunk_id) - 1 AS place FROM g2)
+SELECT query_id, chunk_id, chunk_id AS doc_id, rerank, rerank AS final, CAST(place AS INTEGER) AS rank FROM g3 WHERE place < 8 AND (rerank >= 0.15 OR place = 0)
+UNION ALL SELECT query_id, chunk_id, chunk_id, rerank, final, CAST(rank AS INTEGER) FROM fo WHERE query_id NOT IN (SELECT query_id FROM gr)""")
 def graph_rag(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = entity_mentions(spark, sf_dir)
     return s.run("graph", s.replace(context(spark, sf_dir), mentions=m, edges=checkpoint(kg.edges(m))))

@@ -90,7 +90,23 @@ def clean_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", text.clean_text(F.col("text")).alias("text"))
 
 
-@query()
+#: A fold over a document's units: state is the next unit and the first one of the open chunk; s holds sums of tokens before each unit.
+_PACK = f"""
+WITH RECURSIVE p AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '\\n\\s*\\n'), lambda x: trim(x, chr(32) || chr(9) || chr(10) || chr(13))), lambda x: x <> '') AS p FROM documents),
+u AS (SELECT doc_id, flatten(list_transform(p, lambda x: CASE WHEN {count_tokens('x')} <= 384 THEN [x] ELSE {sentences('x')} END)) AS u FROM p),
+v AS (SELECT doc_id, unnest(u) AS unit, unnest(range(1, len(u) + 1)) AS i FROM u),
+w AS (SELECT doc_id, i, unit, {count_tokens('unit')} AS n FROM v),
+d AS (SELECT doc_id, list(s ORDER BY i) AS s FROM (SELECT doc_id, i, CAST(coalesce(sum(n) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS s FROM (SELECT * FROM w UNION ALL SELECT doc_id, max(i) + 1, NULL, 0 FROM w GROUP BY doc_id)) GROUP BY doc_id),
+r AS (SELECT doc_id, s, CAST(1 AS BIGINT) AS i, CAST(1 AS BIGINT) AS a, CAST(NULL AS BIGINT) AS lo, CAST(NULL AS BIGINT) AS hi FROM d
+    UNION ALL SELECT doc_id, s, i + 1, CASE WHEN fits THEN a ELSE a2 END, CASE WHEN NOT fits THEN a END, CASE WHEN NOT fits THEN i - 1 END
+    FROM (SELECT *, i = a OR s[i + 1] - s[a] <= 384 AS fits, list_filter(range(a, i + 1), lambda j: s[i] - s[j] <= 57.6)[1] AS a2 FROM r WHERE i < len(s))),
+e AS (SELECT doc_id, i, 0 AS k, lo, hi FROM r WHERE lo IS NOT NULL UNION ALL SELECT doc_id, i, 1, a, i - 1 FROM r WHERE i = len(s) AND a < i),
+t AS (SELECT e.doc_id, e.i, e.k, string_agg(unit, ' ' ORDER BY w.i) AS text FROM e JOIN w ON w.doc_id = e.doc_id AND w.i BETWEEN lo AND hi GROUP BY ALL)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i, k) - 1 AS INTEGER) AS position, text, {count_tokens('text')} AS token_count FROM t
+"""
+
+
+@query(_PACK)
 def chunk_greedy_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return i.chunk_texts(table(spark, sf_dir, "documents"))
 
@@ -149,7 +165,14 @@ def section_recompute(spark: SparkSession, sf_dir: str) -> DataFrame:
     return i.section_diff(i.section_hashes(parts(F.regexp_replace("text", "[0-9]", "#"))), i.section_hashes(parts(F.col("text"))))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_SIMHASH}, r AS (SELECT fp, min(doc_id) AS id FROM fp GROUP BY fp),
+p AS (SELECT x.id AS a, y.id AS b FROM r x JOIN r y ON x.id < y.id WHERE bit_count(xor(x.fp, y.fp)) <= 3),
+o AS (SELECT id, row_number() OVER (ORDER BY id) AS n FROM (SELECT a AS id FROM p UNION SELECT b FROM p)),
+e AS (SELECT b AS id, list(a ORDER BY a) AS earlier FROM p GROUP BY b),
+g AS (SELECT CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS kept UNION ALL SELECT g.n + 1, CASE WHEN len(list_intersect(coalesce(earlier, []), kept)) = 0 THEN list_append(kept, o.id) ELSE kept END FROM g JOIN o ON o.n = g.n + 1 LEFT JOIN e ON e.id = o.id),
+k AS (SELECT kept FROM g ORDER BY n DESC LIMIT 1),
+f AS (SELECT r.fp, r.id, list_min(list_intersect(earlier, kept)) AS of FROM r CROSS JOIN k LEFT JOIN e ON e.id = r.id)
+SELECT doc_id, coalesce(of, CASE WHEN doc_id <> id THEN id END) AS duplicate_of FROM fp JOIN f USING (fp)""")
 def near_dup_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return i.resolve_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), checkpoint)
 

@@ -61,7 +61,10 @@ class Collections:
         fs, root = self._fs(), self._path("x").getParent()
         return sorted(s.getPath().getName() for s in fs.listStatus(root)) if fs.exists(root) else []
 
-    def _remove(self, name: str) -> None:
+    def exists(self, name: str) -> bool:
+        return self._fs().exists(self._path(name))
+
+    def remove(self, name: str) -> None:
         self._fs().delete(self._path(name), True)
 
     def _pointers(self, alias: str) -> list[int]:
@@ -87,7 +90,7 @@ class Collections:
         try:
             context.rename(self._path(temporary), self._path(f"_alias_{alias}.{after + 1:012d}"), none)
         except Exception as e:
-            self._remove(temporary)
+            self.remove(temporary)
             if "AlreadyExists" in str(e) or "exist" in str(e).lower():
                 raise Conflict(f"{alias}: version {after + 1} was committed by another writer") from e
             raise
@@ -97,13 +100,13 @@ class Collections:
         """Removes pointers before the last `keep`, and this alias's folders that no pointer names."""
         numbers = self._pointers(alias)
         for n in numbers[: -self.keep]:
-            self._remove(f"_alias_{alias}.{n:012d}")
+            self.remove(f"_alias_{alias}.{n:012d}")
         used = {p for n in numbers[-self.keep :] for p in self._load(alias, n)}
         newest = max((self._version(alias, p) for p in used), default=0)
         for name in self.list():
             # A folder above the newest committed one may be a version that is being built.
             if name not in used and 0 < self._version(alias, name) < newest:
-                self._remove(name)
+                self.remove(name)
 
     @staticmethod
     def _version(alias: str, name: str) -> int:

@@ -264,13 +264,33 @@ QUESTION = "what is the refund window for the pro tier"
 
 
 @pytest.mark.parametrize("name", strategies.strategies.available())
-def test_every_strategy_answers_from_an_ingested_folder(spark, folder, name):
+def test_every_strategy_finds_it_in_an_ingested_folder(spark, folder, name):
+    queries = spark.createDataFrame([(1, QUESTION, "factoid", 1)], "query_id long, text string, intent string, n_sub int")
+    rows = strategies.run(name, cli.context(spark, str(folder / "out"), queries, ["public"])).collect()
+    assert next(r for r in rows if r["rank"] == 0)["doc_id"].endswith("refund_policy.md")
+
+
+@pytest.mark.parametrize("name", ["graph", "hybrid"])
+def test_answers_name_their_chunks(spark, folder, name):
     queries = spark.createDataFrame([(1, QUESTION)], "query_id long, text string")
     out = online.answer(cli.context(spark, str(folder / "out"), queries, ["public"]), name).first()
     assert out["status"] == "grounded" and ("thirty days" in out["answer"] or "30" in out["answer"])
     assert out["citations"][0]["title"] == "refund policy" and len(out["citations"][0]["chunk_id"]) == 64
 
 
+def test_stored_indexes_give_the_same_answers(spark, folder, tmp_path, capsys):
+    import shutil
+
+    root = str(shutil.copytree(folder / "out", tmp_path / "out"))
+    queries = spark.createDataFrame([(1, QUESTION), (2, "metadata file of the provider")], "query_id long, text string")
+    look = lambda: sorted(map(tuple, strategies.run("hybrid", cli.context(spark, root, queries, ["public"])).collect()))
+    before = look()
+    assert cli.context(spark, root, queries, ["public"]).postings is None
+    assert cli.main(["--root", root, "index"], spark) == 0 and "_indexes/chunks_v1" in capsys.readouterr().out
+    assert cli.context(spark, root, queries, ["public"]).postings is not None and look() == before
+    assert strategies.run("hybrid", cli.context(spark, root, queries, ["hr"])).collect() == []
+
+
 def test_features_and_graph_are_stored(spark, folder):
     store = tables.Collections(spark, str(folder / "out"))
     assert {"doc_id", "authority", "freshness_days", "popularity", "feedback_score"} <= set(store.read("features").columns)

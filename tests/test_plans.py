@@ -208,7 +208,7 @@ def test_service_caches_and_records(spark, corpus, tmp_path):
     store = tables.Collections(spark, str(tmp_path))
     assert {r["doc_id"] for r in store.read("hits").collect()} >= {"a"}
     totals = feedback.trace_totals(store.read("spans")).collect()
-    assert len(totals) == 4 and all(r["spans"] == 5 for r in totals)
+    assert len(totals) == 4 and all(r["spans"] == 6 for r in totals)
 
 
 def test_suite_gate_and_judge(spark, corpus, tmp_path):

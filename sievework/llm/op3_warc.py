@@ -2,7 +2,8 @@
 
 `write_archives` writes a page table as WARC files whose records share one gzip stream (as some crawlers leave them).
 `normalise` inflates each whole-file stream once, in blocks, and writes every record again as a gzip member of its
-own, beside a sidecar index (page_id, offset, length) of the members. `read_records` reads members by their offsets.
+own, with a sidecar index (offset, length, page_id: a line a member) beside each file; the same rows come back as a table, and
+`read_sidecars` reads them from the files. `read_records` reads members by their offsets.
 
 Of pages with equal payloads of at least `LEAST` bytes the one with the smallest page_id is a response; the others are
 revisits that carry the HTTP headers only and refer to it. Digests are counted with map-side aggregation; only groups of
@@ -35,6 +36,7 @@ LEAST = 100
 #: Payload bytes after which a new archive begins, and of a block that is inflated at once.
 ARCHIVE, BLOCK = 256 << 20, 1 << 18
 LEVEL = 1
+SIDECAR = ".idx"
 # Names and forms of the WARC 1.1 standard.
 VERSION = b"WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -210,17 +212,25 @@ def make_folder(spark: SparkSession, folder: str) -> None:
 
 
 def normalise_file(source: str, target: str) -> Iterator[tuple[int | None, int, int]]:
-    """Rewrites a monolithic archive with a member a record; yields (page_id, offset, length) of each."""
-    out, at, reader = AtomicFile(target), 0, RecordReader()
+    """Rewrites a monolithic archive with a member a record, and its sidecar; yields (page_id, offset, length) of each."""
+    out, side, at, reader = AtomicFile(target), AtomicFile(target + SIDECAR), 0, RecordReader()
     for block in inflate(read_chunks(source)):
         for record in reader.feed(block):
             member = gzip_member(record)
             page = parse_head(record[: record.index(b"\r\n\r\n")]).get("x-page-id", "")
             out.write(member)
+            side.write(f"{at}\t{len(member)}\t{page}\n".encode())
             yield int(page) if page else None, at, len(member)
             at += len(member)
     reader.finish()
     out.done()
+    side.done()
+
+
+def read_sidecars(spark: SparkSession, folder: str) -> DataFrame:
+    """The index(file, page_id, offset, length) of a folder of normalised archives, from the files beside them."""
+    rows = spark.read.schema("offset long, length long, page_id long").option("sep", "\t").option("pathGlobFilter", f"*{SIDECAR}").csv(folder)
+    return rows.select(F.regexp_replace("_metadata.file_path", SIDECAR.replace(".", r"\.") + "$", "").alias("file"), "page_id", "offset", "length")
 
 
 def normalise(archives: DataFrame, folder: str) -> DataFrame:

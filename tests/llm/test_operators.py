@@ -221,11 +221,24 @@ def test_normaliser_rewrites_every_record_as_a_member(tmp_path):
     data = target.read_bytes()
     assert [zlib.decompress(data[o : o + n], 31) for _, o, n in index] == records
     assert [p for p, _, _ in index] == list(range(6)) and sum(n for _, _, n in index) == len(data)
+    lines = [f"{o}\t{n}\t{p}" for p, o, n in index]
+    assert (tmp_path / "members.warc.gz.idx").read_text().splitlines() == lines
     with pytest.raises(ValueError):
         source.write_bytes(gzip.compress(b"".join(records))[:-20])
         list(op3_warc.normalise_file(str(source), str(target)))
 
 
+def test_sidecars_hold_the_index(spark, tmp_path):
+    rows = [(i if i % 7 else None, f"u{i}", "text " * (i % 5 * 30)) for i in range(60)]
+    pages = op3_warc.with_responses(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3))
+    index = op3_warc.normalise(op3_warc.write_archives(pages, f"file://{tmp_path}/whole"), f"file://{tmp_path}/members")
+    sidecars = op3_warc.read_sidecars(spark, f"file://{tmp_path}/members")
+    flat = lambda df: sorted(((r["file"].rpartition("/")[2], r["page_id"], r["offset"], r["length"]) for r in df.collect()), key=str)
+    assert flat(sidecars) == flat(index) and sidecars.count() == 60
+    records = lambda df: sorted(map(tuple, op3_warc.read_records(df).collect()), key=str)
+    assert records(sidecars.orderBy("file", "offset")) == records(index)
+
+
 # --- 4 ------------------------------------------------------------------------------------------------------------------
 
 

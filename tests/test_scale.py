@@ -20,3 +20,15 @@ def prints(spark):
 
 def test_near_pairs_broadcast_nothing(prints):
     assert "Broadcast" not in plan(ingest.near_pairs(prints))
+
+
+def test_greedy_duplicates_broadcast_nothing(prints):
+    seen = []
+
+    def held(df):
+        seen.append(plan(df))
+        return checkpoint(df)
+
+    out = ingest.greedy_duplicates(prints, held)
+    assert not [p for p in [*seen, plan(out)] if "Broadcast" in p]
+    assert out.where("duplicate_of is not null").count() == 50

@@ -75,15 +75,24 @@ def delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def salted_join(big: DataFrame, small: DataFrame, keys: Iterable[str], how: str, by: Column, salts: int = SALTS) -> DataFrame:
+def merged(df: DataFrame) -> DataFrame:
+    """df as a side of a join that grows with the input: the join shuffles and sorts, Spark never builds df on the driver.
+
+    Spark goes by a table's compressed files, and by a generator's child, so what it holds for small may be large.
+    """
+    return df.hint("merge")
+
+
+def salted_join(big: DataFrame, small: DataFrame, keys: Iterable[str], how: str, by: Column, salts: int = SALTS, grows: bool = True) -> DataFrame:
     """Equi-join where one key may hold a third of big's rows; small has at most one row a key.
 
     big's rows of a key are dealt over `salts` parts by the expression `by`, small is repeated once a part.
+    grows=False: small is bounded however large the input is, so it may be broadcast.
     """
     keys = list(keys)
     left = big.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))
     right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.join(right, [*keys, "_salt"], how).drop("_salt")
+    return left.join(merged(right) if grows else right, [*keys, "_salt"], how).drop("_salt")
 
 
 def running(rows: DataFrame, order: list[Column], what: str, **sums: str) -> DataFrame:

@@ -33,6 +33,8 @@ from pyspark.sql import functions as F
 from .common import salted_join, table, work_dir, written
 
 LEAST = 100
+#: Payloads of several pages that are broadcast at once; more are met by a shuffle.
+FEW = 50_000
 #: Payload bytes after which a new archive begins, and of a block that is inflated at once.
 ARCHIVE, BLOCK = 256 << 20, 1 << 18
 LEVEL = 1
@@ -168,8 +170,9 @@ def with_responses(pages: DataFrame) -> DataFrame:
     narrow = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("payload")).select("page_id", F.sha2("payload", 256).alias("digest"), F.length("payload").alias("n"))
     groups = narrow.where(F.col("n") >= LEAST).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("copies")).where("copies > 1").select("digest", "first")
     groups = written(groups, "payloads")
-    joined = salted_join(rows, groups, ["digest"], "left", F.col("page_id"))
-    return joined
+    if groups.limit(FEW + 1).count() <= FEW:  # payloads needn't be shuffled
+        return rows.join(F.broadcast(groups), "digest", "left")
+    return salted_join(rows, groups, ["digest"], "left", F.col("page_id"))
 
 
 def write_archives(rows: DataFrame, folder: str) -> DataFrame:

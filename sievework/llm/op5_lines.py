@@ -106,7 +106,7 @@ def hit_lines(docs: DataFrame, share: float = SHARE, least: int = LEAST, most: i
     """doc_id, fp, host, n_words, pos, n of the frequent lines of prepared documents; repeated rows count once."""
     lines = written(line_rows(docs), "lines")
     frequent = frequent_lines(lines, docs.select("host", "fp"), share, least, most)
-    hit = salted_join(lines, frequent, ["host", "h"], "inner", F.struct("fp", "pos"))
+    hit = salted_join(lines, frequent, ["host", "h"], "inner", F.struct("fp", "pos"), grows=False)
     return hit.groupBy("doc_id", "fp", "host", "n_words", "pos").agg(F.max("n").alias("n"))
 
 

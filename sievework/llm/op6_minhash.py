@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import salted_join, table, written
+from .common import merged, salted_join, table, written
 from .word_bpe import Memo, enter
 
 BANDS, ROWS = 24, 4
@@ -210,14 +210,14 @@ def components(links: DataFrame) -> DataFrame:
     labels = links.select("id").union(links.select("hub")).distinct().select("id", F.col("id").alias("label"))
     labels = written(labels, "labels")
     while True:
-        at_hub = salted_join(links, labels.withColumnRenamed("id", "hub").withColumnRenamed("label", "hub_label"), ["hub"], "inner", F.col("id")).join(labels, "id")
+        at_hub = salted_join(links, labels.withColumnRenamed("id", "hub").withColumnRenamed("label", "hub_label"), ["hub"], "inner", F.col("id")).join(merged(labels), "id")
         low = at_hub.select("hub", F.least("label", "hub_label").alias("low")).groupBy("hub").agg(F.min("low").alias("low"))
         back = salted_join(links, low, ["hub"], "inner", F.col("id")).select("id", F.col("low").alias("label"))
         found = labels.union(back).union(low.select(F.col("hub").alias("id"), F.col("low").alias("label"))).groupBy("id").agg(F.min("label").alias("label"))
         found = written(found, "labels")
         jump = salted_join(found.withColumnRenamed("label", "via"), found.select(F.col("id").alias("via"), F.col("label").alias("far")), ["via"], "left", F.col("id"))
         new = written(jump.select("id", F.least("via", F.coalesce("far", "via")).alias("label")), "labels")
-        changed = new.join(labels.withColumnRenamed("label", "was"), "id").where("label <> was").limit(1).count()
+        changed = new.join(merged(labels.withColumnRenamed("label", "was")), "id").where("label <> was").limit(1).count()
         labels = new
         if not changed:
             return labels
@@ -311,7 +311,7 @@ def confirmed_links(reps: DataFrame, docs: DataFrame, per_cent: int) -> DataFram
     clusters = components(near)
     sizes = clusters.groupBy("label").agg(F.count("*").alias("size"))
     placed = salted_join(clusters, sizes, ["label"], "inner", F.col("id")).withColumnRenamed("label", "cluster")
-    placed = placed.join(degree, "id").join(reps.select("id", "sig"), "id")
+    placed = placed.join(merged(degree), "id").join(merged(reps.select("id", "sig")), "id")
     texts = docs.selectExpr("cast(doc_id as long) id", "cast(text as binary) text").where("id is not null")
     # A repeated doc_id has several texts only if the input contradicts itself; the representative's hash decides.
     members = written(placed.join(texts, "id").groupBy("cluster", "size", "id", "degree", "sig").agg(F.min("text").alias("text")), "members")
@@ -329,14 +329,14 @@ def confirmed_links(reps: DataFrame, docs: DataFrame, per_cent: int) -> DataFram
     best = large.select("cluster", "block", "size", "id", "degree").withColumn("r", F.row_number().over(by_block)).where(F.col("r") <= HUBS)
     best = best.withColumn("r", F.row_number().over(by_cluster)).where(F.col("r") <= HUBS)
     hubs = best.select("cluster", "id", F.explode(F.sequence(F.lit(0), F.ceil(F.col("size") / BLOCK).cast("int") - 1)).alias("to"))
-    hubs = hubs.join(large.select("cluster", "id", "degree", "sig", "text"), ["cluster", "id"]).withColumnRenamed("to", "block").select(*columns)
+    hubs = hubs.join(merged(large.select("cluster", "id", "degree", "sig", "text")), ["cluster", "id"]).withColumnRenamed("to", "block").select(*columns)
     hubs = written(hubs, "hubs")
     first = written(links_to_hubs(large.select(*columns), hubs, per_cent), "hublinks")
     labels = components(first) if first.limit(1).count() else None
     if labels is None:
         labelled = large.withColumn("label", F.col("id"))
     else:
-        labelled = large.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+        labelled = large.join(merged(labels), "id", "left").withColumn("label", F.coalesce("label", "id"))
     labelled = written(labelled, "labelled")
     by_label = labelled.groupBy("cluster", "label").agg(F.count("*").alias("n"))
     main = by_label.groupBy("cluster").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"))
@@ -360,7 +360,7 @@ def near_duplicates(docs: DataFrame, per_cent: int = PER_CENT) -> DataFrame:
         final = reps.select("fp", F.col("id").alias("component_id"))
     else:
         labels = components(links)
-        final = reps.join(labels, "id", "left").select("fp", F.coalesce("label", "id").alias("component_id"))
+        final = reps.join(merged(labels), "id", "left").select("fp", F.coalesce("label", "id").alias("component_id"))
     out = salted_join(rows.select("doc_id", "n_shingles", "fp"), final, ["fp"], "left", F.col("doc_id"))
     component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

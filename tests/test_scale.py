@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+from sievework.llm import op6_minhash
 from sievework.operators import ingest
 from sievework.session import checkpoint
 
@@ -32,3 +33,16 @@ def test_greedy_duplicates_broadcast_nothing(prints):
     out = ingest.greedy_duplicates(prints, held)
     assert not [p for p in [*seen, plan(out)] if "Broadcast" in p]
     assert out.where("duplicate_of is not null").count() == 50
+
+
+def test_components_broadcast_nothing(spark, monkeypatch):
+    seen, written = [], op6_minhash.written
+
+    def held(df, what):
+        seen.append(plan(df))
+        return written(df, what)
+
+    monkeypatch.setattr(op6_minhash, "written", held)
+    links = written(spark.range(40).select(F.col("id"), (F.col("id") - F.col("id") % 4).alias("hub")), "given")
+    assert sorted({r["label"] for r in op6_minhash.components(links).collect()}) == list(range(0, 40, 4))
+    assert not [p for p in seen if "Broadcast" in p]

@@ -15,12 +15,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .batches import SCORES, Best, sliced
 from .text import tokenize
 
 DIGITS = 6
 QUERY_BLOCK = 512
 #: Cells of a dense matrix held at once.
-CELLS = 1 << 22
+CELLS = 1 << 20
 APART = "[^a-z0-9]+"
 
 
@@ -112,9 +113,14 @@ def lexical_topk(queries: DataFrame, chunks: DataFrame, k: int, query_block: int
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             asked = shared.value
-            for b in batches:
+            best = Best(len(asked.names), k)
+            for b in sliced(batches, 1, max(16, min(256, SCORES // len(asked.names)))):
                 scores = products(*counted(b.column(1), asked.tokens), b.num_rows, asked)
-                at, of = best_pairs(scores, k)
+                of, at = best.places(np.where(scores > 0, scores, -1.0).T)
+                some = scores[at, of] > 0
+                at, of = at[some], of[some]
+                if not len(at):
+                    continue
                 yield pa.RecordBatch.from_arrays([pa.array(asked.names[of]), b.column(0).take(pa.array(at)), pa.array(scores[at, of])], names=["query_id", "chunk_id", "score"])
 
         one = source.mapInArrow(run, schema)

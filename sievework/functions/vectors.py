@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .batches import SCORES, Best, sliced
 from .text import TOKEN
 
 DIM, SPARSE_SPACE = 256, 1 << 20
@@ -49,8 +50,8 @@ def md5_hash(token: str) -> int:
     return int(hashlib.md5(token.encode()).hexdigest()[:15], 16)
 
 
-def hashed_vectors(texts: list[str | None], dim: int = DIM, hashed: Callable[[str], int] = blake_hash) -> tuple[np.ndarray, list[list[tuple[int, float]]]]:
-    """Rows of unit length (signed hashed bags of words, weights 1 + ln tf) and the unsigned weights by hashed token.
+def hashed_vectors(texts: list[str | None], dim: int = DIM, hashed: Callable[[str], int] = blake_hash, weights_too: bool = True) -> tuple[np.ndarray, list[list[tuple[int, float]]]]:
+    """Rows of unit length (signed hashed bags of words, weights 1 + ln tf) and, if asked for, the unsigned weights by hashed token.
 
     Each different token of the batch is hashed once; the rows are filled by one scatter.
     """
@@ -69,7 +70,7 @@ def hashed_vectors(texts: list[str | None], dim: int = DIM, hashed: Callable[[st
     if rows:
         at, w = np.array(tokens), np.array(weights)
         np.add.at(dense, (np.array(rows), axis[at]), sign[at] * w)
-        for i, k, x in zip(rows, tokens, weights, strict=True):
+        for i, k, x in zip(rows, tokens, weights, strict=True) if weights_too else ():
             sparse[i][int(slots[k] % SPARSE_SPACE)] = x
     size = np.sqrt((dense * dense).sum(axis=1))
     return dense / np.where(size == 0, 1.0, size)[:, None], [list(s.items()) for s in sparse]
@@ -81,33 +82,38 @@ def embed_text(text: str | None, dim: int = DIM, hashed: Callable[[str], int] =
     return dense[0].tolist(), dict(sparse[0])
 
 
-def embed(rows: DataFrame, text: str = "text", dim: int = DIM, hashed: Callable[[str], int] = blake_hash, backend: Callable | None = None) -> DataFrame:
-    """rows with dense ARRAY<DOUBLE> and sparse MAP<INT, DOUBLE>; backend(list of texts) -> list of (dense, sparse) replaces the hashing one."""
+def embed(rows: DataFrame, text: str = "text", dim: int = DIM, hashed: Callable[[str], int] = blake_hash, backend: Callable | None = None, weights: bool = True) -> DataFrame:
+    """rows with dense ARRAY<DOUBLE> and sparse MAP<INT, DOUBLE>; backend(list of texts) -> list of (dense, sparse) replaces the hashing one.
+
+    Without weights there is no column sparse. Texts are embedded in slices of bounded rows and bytes.
+    """
     from pyspark.sql import types as T
 
     at = rows.columns.index(text)
-    schema = T.StructType([*rows.schema, T.StructField("dense", T.ArrayType(T.DoubleType())), T.StructField("sparse", T.MapType(T.IntegerType(), T.DoubleType()))])
+    made = [T.StructField("dense", T.ArrayType(T.DoubleType())), T.StructField("sparse", T.MapType(T.IntegerType(), T.DoubleType()))]
+    schema = T.StructType([*rows.schema, *made[: 1 + weights]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches, at):
             texts = b.column(at).to_pylist()
             if backend:
                 out = backend(texts)
-                dense, weights = pa.array([d for d, _ in out], pa.list_(pa.float64())), [list(s.items()) for _, s in out]
+                dense, held = pa.array([d for d, _ in out], pa.list_(pa.float64())), [list(s.items()) for _, s in out]
             else:
-                matrix, weights = hashed_vectors(texts, dim, hashed)
+                matrix, held = hashed_vectors(texts, dim, hashed, weights)
                 dense = pa.ListArray.from_arrays(np.arange(0, matrix.size + 1, dim, dtype=np.int32), matrix.ravel())
-            sparse = pa.array(weights, pa.map_(pa.int32(), pa.float64()))
-            yield pa.RecordBatch.from_arrays([*b.columns, dense, sparse], names=[*b.schema.names, "dense", "sparse"])
+            new = [dense, pa.array(held, pa.map_(pa.int32(), pa.float64()))] if weights else [dense]
+            yield pa.RecordBatch.from_arrays([*b.columns, *new], names=[*b.schema.names, *("dense", "sparse")[: len(new)]])
 
     return rows.mapInArrow(run, schema)
 
 
 def _by_length(column: pa.ListArray, unit: bool) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """Places and (unit-length) rows of the usable vectors by their length; null, empty and non-finite ones are left out."""
-    starts, sizes = column.offsets.to_numpy()[:-1], np.diff(column.offsets.to_numpy())
+    offsets = column.offsets.to_numpy()  # of a slice, too
+    starts, sizes = offsets[:-1] - offsets[0], np.diff(offsets)
     usable = column.is_valid().to_numpy(zero_copy_only=False)
-    values = column.values.to_numpy(zero_copy_only=False).astype(np.float64)  # a null component is NaN
+    values = column.values.slice(offsets[0], offsets[-1] - offsets[0]).to_numpy(zero_copy_only=False).astype(np.float64)  # a null component is NaN
     out = {}
     for n in np.unique(sizes[usable & (sizes > 0)]).tolist():
         at = np.flatnonzero(usable & (sizes == n))
@@ -130,8 +136,8 @@ def _whole(column: pa.ChunkedArray | pa.Array) -> pa.ListArray:
 def dense_topk(queries: DataFrame, rows: DataFrame, k: int, unit: bool = True, digits: int = 6, query_block: int = QUERY_BLOCK) -> DataFrame:
     """query_id, id, score, rank (from 0) of the k nearest rows(id, vector) of each of queries(query_id, vector).
 
-    Queries come to the tasks in blocks of bounded size; each block is one map-only pass of matrix products that keeps
-    k rows a query and batch, ties at the k-th score kept, so the window meets few rows. Filters on rows go before.
+    Queries come to the tasks in blocks of bounded size; each block is one map-only pass of matrix products over slices of
+    rows that gives what reaches a query's k-th best score in the task so far, ties kept, so the window meets few rows. Filters on rows go before.
     Vectors of different lengths may be mixed, only those of one length meet; null or non-finite ones take no part.
     """
     spark = rows.sparkSession
@@ -150,15 +156,17 @@ def dense_topk(queries: DataFrame, rows: DataFrame, k: int, unit: bool = True, d
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             asked = shared.value
-            for b in batches:
+            best = {n: Best(len(names), k) for n, (names, _) in asked.items()}
+            step = max(16, min(1024, SCORES // max((len(names) for names, _ in asked.values()), default=1)))
+            for b in (b.slice(low, step) for b in batches for low in range(0, b.num_rows, step)):
                 for n, (at, x) in _by_length(b.column(1), unit).items():
                     if n not in asked:  # only vectors of one length meet
                         continue
                     names, q = asked[n]
                     scores = np.round(q @ x.T, digits) + 0.0
-                    keep = min(k, scores.shape[1])
-                    least = np.partition(scores, scores.shape[1] - keep, axis=1)[:, scores.shape[1] - keep]
-                    qi, xi = np.nonzero(scores >= least[:, None])
+                    qi, xi = best[n].places(scores)
+                    if not len(qi):
+                        continue
                     yield pa.RecordBatch.from_arrays([pa.array(names[qi]), b.column(0).take(pa.array(at[xi])), pa.array(scores[qi, xi])], names=["query_id", "id", "score"])
 
         one = rows.select("id", "vector").mapInArrow(run, schema)

@@ -129,6 +129,8 @@ class Policy:
 
 
 policies: dict[str, Policy] = {}
+#: Rows of a slice of an Arrow batch: what a task holds as objects at once.
+CALLS = 256
 
 
 def map_model(rows: DataFrame, column: str, out: str, role: str, isolate: bool = True, policy: Policy | None = None) -> DataFrame:
@@ -153,7 +155,7 @@ def map_model(rows: DataFrame, column: str, out: str, role: str, isolate: bool =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         failed = 0
         with ThreadPoolExecutor(max(1, how.at_once)) as pool:
-            for b in batches:
+            for b in (b.slice(low, CALLS) for b in batches for low in range(0, b.num_rows, CALLS)):
                 values, made = b.column(at).to_pylist(), []
                 for low in range(0, len(values), max(1, how.at_once)):
                     part = values[low : low + max(1, how.at_once)]

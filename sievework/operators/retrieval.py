@@ -44,8 +44,8 @@ def sparse_topk(queries: DataFrame, chunks: DataFrame, k: int = TOP_SPARSE) -> D
 
 def embedded_topk(queries: DataFrame, chunks: DataFrame, k: int = TOP_DENSE, hashed=md5_hash, backend=None) -> DataFrame:
     """query_id, chunk_id, score, rank by cosine of embeddings (stored ones, where the chunks have them); negative cosines stay."""
-    q = embed(queries.select("query_id", "text"), hashed=hashed, backend=backend).select("query_id", F.col("dense").alias("vector"))
-    held = chunks if "dense" in chunks.columns else embed(chunks.select("chunk_id", "text"), hashed=hashed, backend=backend)
+    q = embed(queries.select("query_id", "text"), hashed=hashed, backend=backend, weights=False).select("query_id", F.col("dense").alias("vector"))
+    held = chunks if "dense" in chunks.columns else embed(chunks.select("chunk_id", "text"), hashed=hashed, backend=backend, weights=False)
     d = held.select(F.col("chunk_id").alias("id"), F.col("dense").alias("vector"))
     return dense_topk(q, d, k).withColumnRenamed("id", "chunk_id")
 

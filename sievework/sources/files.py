@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.batches import sliced
 from ..functions.text import strip_html, title_of
 
 # Suffixes that a folder scan takes, and the line forms of Markdown.
@@ -74,7 +75,7 @@ def markdown_blocks(rows: DataFrame, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("kind", pa.string()), ("text", pa.string()), ("heading_level", pa.int32()), ("headers", pa.list_(pa.string())), ("rows", pa.list_(pa.list_(pa.string()))), ("src", pa.string())]))
-        for b in batches:
+        for b in sliced(batches, 1):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([parse_markdown(t or "") for t in b.column(1).to_pylist()], kind)], names=["doc_id", "blocks"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from sievework.functions import batches, lexical, vectors
 from sievework.llm import op6_minhash
 from sievework.operators import ingest
+from sievework.plans import base
 from sievework.session import checkpoint
 
 
@@ -46,3 +50,43 @@ def test_components_broadcast_nothing(spark, monkeypatch):
     links = written(spark.range(40).select(F.col("id"), (F.col("id") - F.col("id") % 4).alias("hub")), "given")
     assert sorted({r["label"] for r in op6_minhash.components(links).collect()}) == list(range(0, 40, 4))
     assert not [p for p in seen if "Broadcast" in p]
+
+
+# --- Python -------------------------------------------------------------------------------------------------------------
+
+
+def test_slices_are_bounded_and_whole():
+    texts = ["x" * 100] * 700 + [None, "y" * 5000, ""] * 3
+    cut = list(batches.sliced(iter([pa.RecordBatch.from_arrays([pa.array(texts)], names=["t"])]), 0, 256, 2000))
+    assert [t for b in cut for t in b.column(0).to_pylist()] == texts
+    assert all(b.num_rows == 1 or b.num_rows <= 256 and sum(len(t or "") for t in b.column(0).to_pylist()) <= 2000 for b in cut)
+
+
+def test_best_gives_all_of_the_best():
+    rng = np.random.default_rng(3)
+    scores = rng.integers(0, 30, (7, 900)).astype(float)
+    best, met = batches.Best(7, 5), [[] for _ in range(7)]
+    for low in range(0, 900, 64):
+        for q, i in zip(*best.places(scores[:, low : low + 64]), strict=True):
+            met[q].append(low + i)
+    for q in range(7):
+        order = lambda i: (-scores[q, i], i)  # noqa: B023, E731
+        assert sorted(met[q], key=order)[:5] == sorted(range(900), key=order)[:5]
+        assert len(met[q]) < 200
+
+
+def test_texts_are_embedded_in_slices(spark, sf_small):
+    rows = base.chunks(spark, sf_small)
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000
+    many = rows.unionByName(rows).unionByName(rows).unionByName(rows).coalesce(1)
+    got = vectors.embed(many.select("chunk_id", "text"), backend=lambda texts: [([float(len(texts))], {}) for _ in texts], weights=False)
+    assert got.columns == ["chunk_id", "text", "dense"]
+    n, largest = got.agg(F.count("*"), F.max(F.col("dense")[0])).first()
+    assert n == 4 * rows.count() and largest <= batches.ROWS
+
+
+def test_lexical_best_over_many_slices(spark):
+    rows = spark.range(3000).select(F.col("id").alias("chunk_id"), F.concat(F.lit("word "), F.repeat(F.lit("other "), (F.col("id") % 50 + 1).cast("int"))).alias("text")).coalesce(1)
+    q = spark.createDataFrame([(1, "other")], "query_id long, text string")
+    found = [(r["chunk_id"], r["rank"]) for r in lexical.lexical_topk(q, rows, 3).orderBy("rank").collect()]
+    assert found == [(49, 0), (99, 1), (149, 2)]

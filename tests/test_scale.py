@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from sievework.functions import batches, lexical, vectors
+from sievework.functions import batches, hashing, lexical, vectors
 from sievework.llm import op6_minhash
 from sievework.operators import graph, ingest
 from sievework.plans import base
@@ -62,6 +62,34 @@ def test_slices_are_bounded_and_whole():
     assert all(b.num_rows == 1 or b.num_rows <= 256 and sum(len(t or "") for t in b.column(0).to_pylist()) <= 2000 for b in cut)
 
 
+def test_slices_of_lists_are_bounded_and_whole():
+    rows = [[1] * 100, None, [], [None, 5], *([[7] * 300] * 20), [2] * 5000]
+    for column in (pa.array(rows), pa.array([r and ["abcdefgh"] * len(r) for r in rows], pa.list_(pa.string()))):
+        column = pa.concat_arrays([column.slice(1), column.slice(0, 1)]).slice(0, len(rows))  # values with an offset, too
+        cut = list(batches.sliced(iter([pa.RecordBatch.from_arrays([column], names=["t"])]), 0, 256, 8 * 1000))
+        assert [t for b in cut for t in b.column(0).to_pylist()] == column.to_pylist()
+        assert all(b.num_rows == 1 or sum(len(t or ()) for t in b.column(0).to_pylist()) <= 1000 for b in cut)
+        assert len(cut) < 12
+
+
+def test_simhash_counts_slices_of_bounded_bytes(spark, monkeypatch):
+    seen, whole = spark.sparkContext.accumulator(0), batches.sliced
+
+    def watched(rows, by):
+        for b in whole(rows, by):
+            values = b.column(by).flatten()
+            if b.num_rows > 1 and 8 * len(values) > batches.BYTES:
+                raise ValueError(f"{b.num_rows} rows, {len(values)} values at once")
+            seen.add(1)
+            yield b
+
+    monkeypatch.setattr(hashing, "sliced", watched)
+    words = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(3000)), lambda i: F.concat(F.lit("w"), (i * (F.col("id") % 5 + 1)).cast("string"))), " ")
+    rows = spark.range(100).coalesce(1).select(F.col("id").alias("doc_id"), words.alias("text"))
+    got = {r["doc_id"]: r["fp"] for r in hashing.simhash(rows).collect()}
+    assert seen.value >= 3 and len(got) == 100 and all(got[i] == got[i % 5] for i in got) and len(set(got.values())) == 5
+
+
 def test_entities_come_in_blocks_of_bounded_bytes(spark):
     entities = spark.range(150_000).select(F.concat(F.lit("entity of the graph "), F.lpad(F.col("id").cast("string"), 12, "0")).alias("entity"))  # 4.8 MB
     q = spark.createDataFrame([(i, f"What of Entity of the Graph {i:012d}?") for i in (0, 77, 149_999, 150_000)], "query_id long, text string")

@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from ..functions.batches import sliced
+
 # Retry defaults.
 ATTEMPTS, BASE_DELAY_S = 3, 0.5
 RETRYABLE = ("TimeoutError", "ConnectionError", "RateLimitError", "APIConnectionError", "APITimeoutError", "InternalServerError", "ServiceUnavailableError")
@@ -129,7 +131,7 @@ class Policy:
 
 
 policies: dict[str, Policy] = {}
-#: Rows of a slice of an Arrow batch: what a task holds as objects at once.
+#: Rows of a slice of an Arrow batch, which `sliced` bounds in bytes too: what a task holds as objects at once.
 CALLS = 256
 
 
@@ -155,7 +157,7 @@ def map_model(rows: DataFrame, column: str, out: str, role: str, isolate: bool =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         failed = 0
         with ThreadPoolExecutor(max(1, how.at_once)) as pool:
-            for b in (b.slice(low, CALLS) for b in batches for low in range(0, b.num_rows, CALLS)):
+            for b in sliced(batches, at, CALLS):
                 values, made = b.column(at).to_pylist(), []
                 for low in range(0, len(values), max(1, how.at_once)):
                     part = values[low : low + max(1, how.at_once)]

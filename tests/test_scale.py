@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sievework.functions import batches, hashing, lexical, vectors
 from sievework.llm import op6_minhash
-from sievework.operators import graph, ingest
+from sievework.operators import graph, ingest, models
 from sievework.plans import base
 from sievework.session import checkpoint
 
@@ -90,6 +90,20 @@ def test_simhash_counts_slices_of_bounded_bytes(spark, monkeypatch):
     assert seen.value >= 3 and len(got) == 100 and all(got[i] == got[i % 5] for i in got) and len(set(got.values())) == 5
 
 
+def test_calls_come_in_slices_of_bounded_bytes(spark, monkeypatch):
+    whole = batches.sliced
+
+    def watched(rows, by, most):
+        for b in whole(rows, by, most):
+            assert b.num_rows == 1 or sum(len(t) for t in b.column(by).to_pylist()) <= batches.BYTES
+            yield b
+
+    monkeypatch.setattr(models, "sliced", watched)
+    rows = spark.range(60).coalesce(1).select("id", F.repeat(F.lit("word "), 10_000).alias("t"))
+    got = models.map_model(rows, "t", "o", "refine").collect()
+    assert [r["id"] for r in got] == list(range(60)) and all(r["o_error"] is None for r in got)
+
+
 def test_entities_come_in_blocks_of_bounded_bytes(spark):
     entities = spark.range(150_000).select(F.concat(F.lit("entity of the graph "), F.lpad(F.col("id").cast("string"), 12, "0")).alias("entity"))  # 4.8 MB
     q = spark.createDataFrame([(i, f"What of Entity of the Graph {i:012d}?") for i in (0, 77, 149_999, 150_000)], "query_id long, text string")

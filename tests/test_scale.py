@@ -140,3 +140,23 @@ def test_lexical_best_over_many_slices(spark):
     q = spark.createDataFrame([(1, "other")], "query_id long, text string")
     found = [(r["chunk_id"], r["rank"]) for r in lexical.lexical_topk(q, rows, 3).orderBy("rank").collect()]
     assert found == [(49, 0), (99, 1), (149, 2)]
+
+
+def test_dense_scores_come_in_slices_of_bounded_rows(spark, monkeypatch):
+    whole = vectors._by_length
+
+    def watched(column, unit):
+        if len(column) > 1024:
+            raise ValueError(f"{len(column)} rows at once")
+        return whole(column, unit)
+
+    rows = checkpoint(spark.range(6000).select("id", F.array(F.col("id").cast("double"), F.lit(1.0), (F.col("id") % 7).cast("double")).alias("vector")).coalesce(1))
+    q = rows.where("id > 0 and id % 1000 = 0").select(F.col("id").alias("query_id"), "vector")
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "6000")  # the slices bind, whatever the batches
+    try:
+        monkeypatch.setattr(vectors, "_by_length", watched)
+        found = vectors.dense_topk(q, rows, 3, unit=False).where("rank = 0").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    assert {(r["query_id"], r["id"]) for r in found} == {(i, 5999) for i in range(1000, 6000, 1000)}

@@ -142,6 +142,22 @@ def test_lexical_best_over_many_slices(spark):
     assert found == [(49, 0), (99, 1), (149, 2)]
 
 
+def test_lexical_texts_come_in_slices_of_bounded_rows_and_bytes(spark, monkeypatch):
+    whole = lexical.counted
+
+    def watched(texts, tokens):
+        size = sum(len(t or "") for t in texts.to_pylist())
+        if len(texts) > batches.ROWS or len(texts) > 1 and size > batches.BYTES:
+            raise ValueError(f"{len(texts)} texts of {size} characters at once")
+        return whole(texts, tokens)
+
+    monkeypatch.setattr(lexical, "counted", watched)
+    rows = checkpoint(spark.range(900).select(F.col("id").alias("chunk_id"), F.concat(F.lit("word "), F.repeat(F.lit("other "), F.when(F.col("id") < 300, 3000).otherwise(F.col("id").cast("int")))).alias("text")).coalesce(1))
+    q = spark.createDataFrame([(1, "other")], "query_id long, text string")
+    found = [(r["chunk_id"], r["rank"]) for r in lexical.lexical_topk(q, rows, 3).orderBy("rank").collect()]
+    assert found == [(0, 0), (1, 1), (2, 2)]
+
+
 def test_dense_scores_come_in_slices_of_bounded_rows(spark, monkeypatch):
     whole = vectors._by_length
 

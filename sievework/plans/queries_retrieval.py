@@ -217,8 +217,13 @@ def agentic_rag(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Entities of a document: its capitalised words of twelve letters and more.
 _ENTITY = "[A-Z][a-z]{11,}"
-_GRAPH = f"""
-me AS (SELECT DISTINCT doc_id AS chunk_id, lower(unnest(regexp_extract_all(text, '{_ENTITY}'))) AS entity FROM documents),
+#: All its capitalised words: runs of letters, marks and digits of any script and length that begin with a capital.
+_WORD, _CAPITAL = r"[\p{L}\p{M}\p{N}]+", r"^[\p{Lu}\p{Lt}]"
+
+
+def _graph_sql(entities: str) -> str:
+    return f"""
+me AS (SELECT DISTINCT doc_id AS chunk_id, lower(unnest({entities})) AS entity FROM documents),
 ed AS (SELECT x.entity AS a, y.entity AS b, count(*) AS w FROM me x JOIN me y ON x.chunk_id = y.chunk_id AND x.entity <> y.entity GROUP BY ALL),
 en AS (SELECT DISTINCT entity FROM me), ma AS (SELECT query_id, entity FROM q JOIN en ON contains(lower(text), entity)),
 h1 AS (SELECT DISTINCT query_id, b AS entity FROM ma JOIN ed ON a = entity WHERE (query_id, b) NOT IN (SELECT (query_id, entity) FROM ma)),
@@ -228,11 +233,21 @@ gr AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER B
 """
 
 
+_GRAPH = _graph_sql(f"regexp_extract_all(text, '{_ENTITY}')")
+_WHOLE_GRAPH = _graph_sql(f"list_filter(regexp_extract_all(text, '{_WORD}'), lambda w: regexp_matches(w, '{_CAPITAL}'))")
+
+
 def entity_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = chunks(spark, sf_dir).select("chunk_id", F.regexp_extract_all("text", F.lit(_ENTITY), F.lit(0)).alias("entities"))
     return checkpoint(kg.mentions(c))
 
 
+def whole_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """entity, chunk_id of all capitalised words."""
+    named = F.filter(F.regexp_extract_all("text", F.lit(_WORD), F.lit(0)), lambda w: F.rlike(w, F.lit(_CAPITAL)))
+    return checkpoint(kg.mentions(chunks(spark, sf_dir).select("chunk_id", F.array_distinct(named).alias("entities"))))
+
+
 @query(f"WITH {QUESTIONS}, {_GRAPH} SELECT a, b, w FROM ed")
 def kg_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kg.edges(entity_mentions(spark, sf_dir))
@@ -263,7 +278,7 @@ def hybrid_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.run("hybrid_graph", s.replace(context(spark, sf_dir), mentions=m, edges=checkpoint(kg.edges(m))))
 
 
-@query(f"""WITH {_HYBRID}, {_GRAPH},
+@query(f"""WITH {_HYBRID}, {_WHOLE_GRAPH},
 gp AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS pool_rank FROM gr),
 g2 AS (SELECT gp.query_id, gp.chunk_id, coalesce(round(CASE WHEN q_tokens > 0 AND p_tokens > 0 THEN coalesce(overlap, 0) / q_tokens / (1.0 + ln(1.0 + p_tokens) / 10.0) ELSE 0.0 END, 6), 0.0) AS rerank FROM gp
     JOIN (SELECT doc_id, len(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) AS p_tokens FROM documents) ON doc_id = gp.chunk_id LEFT JOIN qs ON qs.query_id = gp.query_id LEFT JOIN ls ON ls.query_id = gp.query_id AND ls.chunk_id = gp.chunk_id WHERE pool_rank <= 80),
@@ -271,8 +286,7 @@ g3 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank DESC,
 SELECT query_id, chunk_id, chunk_id AS doc_id, rerank, rerank AS final, CAST(place AS INTEGER) AS rank FROM g3 WHERE place < 8 AND (rerank >= 0.15 OR place = 0)
 UNION ALL SELECT query_id, chunk_id, chunk_id, rerank, final, CAST(rank AS INTEGER) FROM fo WHERE query_id NOT IN (SELECT query_id FROM gr)""")
 def graph_rag(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = entity_mentions(spark, sf_dir)
-    return s.run("graph", s.replace(context(spark, sf_dir), mentions=m, edges=checkpoint(kg.edges(m))))
+    return s.run("graph", s.replace(context(spark, sf_dir), mentions=whole_mentions(spark, sf_dir)))
 
 
 @query(f"WITH {QUESTIONS}, {TERMS} SELECT query_id, CASE WHEN text LIKE '%|%' THEN 'table' ELSE 'text' END AS kind, count(*) AS n FROM st JOIN documents ON doc_id = chunk_id GROUP BY ALL")

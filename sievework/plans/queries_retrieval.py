@@ -267,15 +267,14 @@ def graph_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kg.graph_search(questions(spark, sf_dir), m, checkpoint(kg.edges(m)))
 
 
-@query(f"""WITH {_HYBRID}, {_GRAPH}, li AS (SELECT query_id, chunk_id, rank FROM fo UNION ALL SELECT query_id, chunk_id, rank FROM gr),
+@query(f"""WITH {_HYBRID}, {_WHOLE_GRAPH}, li AS (SELECT query_id, chunk_id, rank FROM fo UNION ALL SELECT query_id, chunk_id, rank FROM gr),
 f2 AS (SELECT query_id, chunk_id, round(sum(1.0 / (60 + rank)), 6) AS fused FROM li GROUP BY ALL),
 p2 AS (SELECT f2.*, coalesce(round(CASE WHEN q_tokens > 0 AND p_tokens > 0 THEN coalesce(overlap, 0) / q_tokens / (1.0 + ln(1.0 + p_tokens) / 10.0) ELSE 0.0 END, 6), 0.0) AS rerank FROM f2
     JOIN (SELECT doc_id, len(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) AS p_tokens FROM documents) ON doc_id = f2.chunk_id LEFT JOIN qs ON qs.query_id = f2.query_id LEFT JOIN ls ON ls.query_id = f2.query_id AND ls.chunk_id = f2.chunk_id),
 r2 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank DESC, chunk_id) - 1 AS rank FROM p2)
 SELECT query_id, chunk_id, chunk_id AS doc_id, rerank, rerank AS final, CAST(rank AS INTEGER) AS rank FROM r2 WHERE rank < 8 AND (rerank >= 0.15 OR rank = 0)""")
 def hybrid_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = entity_mentions(spark, sf_dir)
-    return s.run("hybrid_graph", s.replace(context(spark, sf_dir), mentions=m, edges=checkpoint(kg.edges(m))))
+    return s.run("hybrid_graph", s.replace(context(spark, sf_dir), mentions=whole_mentions(spark, sf_dir)))
 
 
 @query(f"""WITH {_HYBRID}, {_WHOLE_GRAPH},

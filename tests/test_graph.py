@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from sievework.operators import graph
+from sievework.plans import strategies
 from sievework.session import checkpoint
 
 #: Names of a few letters, of one and of letters beyond ASCII; capitals within a word or after a digit begin none.
@@ -33,7 +34,7 @@ def sql_rows(folder, sql, columns):
     return sorted(tuple(round(r[i], 6) if isinstance(r[i], float) else r[i] for i in at) for r in found.fetchall())
 
 
-@pytest.mark.parametrize("name", ["graph_rag"])
+@pytest.mark.parametrize("name", ["graph_rag", "hybrid_graph"])
 def test_words_of_any_length_and_script_are_entities(spark, tiny, name):
     df = entry.queries()[name](spark, tiny)
     got = sorted(tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in df.collect())
@@ -46,6 +47,15 @@ def test_graph_rag_goes_by_short_names(spark, tiny):
     assert {r["query_id"] for r in found if r["final"] == r["rerank"]} == {0, 1}
 
 
+def test_hybrid_graph_fuses_what_short_names_reach(spark, tiny, monkeypatch):
+    """Document 3 shares no word with the first question, only a neighbour of its entity."""
+    seen = []
+    fuse = strategies.r.rrf
+    monkeypatch.setattr(strategies.r, "rrf", lambda lists, k: (seen.append(lists), fuse(lists, k))[1])
+    entry.queries()["hybrid_graph"](spark, tiny).collect()
+    assert not seen[-1].where("query_id = 0 and chunk_id = 3").isEmpty()
+
+
 @pytest.mark.parametrize(("hops", "size"), [(0, 256), (1, 256), (1, 70), (2, 256)])
 def test_search_by_mentions_equals_search_by_edges(spark, hops, size):
     rng = np.random.default_rng(hops)
